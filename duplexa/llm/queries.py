@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .shared import documents
@@ -15,12 +16,16 @@ def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minmax_near_dedup, op9_pii)}
+    return {f.__name__: f for f in (op6_minmax_near_dedup, op7_pivotal_mixing, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
