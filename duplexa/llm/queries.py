@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .shared import documents
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -25,7 +30,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_minmax_near_dedup, op7_pivotal_mixing, op9_pii)}
+    return {f.__name__: f for f in (op3_language_id, op6_minmax_near_dedup, op7_pivotal_mixing, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
