@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import leaks
 from .langid import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -25,12 +26,16 @@ def op7_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op6_minmax_near_dedup, op7_pivotal_mixing, op9_pii)}
+    return {f.__name__: f for f in (op3_language_id, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
