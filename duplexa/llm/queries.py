@@ -11,6 +11,8 @@ from .langid import identify
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import find_pii
+from .preference import SQL as PREFERENCE_SQL
+from .preference import paired_by_id, preference_format
 from .shared import documents
 
 
@@ -18,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference_format(paired_by_id(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -35,8 +41,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
+    return {f.__name__: f for f in (op3_language_id, op4_preference_format, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_preference_format": PREFERENCE_SQL}
