@@ -7,11 +7,13 @@ than as many values from minima alone would have at that cost. Signatures are cu
 Texts with equal sets form a class at once, by 128 bits over the set; only one of a class takes part in the search, so groups of exact copies cost nothing.
 Search goes in two steps, because within a group of near copies all pairs would be many:
 
-1. each text in a bucket is held against the bucket's smallest id; what holds gives components;
-2. in buckets that still hold more than one component, all pairs of texts from different components are held against each other. Pairs within one component need no
-   look, as they cannot change it. No bucket, text or pair is left out.
+1. each text in a bucket is held against the bucket's smallest id, its hub; what holds gives components;
+2. where a hub has texts outside of its component, those are held against all others of the hub. Texts of a hub are dealt into blocks of about BLOCK shingles, and pairs of blocks are tasks' work: what each
+   two texts of them have in common comes from one product of their incidence matrices. So no group of any size meets in one task, and only links leave it. Pairs within one component need no look, as
+   they cannot change it. No bucket, text or pair is capped.
 
-A link at similarity s is found with probability 1 - (1 - s**ROWS)**BANDS: at 0.85, 0.99999. Confirmation is exact.
+A link at similarity s is found with probability 1 - (1 - s**ROWS)**BANDS at least: at 0.85, 0.999999. Confirmation is exact, on full sets. Texts are sent to candidates by id in a shuffle,
+never broadcast, as their number grows with the input; those that share a bucket are settled once and serve every confirmation.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PERMUTATIONS = 60
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 SHINGLE = 5
+#: Shingles of a block in the second step.
+BLOCK = 1 << 16
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -89,30 +93,85 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """Those (a, b) of pairs whose full sets are similar enough. a should be the more varied side: the texts of b are sent once and matched to a's rows."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    of_a = texts.join(pairs, texts.doc_id == pairs.a).select("a", "b", F.col("text").alias("text_a"))
-    of_b = texts.join(pairs.select("b").distinct(), F.col("doc_id") == F.col("b")).select("b", F.col("text").alias("text_b"))
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    of_a = texts.join(pairs.hint("merge"), texts.id == pairs.a).select("a", "b", F.col("text").alias("text_a"))
+    of_b = texts.hint("merge").join(pairs.select("b").distinct(), F.col("id") == F.col("b")).select("b", F.col("text").alias("text_b"))
+    return of_a.join(of_b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """For each (a, b) of pairs, whether their full sets are similar enough (linked), and a's set size (n). texts has id and text; b is the side that many pairs have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for whole in batches:
             for batch in slices(whole, "text_a"):
                 sets, at = sets_of(batch.column("text_a"), shingle)
-                keep = np.zeros(batch.num_rows, bool)
+                linked = np.zeros(batch.num_rows, bool)
                 right = batch.column("text_b")
                 for i, b in enumerate(batch.column("b").to_pylist()):
-                    if b != known[0]:  # rows of one b mostly come together
+                    if b != known[0]:  # rows of one b come together
                         known = (b, sets_of(right.slice(i, 1), shingle)[0])
-                    one, other = sets[at[i] : at[i + 1]], known[1]
-                    both = np.concatenate((one, other))
+                    both = np.concatenate((sets[at[i] : at[i + 1]], known[1]))
                     both.sort()
                     common = int((both[1:] == both[:-1]).sum())
-                    keep[i] = 100 * common >= percent * (len(both) - common) and common > 0
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                    linked[i] = 0 < 100 * common >= percent * (len(both) - common)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked), pa.array(np.diff(at))], names=["a", "b", "linked", "n"])
+
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, linked boolean, n long")
+
+
+def _links_within(component: np.ndarray, sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i > j of different components whose sets are similar enough."""
+    n = np.diff(at)
+    _, place, count = np.unique(sets, return_inverse=True, return_counts=True)
+    several = count > 1
+    column = np.cumsum(several) - 1
+    chosen = several[place]
+    has = np.zeros((len(n), int(several.sum())), np.float32)
+    has[np.repeat(np.arange(len(n)), n)[chosen], column[place[chosen]]] = 1
+    common = (has @ has.T).astype(np.int64)
+    ok = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (component[:, None] != component[None, :]) & (common > 0)
+    return np.nonzero(np.tril(ok, -1))
+
+
+def loose_links(checked: DataFrame, found: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between texts that met one hub and were left in different components, of which one isn't the hub's. checked: what confirm gave for texts and their hubs."""
+    rows = (
+        checked.join(found.withColumnRenamed("node", "a"), "a", "left")
+        .join(found.select(F.col("node").alias("b"), F.col("component").alias("of_hub")), "b", "left")
+        .select("a", F.col("b").alias("hub"), "n", F.coalesce("component", "a").alias("component"), (F.coalesce("component", "a") != F.coalesce("of_hub", "b")).alias("out"))
+    )
+    sums = rows.groupBy("hub").agg(F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("outer"), F.coalesce(F.sum(F.when(~F.col("out"), F.col("n"))), F.lit(0)).alias("inner"), F.count("*").alias("texts")).where("outer > 0 and texts > 1")
+    blocks = sums.select("hub", F.ceil(F.col("outer") / block).cast("int").alias("outer"), F.ceil(F.col("inner") / block).cast("int").alias("inner"))
+    upto = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<within:boolean,i:int,j:int>>"))
+    meet = lambda within, i, j: F.struct(F.lit(within).alias("within"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    own = F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner")))
+    meetings = F.when(F.col("out"), F.concat(upto(F.col("outer"), lambda k: meet(True, F.least(F.col("own"), k), F.greatest(F.col("own"), k))), upto(F.col("inner"), lambda k: meet(False, F.col("own"), k)))).otherwise(upto(F.col("outer"), lambda k: meet(False, k, F.col("own"))))
+    dealt = rows.join(blocks, "hub").withColumn("own", own).select("hub", F.explode(meetings).alias("m"), "a", "component").select("hub", "m.*", "a", "component")
+    with_text = texts.join(dealt.hint("merge"), texts.id == dealt.a)
+    key = ["hub", "within", "i", "j"]
+
+    def links_of(rows: pa.Table) -> pa.RecordBatch:
+        a = rows.column("a").to_numpy()
+        i, j = _links_within(rows.column("component").to_numpy(), *sets_of(rows.column("text"), shingle), percent)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a[i], a[j])), pa.array(np.minimum(a[i], a[j]))], names=["a", "b"])
 
-    return of_a.join(of_b, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # the rows of the key that the last batch ended with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*waiting, batch])
+            keys = np.stack([table.column(k).cast(pa.int64()).to_numpy() for k in key])
+            cuts = (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()
+            for low, high in zip([0, *cuts], cuts, strict=False):
+                yield links_of(table.slice(low, high - low))
+            waiting = table.slice(cuts[-1] if cuts else 0).to_batches()
+        if waiting:
+            yield links_of(pa.Table.from_batches(waiting))
+
+    return with_text.select(*key, "a", "component", "text").repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -122,27 +181,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     A null doc_id gets a null component unless its set equals another's, and is not kept. Rows that repeat an id share its component.
     Any columns besides doc_id and text are ignored; an empty table gives an empty one.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = settle(signatures(docs, shingle))
     classes = settle(marks.where("n_shingles > 0 and doc_id is not null").groupBy("print_a", "print_b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
-    buckets = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1")
-    members = settle(buckets.join(shared, "key").select("key", "id", "n_shingles", "first"))
-    stars = settle(members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct())
-    links = settle(confirm(stars, docs, percent, shingle))
+    buckets = classes.select("id", F.explode("bands").alias("key"))
+    shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
+    stars = settle(buckets.join(shared, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
+    wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    texts = settle(docs.join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]))
+    checked = settle(confirm(stars, texts, percent, shingle))
+    links = checked.where("linked").select("a", "b")
     found = components(links)
-    placed = settle(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n_shingles", F.coalesce("component", "id").alias("component")))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    left = settle(placed.join(mixed, "key"))
-    other = left.select("key", F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("component").alias("beside"))
-    rest = (
-        left.join(other, "key")
-        .where((F.col("id") > F.col("b")) & (F.col("component") != F.col("beside")) & (100 * F.least("n_shingles", "m") >= percent * F.greatest("n_shingles", "m")))
-        .select(F.col("id").alias("a"), "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = settle(confirm(settle(rest), docs, percent, shingle))
+    more = settle(loose_links(checked, found, texts, percent, shingle))
     if not more.isEmpty():
         found = components(links.union(more))
     ids = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("print_a", "print_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
@@ -152,3 +202,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     )
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs, with all their columns, that near_duplicates keeps: of each group the smallest doc_id. Rows without id stay, repeated rows of a kept id stay."""
+    gone = settle(near_duplicates(docs, percent, shingle).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
