@@ -125,3 +125,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def _with_counts(goals: DataFrame, sources: DataFrame) -> DataFrame:
     counts = sources.select(F.col("source").alias("of"), "n")
     return goals.join(counts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+
+
+def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Each row of docs as often as the mix takes it, with all its columns and copy, from 1. Rows without words are never taken.
+
+    Rows that repeat an id and size take the same number of copies, the least that mix gives one of them.
+    """
+    copies = mix(docs, seed=seed).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    sized = docs.withColumn("_words", F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long"))
+    joined = sized.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))

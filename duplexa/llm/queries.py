@@ -13,6 +13,7 @@ from .near_dedup import near_duplicates
 from .pii import find_pii
 from .preference import SQL as PREFERENCE_SQL
 from .preference import paired_by_id, preference_format
+from .quality import judge
 from .shared import documents
 
 
@@ -24,6 +25,10 @@ def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_format(paired_by_id(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
 def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -41,7 +46,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_preference_format, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
+    return {f.__name__: f for f in (op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
