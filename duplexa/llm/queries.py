@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
 from .langid import identify
+from .licenses import scan
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import find_pii
@@ -17,6 +18,10 @@ from .quality import judge
 from .shared import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(documents(spark, sf_dir))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
@@ -46,7 +51,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
+    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

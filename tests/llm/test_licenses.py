@@ -1,0 +1,47 @@
+import re
+
+import pytest
+
+from duplexa.llm import licenses as L
+
+MIT = dict(L.NOTICES)["mit"]
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TEXTS = [
+    None, "", "..", "Released under the MIT License.", "MIT-license mit license, MIT LICENSE mit", "CC BY-NC 4.0; Apache License, Version 2.0 and apache license version 2 2",
+    "é mit licensé mit license", "x " * 300 + MIT.replace("without restriction", "without any real restriction") + " y" * 10, " ".join(MIT.split()[:30]),
+    "This work is licensed under the GNU General Public License, version 3.", "cc by nc " * 20000, "mit", "mit\nlicense", "a" * 2_500_000 + " mit license",
+]
+
+
+def plain(text):
+    words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    at = [(i, label) for p, label in L.BASE_PHRASES for w in [p.split()] for i in range(len(words) - len(w) + 1) if words[i : i + len(w)] == w]
+    return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+@pytest.fixture(scope="module")
+def got(spark):
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(TEXTS)], "doc_id long, text string, label string")
+    return {r.doc_id: r for r in L.scan(docs).collect()}
+
+
+def test_base_equals_plain_search(got):
+    assert set(got) == set(range(len(TEXTS)))
+    for i, t in enumerate(TEXTS):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain(t), i
+
+
+def test_notices_are_found_though_altered(got):
+    assert got[7].labels == "mit" and got[7].base_labels == "" and 0.9 < got[7].score <= 1
+    assert got[8].labels == "" and got[8].score == 0
+    assert got[9].labels == "gpl-3" and got[5].labels == "apache-2,cc-by-nc" and got[0].score == 0
+
+
+def test_whole_tables_and_edges(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in L.scan(docs).collect()}
+    assert own == {r.doc_id: plain(r.text) for r in docs.select("doc_id", "text").collect()}
+    twice = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "mit license")], "doc_id long, text string")
+    assert [r.n_base for r in L.scan(twice).collect()] == [1, 1, 1]
+    assert L.scan(twice.limit(0)).count() == 0
