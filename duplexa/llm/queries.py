@@ -8,18 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
 from .langid import identify
-from .licenses import scan
+from .licenses import scan as scan_licenses
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .preference import SQL as PREFERENCE_SQL
 from .preference import paired_by_id, preference_format
 from .quality import judge
+from .secrets import scan as scan_secrets
 from .shared import documents
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(documents(spark, sf_dir))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
