@@ -11,6 +11,7 @@ from .langid import identify
 from .licenses import scan as scan_licenses
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .pages import extract
 from .pii import find_pii
 from .preference import SQL as PREFERENCE_SQL
 from .preference import paired_by_id, preference_format
@@ -55,8 +56,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text)}
 
 
 def oracle_sql() -> dict[str, str]:
