@@ -1,15 +1,232 @@
-"""The queries of the library's own operators by name, with the SQL that gives the same rows."""
+"""The queries of the library's own operators by name, with the SQL that gives the same rows.
+
+Sequences are derived from the tables' texts letter by letter, whole tables and whole texts: `documents` where work grows with the bases, `benchmark` against itself where it grows with pairs of sequences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import bases
+from .operators.accessibility import accessibility
+from .operators.index import kmer_counts, kmer_index, locate, prefix_ranges, start_positions
+from .operators.schedule import balanced, blocks, longest_first
+from .operators.seeds import _TYPE, paired_runs, seed_search
+from .plans.search import pair_text, search, shortest
+from .sources.fasta import split_by_name, wrapped
+
+_LETTERS, _AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGUUGCAACGUGCUAUCAGGAUCCU"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id, ord, name and seq of all documents."""
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.col("doc_id").alias("ord"), F.concat_ws("_", "lang", "source").alias("name"), bases.from_text(F.col("text")).alias("seq"))
+
+
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), bases.from_text(F.col("text")).alias("seq"))
+
+
+def _cased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """seq_id and seq of all documents, in which capitals give upper-case bases and small letters lower-case ones."""
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.translate(letters, _LETTERS.upper() + _LETTERS, _AS_BASES + _AS_BASES.lower()).alias("seq"))
+
+
+def _named(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) -> DataFrame:
+    return _table(spark, sf_dir, table).select(F.col(key).cast("long").alias("seq_id"), bases.from_text(F.col(name)).alias("seq"))
+
+
+def _encode(mode: int) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        codes = bases.encoded(F.col("seq"), mode, target=True)
+        return _cased(spark, sf_dir).select("seq_id", F.array_join(codes.cast("array<string>"), "").alias("codes"), bases.residue_count(F.col("seq"), mode).alias("known"))
+
+    return query
+
+
+def base_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _documents(spark, sf_dir).select("name", F.length("seq").cast("long").alias("length"), *bases.base_counts(F.col("seq")))
+    return counted.groupBy("name").agg(F.count("*").alias("records"), *(F.sum(c).alias(c) for c in ("length", "n_a", "n_c", "n_g", "n_u")))
+
+
+def seq_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select((F.col("ord") + 1).alias("number"), F.length("seq").cast("long").alias("length"))
+
+
+def kmer_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_index(_benchmark(spark, sf_dir), 8)
+
+
+def kmer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmer_counts(_documents(spark, sf_dir), 6)
+
+
+def prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_ranges(kmer_counts(_documents(spark, sf_dir), 6))
+
+
+def start_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return start_positions(_documents(spark, sf_dir))
+
+
+def pos_to_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locate(_table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 37).alias("position")), start_positions(_documents(spark, sf_dir)))
+
+
+def diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paired_runs(_named(spark, sf_dir, "region", "r_regionkey", "r_name"), _named(spark, sf_dir, "nation", "n_nationkey", "n_name"))
+
+
+def seeds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seed_search(_benchmark(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
+def seed_energy_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds_query(spark, sf_dir).groupBy("length", F.floor(F.col("energy") / 100).alias("kcal")).agg(F.count("*").alias("n"), F.sum("energy").alias("total"))
+
+
+def ungapped_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.explode(F.sequence(F.lit(0), F.col("length") - 1))
+    return seeds_query(spark, sf_dir).select("query_id", "target_id", "q_start", "t_start", at.alias("k"), "length").select("query_id", "target_id", "q_start", "t_start", (F.col("q_start") + F.col("k")).alias("q"), (F.col("t_start") + F.col("length") - 1 - F.col("k")).alias("t"))
+
+
+def dominance_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds that lie within another seed of the same pair of sequences, on both."""
+    seeds = seeds_query(spark, sf_dir)
+    inner = seeds.select("query_id", "target_id", F.col("q_start").alias("q_in"), F.col("t_start").alias("t_in"), F.col("length").alias("m"))
+    within = (F.col("q_in") >= F.col("q_start")) & (F.col("t_in") >= F.col("t_start")) & (F.col("q_in") + F.col("m") <= F.col("q_start") + F.col("length")) & (F.col("t_in") + F.col("m") <= F.col("t_start") + F.col("length"))
+    return seeds.join(inner, ["query_id", "target_id"]).where(within & (F.col("m") < F.col("length"))).select("query_id", "target_id", "q_start", "t_start", "length", "q_in", "t_in", F.col("m").alias("inner_length"))
+
+
+def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ln of the sum of exp(value) by type, from the largest value, so that nothing overflows."""
+    events = _table(spark, sf_dir, "events")
+    top = events.groupBy(F.col("event_type").alias("t")).agg(F.max("value").alias("top"))
+    return events.join(top, F.col("event_type") == F.col("t")).groupBy("event_type").agg(F.round(F.first("top") + F.ln(F.sum(F.exp(F.col("value") - F.col("top")))), 6).alias("lse"))
+
+
+def partition_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks(_documents(spark, sf_dir), 16)
+
+
+def schedule_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longest_first(_documents(spark, sf_dir))
+
+
+def partition_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balanced(_documents(spark, sf_dir), 16)
+
+
+def split_by_name_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, all_ = split_by_name(_documents(spark, sf_dir), "fr_")
+    length = F.length("seq").cast("long").alias("length")
+    return part.select(F.lit("part").alias("file"), "ord", "name", length).union(all_.select(F.lit("all"), "ord", "name", length))
+
+
+def fasta_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("seq_id", wrapped(F.col("seq")).alias("lines"))
+
+
+def _pairs(seeds: DataFrame) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.struct((F.col("q_start") + k).alias("q"), (F.col("t_start") + F.col("length") - 1 - k).alias("t")))
+
+
+def _format(style: int) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        seeds = seeds_query(spark, sf_dir)
+        return seeds.select("query_id", "target_id", "q_start", "t_start", F.concat_ws(",", F.col("length").cast("string"), shortest(F.col("energy") / 100.0), pair_text(_pairs(seeds), style)).alias("line"))
+
+    return query
+
+
+def accessibility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return accessibility(_benchmark(spark, sf_dir)).select("seq_id", F.posexplode(F.arrays_zip("acc", "cond")).alias("pos", "x")).select("seq_id", "pos", "x.acc", "x.cond")
+
+
+def interaction_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _benchmark(spark, sf_dir)
+    return search(targets, targets, accessibility(targets)).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {
+        "encode_hard": _encode(0), "encode_soft": _encode(1), "encode_nomask": _encode(2), "base_composition": base_composition, "seq_stats": seq_stats,
+        "kmer_index": kmer_index_query, "kmer_ranges": kmer_ranges, "prefix_hash": prefix_hash, "start_positions": start_positions_query, "pos_to_seq": pos_to_seq,
+        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates,
+        "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "split_by_name": split_by_name_query,
+        "fasta_wrap": fasta_wrap, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
+    }
+
+
+def _as_bases(text: str) -> str:
+    return f"translate(regexp_replace(lower({text}), '[^a-z]', '', 'g'), '{_LETTERS}', '{_AS_BASES}')"
+
+
+_DOCS = f"d as (select doc_id seq_id, doc_id ord, concat_ws('_', lang, source) as name, {_as_bases('text')} seq from documents)"
+_CASED = f"d as (select doc_id seq_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS.upper() + _LETTERS}', '{_AS_BASES + _AS_BASES.lower()}') seq from documents)"
+_KMERS = "w as (select k, list_aggregate(list_transform(range(1, k + 1), lambda i: cast(pow(4, k - i) as bigint) * (instr('ACGU', substr(seq, p + i - 1, 1)) - 1)), 'sum')::bigint kmer from d, unnest(range(1, 7)) a(k), unnest(range(1, length(seq) - k + 2)) b(p))"
+_COUNTS = "n as (select k::int k, kmer, count(*)::bigint n from w group by all)"
+_STARTS = "s as (select seq_id, coalesce(sum(length(seq) + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as start, length(seq)::bigint length from d)"
+_TYPES = ", ".join(f"('{a}','{b}',{t})" for (a, b), t in _TYPE.items() if t)
+
+
+def _stack_rows() -> str:
+    from .functions.energy import REVERSE, STACK
+
+    return ", ".join(f"({a},{b},{int(STACK[a, REVERSE[b]])})" for a in range(1, 7) for b in range(1, 7))
+
+
+def _seeds(least: int = 5, most: int = 20, threshold: int = -600) -> str:
+    """Seeds base by base: runs of pairs on each diagonal, running stacking energies, and the shortest stretch under the threshold from each pair."""
+    return f"""pt(qb, tb, ty) as (values {_TYPES}), st(a, b, e) as (values {_stack_rows()}),
+q as (select item_id id, {_as_bases('text')} seq from benchmark),
+b as (select id, (i - 1)::int pos, substr(seq, i, 1) c from q, unnest(range(1, length(seq) + 1)) u(i)),
+cells as (select x.id query_id, y.id target_id, x.pos i, x.pos + y.pos diag, ty from b x join pt on qb = x.c join b y on y.c = tb),
+isl as (select *, i - row_number() over (partition by query_id, target_id, diag order by i) island from cells),
+big as (select *, count(*) over (partition by query_id, target_id, diag, island) m, lag(ty) over (partition by query_id, target_id, diag, island order by i) prev from isl),
+run as (select query_id, target_id, diag, island, i, sum(coalesce(e, 0)) over (partition by query_id, target_id, diag, island order by i rows unbounded preceding)::int total from (select * from big where m >= {least}) left join st on a = prev and b = ty),
+hit as (select x.query_id, x.target_id, x.i q_start, x.diag, min(y.i - x.i + 1)::int length from run x join run y using (query_id, target_id, diag, island) where y.i - x.i + 1 between {least} and {most} and y.total - x.total < {threshold} group by x.query_id, x.target_id, x.i, x.diag, x.island),
+seeds as (select h.query_id, h.target_id, h.q_start, (h.diag - h.q_start - h.length + 1)::int t_start, h.length, (y.total - x.total)::int energy from hit h join run x on x.query_id = h.query_id and x.target_id = h.target_id and x.diag = h.diag and x.i = h.q_start join run y on y.query_id = h.query_id and y.target_id = h.target_id and y.diag = h.diag and y.i = h.q_start + h.length - 1)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    def encode(mask: str, digits: str, source: str = "NACGUacgu") -> str:
+        return f"with {_CASED}, m as (select seq_id, {mask} seq from d) select seq_id, reverse(translate(seq, '{source}', '{digits}')) || '0' codes, length(regexp_replace(seq, '[^ACGU]', '', 'g'))::bigint known from m"
+
+    line = "length || ',' || regexp_replace(regexp_replace(printf('%.2f', energy / 100.0), '0+$', ''), '\\.$', '') || ',' ||"
+    pairs = "string_agg('(' || (q_start + k) || ':' || (t_start + length - 1 - k) || ') ', '' order by k)"
+    return {
+        "encode_hard": encode("regexp_replace(seq, '[^ACGU]', 'N', 'g')", "123456789"),
+        "encode_soft": encode("seq", "123456789"),
+        "encode_nomask": encode("upper(seq)", "123456789"),
+        "base_composition": f"with {_DOCS} select name, count(*) records, sum(length(seq))::bigint length, " + ", ".join(f"sum(length(seq) - length(replace(seq, '{b}', '')))::bigint n_{b.lower()}" for b in "ACGU") + " from d group by name",
+        "seq_stats": f"with {_DOCS} select ord + 1 number, length(seq)::bigint length from d",
+        "kmer_index": f"with d as (select item_id seq_id, {_as_bases('text')} seq from benchmark) select list_aggregate(list_transform(range(1, 9), lambda i: cast(pow(4, 8 - i) as bigint) * (instr('ACGU', substr(seq, p + i - 1, 1)) - 1)), 'sum')::bigint kmer, seq_id, (p - 1)::int pos from d, unnest(range(1, length(seq) - 6)) b(p)",
+        "kmer_ranges": f"with {_DOCS}, {_KMERS}, {_COUNTS} select * from n",
+        "prefix_hash": f'with {_DOCS}, {_KMERS}, {_COUNTS} select k, kmer, (sum(n) over w - n)::bigint as "first", (sum(n) over w - 1)::bigint as "last" from n window w as (partition by k order by kmer rows unbounded preceding)',
+        "start_positions": f"with {_DOCS}, {_STARTS} select * from s",
+        "pos_to_seq": f'with {_DOCS}, {_STARTS}, o as (select o_orderkey * 37 "position" from orders) select "position", seq_id, "position" - start as "offset" from o asof join s on "position" >= start where "position" < start + length',
+        "diagonal_runs": f"""with pt(qb, tb, ty) as (values {_TYPES}), r as (select r_regionkey::bigint id, {_as_bases('r_name')} seq from region), n as (select n_nationkey::bigint id, {_as_bases('n_name')} seq from nation),
+c as (select r.id query_id, n.id target_id, (i + j - 2)::int diagonal, (i - 1)::int p from r, unnest(range(1, length(r.seq) + 1)) a(i), n, unnest(range(1, length(n.seq) + 1)) b(j), pt where qb = substr(r.seq, i, 1) and tb = substr(n.seq, j, 1)),
+g as (select *, p - row_number() over (partition by query_id, target_id, diagonal order by p) island from c)
+select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, count(*)::bigint pairs from g group by query_id, target_id, diagonal, island""",
+        "seed_search": f"with {_seeds()} select * from seeds",
+        "seed_energy_hist": f"with {_seeds()} select length, floor(energy / 100.0)::bigint kcal, count(*)::bigint n, sum(energy)::bigint total from seeds group by 1, 2",
+        "ungapped_pairs": f"with {_seeds()} select query_id, target_id, q_start, t_start, (q_start + k)::int q, (t_start + length - 1 - k)::int t from seeds, unnest(range(0, length)) u(k)",
+        "dominance_candidates": f"with {_seeds()} select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_in, y.t_start t_in, y.length inner_length from seeds x join seeds y using (query_id, target_id) where y.q_start >= x.q_start and y.t_start >= x.t_start and y.q_start + y.length <= x.q_start + x.length and y.t_start + y.length <= x.t_start + x.length and y.length < x.length",
+        "log_sum_exp": "with m as (select event_type, max(value) top from events group by 1) select event_type, round(any_value(top) + ln(sum(exp(value - top))), 6) lse from events join m using (event_type) group by event_type",
+        "partition_block": "select doc_id seq_id, floor(doc_id / ((select count(*) from documents) // 16 + 1))::int bin from documents",
+        "schedule_sorted": f"with {_DOCS} select seq_id, length(seq)::bigint length from d",
+        "split_by_name": f"with {_DOCS}, l as (select * from d qualify row_number() over (partition by name order by ord desc) = 1) select 'part' file, ord, name, length(seq)::bigint length from l where contains(name, 'fr_') union all select 'all', ord, name, length(seq)::bigint from l",
+        "fasta_wrap": f"with {_DOCS} select seq_id, regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as lines from d",
+        "format_style0": f"with {_seeds()} select query_id, target_id, q_start, t_start, {line} '(' || q_start || '-' || (q_start + length - 1) || ':' || (t_start + length - 1) || '-' || t_start || ') ' as line from seeds",
+        "format_style1": f"with {_seeds()} select query_id, target_id, q_start, t_start, {line} {pairs} as line from seeds, unnest(range(0, length)) u(k) group by query_id, target_id, q_start, t_start, length, energy",
+    }
