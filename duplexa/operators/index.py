@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .seeds import once
+from .seeds import pieces
 
 _CHUNK = 4096
 
@@ -13,12 +13,11 @@ _CHUNK = 4096
 def kmers(seq: Column, k: int) -> Column:
     """Array of (pos, kmer) for all windows of k known bases."""
 
-    def make(text: Column) -> Column:
-        n = F.length(text)
-        made = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.struct(i.alias("pos"), F.substring(text, i + 1, F.lit(k)).alias("kmer")))
-        return F.when(n >= k, F.filter(made, lambda w: ~F.rlike(w["kmer"], F.lit("[^ACGU]")))).otherwise(F.array().cast("array<struct<pos:int,kmer:string>>"))
+    def within(x: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), x["own"] - 1), lambda i: F.struct((x["offset"] + i).cast("int").alias("pos"), F.substring(x["piece"], i + 1, F.lit(k)).alias("kmer")))
+        return F.filter(made, lambda w: F.rlike(w["kmer"], F.lit(f"^[ACGU]{{{k}}}$")))
 
-    return once(seq, make)
+    return F.flatten(F.transform(pieces(seq, k - 1), within))
 
 
 def kmer_number(kmer: Column) -> Column:
@@ -34,12 +33,11 @@ def kmer_index(sequences: DataFrame, k: int) -> DataFrame:
 def kmer_counts(sequences: DataFrame, most: int = 8) -> DataFrame:
     """k, kmer and n for k from 1 to most: one pass over the longest windows, whose counts then add up to shorter prefixes; windows that end a run of known bases come with their own length."""
 
-    def make(text: Column) -> Column:
-        n = F.length(text)
-        runs = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.regexp_extract(F.substring(text, i + 1, F.lit(most)), "^[ACGU]*", 0))
-        return F.when(n > 0, F.filter(runs, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    def within(x: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), x["own"] - 1), lambda i: F.regexp_extract(F.substring(x["piece"], i + 1, F.lit(most)), "^[ACGU]*", 0))
+        return F.filter(runs, lambda w: w != "")
 
-    longest = sequences.select(F.explode(once(F.col("seq"), make)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    longest = sequences.select(F.explode(F.flatten(F.transform(pieces(F.col("seq"), most - 1), within))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     return longest.select(F.explode(F.sequence(F.lit(1), F.length("w"))).alias("k"), "w", "n").select("k", kmer_number(F.substring(F.col("w"), F.lit(1), F.col("k"))).alias("kmer"), "n").groupBy("k", "kmer").agg(F.sum("n").alias("n"))
 
 

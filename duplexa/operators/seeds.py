@@ -41,15 +41,31 @@ def once(value: Column, make) -> Column:
     return F.element_at(F.transform(F.array(value), make), 1)
 
 
+#: Bases of a piece, within which places are counted; a long sequence is cut into pieces once, so that windows stay linear in its length.
+PIECE = 1024
+
+
+def pieces(text: Column, overlap: int) -> Column:
+    """Array of (offset, piece): the text in runs of PIECE characters, each with up to `overlap` (at most PIECE) that follow."""
+
+    def make(parts: Column) -> Column:
+        return F.transform(parts, lambda p, i: F.struct((i * PIECE).alias("offset"), F.concat(p, F.coalesce(F.left(F.get(parts, i + 1), F.lit(overlap)), F.lit(""))).alias("piece"), F.length(p).alias("own")))
+
+    return once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), make)
+
+
 def windows(seq: Column, size: int, reach: int, target: bool) -> Column:
     """Array of (pos, window, beyond) for all windows of known bases; beyond: up to `reach` bases, the window first, as far as bases are known. Targets: pos is the window's 3' end, and both strings run from there to the 5' end."""
 
     def make(text: Column) -> Column:
-        n = F.length(text)
-        at = lambda i: (n - 1 - i if target else i).cast("int")
-        part = lambda i, k: F.substring(text, i + 1, k)
-        made = F.transform(F.sequence(F.lit(0), n - size), lambda i: F.struct(at(i).alias("pos"), part(i, F.lit(size)).alias("window"), F.regexp_extract(part(i, F.lit(reach)), "^[ACGU]*", 0).alias("beyond")))
-        return F.when(n >= size, F.filter(made, lambda w: F.length(w["beyond"]) >= size)).otherwise(F.array().cast("array<struct<pos:int,window:string,beyond:string>>"))
+        at = lambda k: (F.length(text) - 1 - k if target else k).cast("int")
+
+        def within(x: Column) -> Column:
+            part = lambda i, k: F.substring(x["piece"], i + 1, k)
+            made = F.transform(F.sequence(F.lit(0), x["own"] - 1), lambda i: F.struct(at(x["offset"] + i).alias("pos"), part(i, F.lit(size)).alias("window"), F.regexp_extract(part(i, F.lit(reach)), "^[ACGU]*", 0).alias("beyond")))
+            return F.filter(made, lambda w: F.length(w["beyond"]) >= size)
+
+        return F.flatten(F.transform(pieces(text, reach - 1), within))
 
     return once(F.reverse(seq) if target else seq, make)
 

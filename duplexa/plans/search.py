@@ -56,7 +56,7 @@ def search_store(queries: DataFrame, store: Store, parameters: SearchParameters
 def shortest(x: Column) -> Column:
     """A number with up to six significant digits and no zeros at its end."""
     plain = F.format_string("%.6g", x)
-    return F.when(F.contains(plain, F.lit(".")) & ~F.contains(plain, F.lit("e")), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    return F.when(F.contains(plain, F.lit(".")), F.regexp_replace(plain, r"\.?0+(e|$)", "$1")).otherwise(plain)
 
 
 def pair_text(pairs: Column, style: int) -> Column:

@@ -172,8 +172,9 @@ def _as_bases(text: str) -> str:
 
 _DOCS = f"d as (select doc_id seq_id, doc_id ord, concat_ws('_', lang, source) as name, {_as_bases('text')} seq from documents)"
 _CASED = f"d as (select doc_id seq_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS.upper() + _LETTERS}', '{_AS_BASES + _AS_BASES.lower()}') seq from documents)"
-_KMERS = "w as (select k, list_aggregate(list_transform(range(1, k + 1), lambda i: cast(pow(4, k - i) as bigint) * (instr('ACGU', substr(seq, p + i - 1, 1)) - 1)), 'sum')::bigint kmer from d, unnest(range(1, 7)) a(k), unnest(range(1, length(seq) - k + 2)) b(p))"
-_COUNTS = "n as (select k::int k, kmer, count(*)::bigint n from w group by all)"
+_NUMBER = "list_aggregate(list_transform(range(1, k + 1), lambda i: cast(pow(4, k - i) as bigint) * (instr('ACGU', substr(s, i, 1)) - 1)), 'sum')::bigint"
+_KMERS = "w as (select k, substr(seq, p, k) s, count(*)::bigint n from d, unnest(range(1, 7)) a(k), unnest(range(1, length(seq) - k + 2)) b(p) group by all)"
+_COUNTS = f"n as (select k::int k, {_NUMBER} kmer, n from w)"
 _STARTS = "s as (select seq_id, coalesce(sum(length(seq) + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as start, length(seq)::bigint length from d)"
 _TYPES = ", ".join(f"('{a}','{b}',{t})" for (a, b), t in _TYPE.items() if t)
 

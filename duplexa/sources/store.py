@@ -63,4 +63,4 @@ class Store:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Store:
         row = spark.read.parquet(f"{path}/parameters.parquet").first()
-        return cls(*(spark.read.parquet(f"{path}/{t}.parquet") for t in ("sequences", "accessibility", "kmer_index")), row.repeat, row.index, row.span, row.least)
+        return cls(*(spark.read.parquet(f"{path}/{t}.parquet") for t in ("sequences", "accessibility", "kmer_index")), *(row[k] for k in ("repeat", "index", "span", "least")))
