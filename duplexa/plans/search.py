@@ -33,6 +33,18 @@ class SearchParameters:
             raise ValueError("loops longer than the energy tables: drop-out lengths are at most 16 and 30")
 
 
+def opening(acc: Column, cond: Column, start: Column, length: Column, least: int) -> Column:
+    """What it costs to keep a stretch of bases open: its first window, and each further base given those before it."""
+    further = F.aggregate(F.slice(cond, start + least + 1, length - least), F.lit(0.0), lambda total, x: total + x)
+    return F.element_at(acc, start + 1).cast("double") + F.when(length > least, further).otherwise(0.0)
+
+
+def favourable(pairs: DataFrame, least: int) -> DataFrame:
+    """Pairs of sequences with those of their seeds whose energy in all is below 0, and without pairs that have none: most seeds go before any Python sees them."""
+    total = lambda s: s["hyb"] + opening(F.col("q_acc"), F.col("q_cond"), s["q_start"], s["length"], least) + opening(F.col("t_acc"), F.col("t_cond"), s["t_start"], s["length"], least)
+    return pairs.withColumn("seeds", F.filter("seeds", lambda s: total(s) < 0)).where(F.size("seeds") > 0)
+
+
 def search(queries: DataFrame, targets: DataFrame, profiles: DataFrame, repeat: int = 0, span: int = 70, least: int = 5, parameters: SearchParameters = SearchParameters(), model: Model | None = None) -> DataFrame:
     """Hits of queries (seq_id, seq) on targets (seq_id, seq) with stored profiles (seq_id, acc, cond)."""
     masked = lambda df: df.select("seq_id", bases.masked(F.col("seq"), repeat).alias("seq"))
@@ -42,7 +54,8 @@ def search(queries: DataFrame, targets: DataFrame, profiles: DataFrame, repeat:
     upper = lambda df: df.select("seq_id", F.upper(bases.masked(F.col("seq"), repeat)).alias("seq"))  # noqa: E731  soft-masked bases can't seed but can be extended over
     query_side = accessibility(queries, span, least, model).select(F.col("seq_id").alias("query_id"), F.col("acc").alias("q_acc"), F.col("cond").alias("q_cond")).join(upper(queries).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
     target_side = profiles.select(F.col("seq_id").alias("target_id"), F.col("acc").alias("t_acc"), F.col("cond").alias("t_cond")).join(upper(targets).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t_seq")), "target_id")
-    return extended(by_pair.join(query_side, "query_id").join(target_side, "target_id"), least, p.interaction, p.final, p.drop_ungapped, p.drop_gapped, p.helix, model)
+    pairs = favourable(by_pair.join(query_side, "query_id").join(target_side, "target_id"), least)
+    return extended(pairs, least, p.interaction, p.final, p.drop_ungapped, p.drop_gapped, p.helix, model)
 
 
 def search_store(queries: DataFrame, store: Store, parameters: SearchParameters = SearchParameters(), model: Model | None = None) -> DataFrame:

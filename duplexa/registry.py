@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import bases
 from .operators.accessibility import accessibility
 from .operators.index import kmer_counts, kmer_index, locate, prefix_ranges, start_positions
-from .operators.schedule import balanced, blocks, longest_first
+from .operators.schedule import balanced, blocks, longest_first, packed
 from .operators.seeds import _TYPE, paired_runs, seed_search
 from .plans.search import pair_text, search, shortest
 from .sources.fasta import split_by_name, wrapped
@@ -125,6 +125,10 @@ def partition_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced(_documents(spark, sf_dir), 16)
 
 
+def partition_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_documents(spark, sf_dir), 16)
+
+
 def split_by_name_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, all_ = split_by_name(_documents(spark, sf_dir), "fr_")
     length = F.length("seq").cast("long").alias("length")
@@ -161,7 +165,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "encode_hard": _encode(0), "encode_soft": _encode(1), "encode_nomask": _encode(2), "base_composition": base_composition, "seq_stats": seq_stats,
         "kmer_index": kmer_index_query, "kmer_ranges": kmer_ranges, "prefix_hash": prefix_hash, "start_positions": start_positions_query, "pos_to_seq": pos_to_seq,
         "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates,
-        "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "split_by_name": split_by_name_query,
+        "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "partition_packed": partition_packed, "split_by_name": split_by_name_query,
         "fasta_wrap": fasta_wrap, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
     }
 

@@ -3,9 +3,9 @@ from pyspark.sql import functions as F
 
 from duplexa.cli import main
 from duplexa.functions import bases
-from duplexa.operators.schedule import balanced
+from duplexa.operators.schedule import balanced, packed
 from duplexa.plans.search import SearchParameters, search_store, shortest
-from duplexa.sources.fasta import read_fasta, split_by_name, write_fasta
+from duplexa.sources.fasta import by_order, first_record, paged, read_fasta, split_by_name, write_fasta
 from duplexa.sources.store import BuildParameters, Store, build
 from duplexa.streaming.search import stream_search
 
@@ -22,6 +22,8 @@ def test_fasta_round_trip(spark, tmp_path):
     write_fasta(table.withColumn("seq", F.repeat("seq", 20)), f"file://{tmp_path}/out")
     again = read_fasta(spark, f"file://{tmp_path}/out").collect()
     assert sorted((r.name, r.length) for r in again) == sorted((r.name, 20 * r.length) for r in rows)
+    assert [r.ord for r in by_order(table, spark.createDataFrame([(1,), (3,), (9,)], "ord long")).orderBy("ord").collect()] == [1, 3]
+    assert first_record(table).first().name == "a lncRNA x" and [r.page for r in paged(table, 2).orderBy("ord").collect()] == [0, 0, 1, 1]
     part, all_ = split_by_name(table)
     assert [(r.ord, r.seq) for r in part.collect()] == [(3, "UUUU")] and all_.count() == 3
     assert {r.name for r in split_by_name(table, complement=True)[1].collect()} == {"b", "empty"}
@@ -49,6 +51,9 @@ def test_balanced_bins(spark):
     rows = spark.createDataFrame([(i, "A" * (i % 97 + 1)) for i in range(3000)], "seq_id long, seq string")
     loads = [r.n for r in balanced(rows, 7).join(rows, "seq_id").groupBy("bin").agg(F.sum(F.length("seq")).alias("n")).collect()]
     assert len(loads) == 7 and max(loads) < 1.05 * min(loads)
+    loads = {r.bin: r.n for r in packed(rows, 7).join(rows, "seq_id").groupBy("bin").agg(F.sum(F.length("seq")).alias("n")).collect()}
+    share = sum(loads.values()) // 7
+    assert sorted(loads) == list(range(7)) and all(loads[b] <= share for b in range(6))
 
 
 def test_database_search_and_stream(spark, tmp_path):
@@ -78,3 +83,17 @@ def test_database_search_and_stream(spark, tmp_path):
     stream = stream_search(spark, f"{at}/incoming", f"{at}/db", f"{at}/streamed", f"{at}/state", p)
     stream.awaitTermination(120)
     assert spark.read.parquet(f"{at}/streamed").count() == len(want)
+
+
+def test_opening_equals_the_kernels(spark):
+    from duplexa.operators.accessibility import profiles
+    from duplexa.operators.extend import Pair
+    from duplexa.functions.energy import Model
+    from duplexa.plans.search import opening
+
+    (acc, cond), (a2, c2) = profiles(["ACGGGAAACCCAUAUGCGC", "GGGAAACCCUU"], 30, 5)
+    pair = Pair("ACGGGAAACCCAUAUGCGC", "GGGAAACCCUU", (acc, cond, a2, c2), 5, Model())
+    row = [(acc.tolist(), cond.tolist(), a2.tolist(), c2.tolist(), q, t, n) for q, t, n in ((0, 0, 5), (3, 2, 8), (7, 4, 6))]
+    df = spark.createDataFrame(row, "a array<float>, b array<float>, c array<float>, d array<float>, q int, t int, n int")
+    for r in df.withColumn("e", opening(F.col("a"), F.col("b"), F.col("q"), F.col("n"), 5) + opening(F.col("c"), F.col("d"), F.col("t"), F.col("n"), 5)).collect():
+        assert r.e == pytest.approx(pair.open_cost(r.q, 11 - r.t - r.n, r.n), abs=1e-5)
