@@ -1,0 +1,58 @@
+import re
+
+import pytest
+
+import corpus_pipeline as P
+from duplexa.llm import queries
+from duplexa.llm.decontaminate import leaks
+from duplexa.llm.langid import identify
+from duplexa.llm.mixing import mix
+from duplexa.llm.near_dedup import near_duplicates
+from duplexa.llm.shared import documents, settle
+
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs, out = documents(spark, DIR), []
+    for name, stage in P.STAGES:
+        after = settle(stage(spark, docs, DIR))
+        out.append((name, docs, after))
+        docs = after
+    return out
+
+
+def test_each_stage_does_what_its_operator_says(spark, stages):
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    by = {name: (before, after) for name, before, after in stages}
+    assert [n for n, _ in P.STAGES] == ["language", "near_dedup", "benchmark", "personal_data", "mixing"]
+    for name in ("language", "near_dedup", "benchmark", "personal_data"):
+        assert by[name][1].columns == documents(spark, DIR).columns
+    before, after = by["language"]
+    assert ids(after) == ids(identify(before).where("not rejected")) and len(ids(after)) >= 0.98 * before.count()
+    before, after = by["near_dedup"]
+    assert ids(after) == ids(near_duplicates(before).where("kept")) and after.count() < before.count()
+    before, after = by["benchmark"]
+    caught = {r.doc_id for r in leaks(before, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
+    assert set(ids(before)) - set(ids(after)) == caught and caught
+    before, after = by["personal_data"]
+    assert ids(before) == ids(after)
+    texts = [r.text for r in after.collect()]
+    assert not any(re.search(r"\w@\w+\.\w", t) for t in texts) and any("[EMAIL]" in t or "[PHONE]" in t or "[CARD]" in t for t in texts)
+    before, after = by["mixing"]
+    want = {r.doc_id: r.taken // r.size for r in mix(before).where("taken > 0").collect()}
+    got = {}
+    for r in after.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == want and after.columns == [*before.columns, "copy"]
+
+
+def test_run_equals_the_stages(spark, stages):
+    key = ["doc_id", "copy"]
+    a, b = (df.select(*key).toPandas().sort_values(key).reset_index(drop=True) for df in (P.run(spark, DIR), stages[-1][2]))
+    assert a.equals(b)
+
+
+def test_every_operator_has_its_query():
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
