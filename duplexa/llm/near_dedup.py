@@ -178,7 +178,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     """doc_id, n_shingles, component_id (smallest doc_id of the group) and kept, a row for each row of docs.
 
     Words are what stands between ASCII white space, A-Z lower-cased. A null or empty text or one of white space has no shingle: it is linked with nothing and kept.
-    A null doc_id gets a null component unless its set equals another's, and is not kept. Rows that repeat an id share its component.
+    A null doc_id gets a null component unless its set equals another's, and is not kept. Rows that repeat an id share its component; if their
+    texts differ, each text's set is looked for, and the first text in order stands for the id in confirmations.
     Any columns besides doc_id and text are ignored; an empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -188,7 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     shared = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
     stars = settle(buckets.join(shared, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    texts = settle(docs.join(wanted.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]))
+    texts = settle(docs.join(wanted.hint("merge"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")))
     checked = settle(confirm(stars, texts, percent, shingle))
     links = checked.where("linked").select("a", "b")
     found = components(links)
