@@ -18,6 +18,9 @@ from ..functions.energy import DANGLE3, DANGLE5, INTERIOR, KT, MAXLOOP, MISMATCH
 
 #: Bases of a padded batch.
 BATCH = 6000
+#: Bases that a task should get, at about a millisecond each; partitions follow the work, not the bytes, of which there are few.
+TASK_BASES = 4096
+MOST_TASKS = 100_000
 
 
 class Fold:
@@ -281,13 +284,22 @@ def profiles(seqs: list[str], span: int = 70, least: int = 5, model: Model | Non
 
 
 def accessibility(sequences: DataFrame, span: int = 70, least: int = 5, model: Model | None = None) -> DataFrame:
-    """sequences (seq_id, seq) with acc and cond, arrays of floats. Sequences are dealt by length, so that tasks get padded batches of like length; a null sequence has null profiles."""
+    """sequences (seq_id, seq) with acc and cond, arrays of floats; a null sequence has null profiles.
+
+    One pass counts the bases, which sets how many tasks share them; within a task, batches are of like length.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             known = pdf[pdf["seq"].notna()]
             done = profiles(known["seq"].tolist(), span, least, model)
-            found = pd.DataFrame({"acc": [a for a, _ in done], "cond": [c for _, c in done]}, index=known.index, dtype=object)
-            yield pdf.join(found)[["seq_id", "seq", "acc", "cond"]].astype(object).where(lambda x: x.notna(), None) if len(found) < len(pdf) else pdf.join(found)[["seq_id", "seq", "acc", "cond"]]
-
-    return sequences.select("seq_id", "seq").repartition(F.ceil(F.log2(F.length("seq") + 1)), F.xxhash64("seq_id") % 64).mapInPandas(run, "seq_id long, seq string, acc array<float>, cond array<float>")
+            for k, name in enumerate(("acc", "cond")):
+                column = np.full(len(pdf), None, object)
+                for place, profile in zip(np.flatnonzero(pdf["seq"].notna()), done, strict=True):
+                    column[place] = profile[k]
+                pdf[name] = column
+            yield pdf
+
+    bases = sequences.agg(F.sum(F.length("seq"))).first()[0] or 0
+    tasks = min(MOST_TASKS, max(1, -(-bases // TASK_BASES)))
+    return sequences.select("seq_id", "seq").repartition(tasks, "seq_id").mapInPandas(run, "seq_id long, seq string, acc array<float>, cond array<float>")

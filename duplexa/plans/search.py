@@ -54,8 +54,10 @@ def search(queries: DataFrame, targets: DataFrame, profiles: DataFrame, repeat:
     upper = lambda df: df.select("seq_id", F.upper(bases.masked(F.col("seq"), repeat)).alias("seq"))  # noqa: E731  soft-masked bases can't seed but can be extended over
     query_side = accessibility(queries, span, least, model).select(F.col("seq_id").alias("query_id"), F.col("acc").alias("q_acc"), F.col("cond").alias("q_cond")).join(upper(queries).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
     target_side = profiles.select(F.col("seq_id").alias("target_id"), F.col("acc").alias("t_acc"), F.col("cond").alias("t_cond")).join(upper(targets).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t_seq")), "target_id")
+    # few bytes, much work: as many tasks as shuffles have partitions, whatever the bytes
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = favourable(by_pair.join(query_side, "query_id").join(target_side, "target_id"), least)
-    return extended(pairs, least, p.interaction, p.final, p.drop_ungapped, p.drop_gapped, p.helix, model)
+    return extended(pairs.repartition(tasks, "query_id", "target_id"), least, p.interaction, p.final, p.drop_ungapped, p.drop_gapped, p.helix, model)
 
 
 def search_store(queries: DataFrame, store: Store, parameters: SearchParameters = SearchParameters(), model: Model | None = None) -> DataFrame:

@@ -87,3 +87,12 @@ def test_padding_and_batches_do_not_matter():
         assert np.allclose(acc, a, atol=1e-5) and np.allclose(cond, b, atol=1e-5)
         assert len(acc) == len(cond) == len(s)
     assert (together[-1][0] >= 0).all()
+
+
+def test_null_and_short_sequences(spark):
+    from duplexa.operators.accessibility import accessibility
+
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "ACG"), (4, "GGGGAAAACCCC"), (4, "GGGGAAAACCCC")], "seq_id long, seq string")
+    got = sorted((r.seq_id, None if r.acc is None else len(r.acc)) for r in accessibility(rows).collect())
+    assert got == [(1, None), (2, 0), (3, 3), (4, 12), (4, 12)]
+    assert accessibility(rows.limit(0)).count() == 0
