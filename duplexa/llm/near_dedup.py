@@ -209,3 +209,17 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) ->
     """The rows of docs, with all their columns, that near_duplicates keeps: of each group the smallest doc_id. Rows without id stay, repeated rows of a kept id stay."""
     gone = settle(near_duplicates(docs, percent, shingle).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct())
     return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+#: DuckDB SQL for near_duplicates(documents): all common shingles of all pairs counted, and what each document reaches over links.
+SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from d, unnest(range(1, len(w) - 3)) u(i) union select doc_id, array_to_string(w, ' ') from d where len(w) between 1 and 4),
+n as (select doc_id, count(*) n from s group by 1),
+c as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {PERCENT} * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(x, y) as (select doc_id, doc_id from d union select x, b from r join e on y = a),
+m as (select x doc_id, min(y) component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id, doc_id = component_id kept from m left join n using (doc_id)
+"""

@@ -10,6 +10,7 @@ from .decontaminate import leaks
 from .langid import identify
 from .licenses import scan as scan_licenses
 from .mixing import mix
+from .near_dedup import SQL as NEAR_SQL
 from .near_dedup import near_duplicates
 from .pages import extract
 from .pii import find_pii
@@ -65,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_format": PREFERENCE_SQL}
+    return {"op4_preference_format": PREFERENCE_SQL, "op6_minmax_near_dedup": NEAR_SQL}

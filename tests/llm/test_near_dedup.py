@@ -123,3 +123,14 @@ def test_components(spark):
             up[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: top(x) for x in up}
+
+
+def test_equals_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{path}'")
+    want = con.sql(N.SQL).df().sort_values("doc_id").reset_index(drop=True)
+    own = N.near_duplicates(spark.read.parquet(path)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert own[want.columns].equals(want)
