@@ -143,7 +143,8 @@ def loose_links(checked: DataFrame, found: DataFrame, texts: DataFrame, percent:
         .select("a", F.col("b").alias("hub"), "n", F.coalesce("component", "a").alias("component"), (F.coalesce("component", "a") != F.coalesce("of_hub", "b")).alias("out"))
     )
     sums = rows.groupBy("hub").agg(F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("outer"), F.coalesce(F.sum(F.when(~F.col("out"), F.col("n"))), F.lit(0)).alias("inner"), F.count("*").alias("texts")).where("outer > 0 and texts > 1")
-    blocks = sums.select("hub", F.ceil(F.col("outer") / block).cast("int").alias("outer"), F.ceil(F.col("inner") / block).cast("int").alias("inner"))
+    # settled, so that a hub with very many texts is only dealt by hub where the table of hubs is too large to send around
+    blocks = settle(sums.select("hub", F.ceil(F.col("outer") / block).cast("int").alias("outer"), F.ceil(F.col("inner") / block).cast("int").alias("inner")))
     upto = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<within:boolean,i:int,j:int>>"))
     meet = lambda within, i, j: F.struct(F.lit(within).alias("within"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     own = F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner")))
