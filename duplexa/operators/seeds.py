@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.energy import PAIR, REVERSE, STACK
 
 _BASES = "ACGU"
+#: Rows of the window table up to which it is broadcast.
+BROADCAST = 50_000
 _TYPE = {(a, b): int(PAIR[i + 1, j + 1]) for i, a in enumerate(_BASES) for j, b in enumerate(_BASES)}
 
 
@@ -32,7 +34,7 @@ def window_pairs(spark: SparkSession, size: int) -> DataFrame:
     out = pair_types(spark).select(F.col("qb").alias("q_window"), F.col("tb").alias("t_window"), F.lit(0).alias("energy"), "type")
     step = pair_types(spark).join(stacks(spark), F.col("type") == F.col("inner_type")).select("qb", "tb", F.col("type").alias("next"), "outer_type", F.col("energy").alias("more"))
     for _ in range(size - 1):
-        out = out.join(step, out.type == step.outer_type).select(F.concat("q_window", "qb").alias("q_window"), F.concat("t_window", "tb").alias("t_window"), (F.col("energy") + F.col("more")).alias("energy"), F.col("next").alias("type"))
+        out = out.join(F.broadcast(step), out.type == step.outer_type).select(F.concat("q_window", "qb").alias("q_window"), F.concat("t_window", "tb").alias("t_window"), (F.col("energy") + F.col("more")).alias("energy"), F.col("next").alias("type"))
     return out.select("q_window", "t_window", "energy")
 
 
@@ -85,7 +87,9 @@ def seed_search(queries: DataFrame, targets: DataFrame, least: int = 5, most: in
     """
     spark = queries.sparkSession
     side = lambda df, name, target: df.select(F.col("seq_id").alias(name), F.explode(windows(F.col("seq"), least, most, target)).alias("w")).select(name, F.col("w.pos").alias(f"{name}_pos"), F.col("w.window").alias(f"{name[0]}_window"), F.col("w.beyond").alias(f"{name[0]}_beyond"))
-    met = side(queries, "query_id", False).join(window_pairs(spark, least), "q_window").join(side(targets, "target_id", True), "t_window")
+    table = window_pairs(spark, least)  # 6**least rows, whatever the sequences: sent around up to BROADCAST of them
+    table = F.broadcast(table) if 6**least <= BROADCAST else table
+    met = side(queries, "query_id", False).join(table, "q_window").join(side(targets, "target_id", True), "t_window")
     types, energies = _types(), _energies()
     code = lambda text, i: F.instr(F.lit(_BASES), F.substring(text, i + 1, F.lit(1))) - 1
     kind = lambda i: F.element_at(types, (4 * code(F.col("q_beyond"), i) + code(F.col("t_beyond"), i) + 1).cast("int"))

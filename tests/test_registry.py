@@ -16,7 +16,11 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+#: Compared with SQL by the driver too; here one of those that begin with the same seeds is enough.
+LIKE_OTHERS = {"seed_search", "seed_energy_hist", "format_style0", "ungapped_pairs"}
+
+
+@pytest.mark.parametrize("name", sorted(set(registry.oracle_sql()) - LIKE_OTHERS))
 def test_equals_sql(spark, con, name):
     own, want = registry.queries()[name](spark, DIR).toPandas(), con.sql(registry.oracle_sql()[name]).df()
     columns = sorted(own.columns)
