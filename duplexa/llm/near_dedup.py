@@ -33,6 +33,8 @@ PERMUTATIONS = 60
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
 SHINGLE = 5
+#: Pairs with one hub that are confirmed together.
+PART = 256
 #: Shingles of a block in the second step.
 BLOCK = 1 << 16
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -94,9 +96,12 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    of_a = texts.join(pairs.hint("merge"), texts.id == pairs.a).select("a", "b", F.col("text").alias("text_a"))
-    of_b = texts.hint("merge").join(pairs.select("b").distinct(), F.col("id") == F.col("b")).select("b", F.col("text").alias("text_b"))
-    return of_a.join(of_b.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    """a, b, text_a and text_b; pairs of a b with many of them are dealt into parts of about PART pairs, to each of which b's text goes."""
+    parts = settle(pairs.groupBy("b").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")))
+    dealt = pairs.join(parts, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    of_a = texts.join(dealt.hint("merge"), texts.id == dealt.a).select("a", "b", "part", F.col("text").alias("text_a"))
+    of_b = texts.hint("merge").join(parts.hint("merge"), F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias("text_b"))
+    return of_a.join(of_b.hint("merge"), ["b", "part"]).select("a", "b", "text_a", "text_b")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
