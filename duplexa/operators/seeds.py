@@ -89,6 +89,8 @@ def seed_search(queries: DataFrame, targets: DataFrame, least: int = 5, most: in
     side = lambda df, name, target: df.select(F.col("seq_id").alias(name), F.explode(windows(F.col("seq"), least, most, target)).alias("w")).select(name, F.col("w.pos").alias(f"{name}_pos"), F.col("w.window").alias(f"{name[0]}_window"), F.col("w.beyond").alias(f"{name[0]}_beyond"))
     table = window_pairs(spark, least)  # 6**least rows, whatever the sequences: sent around up to BROADCAST of them
     table = F.broadcast(table) if 6**least <= BROADCAST else table
+    # sequences are few bytes and much work: as many tasks as shuffles have partitions, whatever the bytes
+    queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id")
     met = side(queries, "query_id", False).join(table, "q_window").join(side(targets, "target_id", True), "t_window")
     types, energies = _types(), _energies()
     code = lambda text, i: F.instr(F.lit(_BASES), F.substring(text, i + 1, F.lit(1))) - 1
