@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with built-in functions only.
 
 Numbers, names inside a sentence and units after a number become typed placeholders; windows of WINDOW canonical words of all documents meet those of the benchmark in a hash join. An item found
-in a document by enough of its windows must fill its slots consistently: a value of the item stands for one value of the document and the reverse, so that re-parameterised
+in a document by enough of its windows must fill its slots consistently in one of its occurrences there, whatever others hold: a value of the item stands for one value of the document and the reverse, so that re-parameterised
 questions are caught and chance agreement of number-laden text is not.
 
 The benchmark's windows are settled, so Spark broadcasts them only if their true size is under its broadcast threshold, and shuffles both sides otherwise; windows of documents carry no text.
@@ -9,7 +9,7 @@ The benchmark's windows are settled, so Spark broadcasts them only if their true
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settle
@@ -63,10 +63,22 @@ def _window_keys(words: Column, window: int) -> Column:
     return F.element_at(F.transform(F.array(words), keys), 1)
 
 
+def _occurrences(found: DataFrame, window: int) -> DataFrame:
+    """doc_id, item_id, shift, level and first, a row for each occurrence of an item that a shift is part of: the whole document (level 0), its run of shifts less than a window apart (1; words were put in or left
+    out) and itself (2; word for word). Two copies of an item are as far apart as it is long, a window or more."""
+    shifts = found.select("doc_id", "item_id", "shift").distinct()
+    each = Window.partitionBy("doc_id", "item_id").orderBy("shift")
+    begun = shifts.withColumn("begun", F.when(F.coalesce(F.col("shift") - F.lag("shift").over(each) >= window, F.lit(True)), F.col("shift")))
+    runs = begun.withColumn("run", F.last("begun", ignorenulls=True).over(each))
+    levels = F.array(*(F.struct(F.lit(i).alias("level"), x.cast("long").alias("first")) for i, x in enumerate((F.lit(0), F.col("run"), F.col("shift")))))
+    return runs.select("doc_id", "item_id", "shift", F.explode(levels).alias("x")).select("doc_id", "item_id", "shift", "x.*")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """A row for each document and benchmark item found in it: doc_id, item_id, n_windows, item_windows, share, n_slots, n_conflicts, reparameterised.
 
-    Only pairs that count as leaks are returned: share of the item's windows or more, and at most CONFLICTS of the slots filled in conflict. Rows that repeat a doc_id are one document, rows
+    Only pairs that count as leaks are returned: an occurrence of the item (see _occurrences) has share of its windows or more, and at most CONFLICTS of the slots filled in conflict; the figures are those of the
+    passing occurrence with most windows and slots. Rows that repeat a doc_id are one document, rows
     that repeat an item_id one item; rows without id or text, and items of fewer words than a window, are found nowhere. Other columns are ignored.
     """
     items = settle(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), canonical_words(F.col("text").cast("string")).alias("words"), raw_words(F.col("text").cast("string")).alias("raw")))
@@ -82,20 +94,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: fl
         .select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
         .distinct()
     )
-    pairs = settle(found.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_windows")).join(totals, "item_id").withColumn("share", F.col("n_windows") / F.col("item_windows")).where(F.col("share") >= share))
+    pairs = settle(found.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_windows")).join(totals, "item_id").where(F.col("n_windows") >= share * F.col("item_windows")).drop("n_windows"))
+    found = settle(found.join(pairs, ["doc_id", "item_id"]))
+    occurrences = settle(_occurrences(found, window))
+    in_pair, in_shift, in_one = ["doc_id", "item_id"], ["doc_id", "item_id", "shift"], ["doc_id", "item_id", "level", "first"]
+    enough = settle(found.join(occurrences, in_shift).groupBy(*in_one, "item_windows").agg(F.countDistinct("place").alias("n_windows")).withColumn("share", F.col("n_windows") / F.col("item_windows")).where(F.col("share") >= share))
     slots = settle(items.select("item_id", F.posexplode(F.arrays_zip("words", "raw")).alias("slot", "x")).where(_is_slot(F.col("x.words"))).select("item_id", "slot", F.col("x.words").alias("kind"), F.lower("x.raw").alias("value")).distinct())
-    filled = found.join(pairs.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").join(slots, "item_id").where((F.col("slot") >= F.col("place")) & (F.col("slot") < F.col("place") + window)).select("doc_id", "item_id", "shift", "slot", "kind", "value").distinct()
-    asked = settle(filled.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "kind", "value", (F.col("slot") + F.col("shift")).alias("at"))).alias("asked")))
-    values = texts.join(asked, "doc_id").select("doc_id", "asked", raw_words(F.col("text")).alias("raw")).select("doc_id", F.explode(F.transform("asked", lambda x: F.struct(x["item_id"].alias("item_id"), x["kind"].alias("kind"), x["value"].alias("value"), F.lower(F.try_element_at("raw", (x["at"] + 1).cast("int"))).alias("own")))).alias("x")).select("doc_id", "x.*")
-    key = ["doc_id", "item_id", "kind"]
-    by_item = values.groupBy(*key, "value").agg(F.count("*").alias("n"), F.countDistinct("own").alias("k"), F.max(F.col("own") != F.col("value")).alias("other"))
-    by_doc = values.groupBy(*key, "own").agg(F.countDistinct("value").alias("k")).groupBy("doc_id", "item_id").agg(F.sum(F.col("k") - 1).alias("back"))
-    slot_stats = by_item.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_slots"), F.sum(F.col("k") - 1).alias("forth"), F.max("other").alias("other")).join(by_doc, ["doc_id", "item_id"])
-    return (
-        pairs.join(slot_stats, ["doc_id", "item_id"], "left")
-        .select("doc_id", "item_id", "n_windows", "item_windows", "share", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce(F.col("forth") + F.col("back"), F.lit(0).cast("long")).alias("n_conflicts"), F.coalesce("other", F.lit(False)).alias("reparameterised"))
+    filled = found.join(slots, "item_id").where((F.col("slot") >= F.col("place")) & (F.col("slot") < F.col("place") + window)).select(*in_shift, "slot", "kind", "value").distinct()
+    asked = settle(filled.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "kind", "value", (F.col("slot") + F.col("shift")).alias("at"))).alias("asked")))
+    values = texts.join(asked, "doc_id").select("doc_id", "asked", raw_words(F.col("text")).alias("raw"))
+    values = values.select("doc_id", F.explode(F.transform("asked", lambda x: F.struct(*(x[c].alias(c) for c in ("item_id", "shift", "kind", "value", "at")), F.lower(F.try_element_at("raw", (x["at"] + 1).cast("int"))).alias("own")))).alias("x")).select("doc_id", "x.*")
+    values = values.join(occurrences, in_shift)
+    by_item = values.groupBy(*in_one, "kind", "value").agg(F.countDistinct("at").alias("n"), F.countDistinct("own").alias("k"), F.max(F.col("own") != F.col("value")).alias("other"))
+    by_doc = values.groupBy(*in_one, "kind", "own").agg(F.countDistinct("value").alias("k")).groupBy(*in_one).agg(F.sum(F.col("k") - 1).alias("back"))
+    slot_stats = by_item.groupBy(*in_one).agg(F.sum("n").alias("n_slots"), F.sum(F.col("k") - 1).alias("forth"), F.max("other").alias("other")).join(by_doc, in_one)
+    passed = (
+        enough.join(slot_stats, in_one, "left")
+        .select(*in_one, "n_windows", "item_windows", "share", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce(F.col("forth") + F.col("back"), F.lit(0).cast("long")).alias("n_conflicts"), F.coalesce("other", F.lit(False)).alias("reparameterised"))
         .where(F.col("n_conflicts") <= CONFLICTS * F.col("n_slots"))
     )
+    given = ["n_windows", "item_windows", "share", "n_slots", "n_conflicts", "reparameterised"]
+    return passed.groupBy(*in_pair).agg(F.max_by(F.struct(*given), F.struct("n_windows", "n_slots", -F.col("level"), -F.col("first"))).alias("x")).select(*in_pair, "x.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

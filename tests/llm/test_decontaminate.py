@@ -65,3 +65,14 @@ def test_against_brute_force_on_plain_items(spark):
         own = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
         want |= {(d.doc_id, i) for i, g in grams.items() if g and sum(x in own for x in g) >= 0.4 * len(g)}
     assert {(r.doc_id, r.item_id) for r in D.leaks(docs, items).collect()} == want and want
+
+
+def test_variants_in_one_document_are_judged_one_by_one(spark):
+    sold = "On Monday the farmer {} sold {} kg of apples to {} for {} euros, then {} gave {} apples away and counted what was left over."
+    fill = [("Alice", 12, "Bob", "3.50"), ("Carol", 7, "David", "12.25"), ("Erwin", 5, "Frank", "8.75"), ("Grete", 31, "Heinz", "99.10")]
+    chapter = [sold.format(*f, f[0], f[1]) for f in fill]
+    longer = COPY.replace("the farmer Carol", "the very old farmer Carol").replace("away and", "all away at last and")
+    other = sold.format("Xaver", 3, "Yann", "1.10", "Zora", 4)
+    docs = [(1, ITEMS[0][1] + " " + COPY, 0), (2, " ".join(chapter), 0), (3, WRONG + " " + other, 0), (4, WRONG + " " + COPY, 0), (5, ITEMS[0][1] + " " + longer, 0)]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(*run(spark, docs, [ITEMS[0], *((10 + i, t) for i, t in enumerate(chapter))])).collect()}
+    assert got == {(d, i) for d in (1, 2, 4, 5) for i in (1, 10, 11, 12, 13)}
