@@ -4,8 +4,8 @@ Each document gives rates (word length, symbols, duplicate lines, repeated words
 steps: distances under the current mean and covariance, then mean and covariance of the HALF nearest documents, from two starts (medians and quartiles; plain moments); the smaller determinant wins. Documents whose
 Mahalanobis distance under it is too large are rejected.
 
-A step is one distributed aggregation: counts and moments per language, source and logarithmic bin of the distance. So all documents take part at any size, the largest group is never brought together, and what is solved per group
-is at most BINS rows. Groups of fewer than LEAST documents share the estimate of their language, or else of all.
+A step is one distributed aggregation: counts and moments per group and logarithmic bin of the distance. So all documents take part at any size, the largest group is never brought together, and what is solved per group
+is at most BINS rows. Groups of fewer than LEAST documents are judged by the estimate of their language, or else of all; these are made from all documents of the language or of the table, large groups included.
 """
 
 from __future__ import annotations
@@ -163,11 +163,10 @@ def models(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame
     """lang, source and the model of each, from a settled table of lang, source and the vectors X; null keys are keys."""
     sizes = rows.groupBy("lang", "source").count()
     by_lang = sizes.groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("in_lang"))
-    groups = settle(
-        sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select(
-            "lang", "source", F.when(F.col("count") >= least, F.xxhash64(F.lit("s"), "lang", "source")).when(F.col("in_lang") >= least, F.xxhash64(F.lit("l"), "lang")).otherwise(F.lit(0).cast("long")).alias("grp")
-        )
-    )
+    own, in_lang, in_all = F.xxhash64(F.lit("s"), "lang", "source"), F.xxhash64(F.lit("l"), "lang"), F.lit(0).cast("long")
+    groups = settle(sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select("lang", "source", F.when(F.col("count") >= least, own).when(F.col("in_lang") >= least, in_lang).otherwise(in_all).alias("grp")))
+    # what judges someone is estimated from all its documents, also from those that have a model of their own
+    members = settle(sizes.select("lang", "source", F.explode(F.array(own, in_lang, in_all)).alias("grp")).join(groups.select("grp").distinct(), "grp", "left_semi"))
 
     def placed(df: DataFrame, table: DataFrame) -> DataFrame:
         table = table.withColumnsRenamed({"lang": "_l", "source": "_s"})
@@ -175,7 +174,7 @@ def models(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame
 
     def rolled(df: DataFrame, *keys: str) -> DataFrame:
         """Sums by group of what was summed by language and source."""
-        return placed(df, groups).groupBy("grp", *keys).agg(*(F.sum(c).alias(c) for c in df.columns if c not in ("lang", "source", *keys)))
+        return placed(df, members).groupBy("grp", *keys).agg(*(F.sum(c).alias(c) for c in df.columns if c not in ("lang", "source", *keys)))
 
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.col(x) * 32).cast("int").alias("value")) for i, x in enumerate(X))))
     histogram = rows.select("lang", "source", values.alias("v")).groupBy("lang", "source", "v.i", "v.value").agg(F.count("*").alias("n"))
@@ -183,9 +182,9 @@ def models(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame
     plain = rolled(rows.groupBy("lang", "source").agg(*_moments())).select("*", F.lit(1).alias("start"), F.lit(0).alias("bin")).groupBy("grp").applyInPandas(_concentrate, MODEL_SCHEMA)
     model = settle(medians.union(plain))
     for _ in range(steps):
-        known = groups.join(model.drop("spread", "cut"), "grp").drop("grp")
-        binned = placed(rows, known).withColumn("bin", _bin(_distance())).groupBy("lang", "source", "start", "bin").agg(*_moments())
-        model = settle(rolled(binned, "start", "bin").groupBy("grp", "start").applyInPandas(_concentrate, MODEL_SCHEMA))
+        known = members.join(model.drop("spread", "cut"), "grp")
+        binned = placed(rows, known).withColumn("bin", _bin(_distance())).groupBy("grp", "start", "bin").agg(*_moments())
+        model = settle(binned.groupBy("grp", "start").applyInPandas(_concentrate, MODEL_SCHEMA))
     best = model.groupBy("grp").agg(F.min_by("start", F.struct("spread", "start")).alias("start"))
     return settle(groups.join(model.join(best, ["grp", "start"]), "grp").drop("grp", "start", "spread"))
 

@@ -55,3 +55,15 @@ def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, None, None, None, 1.0), (None, "a b", "en", None, 2.0), (2, "w v " * 60, None, "s", 0.0), (2, "w v " * 60, None, "s", 0.0)], "doc_id long, text string, lang string, source string, cut double")
     assert sorted((str(r.doc_id), r.n_words, r.base_failed, r.kept) for r in Q.judge(docs).collect()) == [("1", 0, True, False), ("2", 120, True, False), ("2", 120, True, False), ("None", 2, True, False)]
     assert Q.judge(docs.limit(0)).count() == 0
+
+
+def test_small_groups_are_judged_by_their_whole_language(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(3, 1, (1200, Q.DIM))
+    keys = [("en", "large")] * 900 + [("en", "small")] * 20 + [("de", "other")] * 280
+    rows = [(*k, *map(float, v)) for k, v in zip(keys, x)] + [("en", "lone", *[30.0] * Q.DIM), ("fr", "lone", *[30.0] * Q.DIM)]
+    got = {(r.lang, r.source): r for r in Q.models(spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{c} double" for c in Q.X))).collect()}
+    assert len(got) == 5
+    for key in (("en", "small"), ("en", "lone"), ("fr", "lone")):
+        assert max(abs(got[key][f"m{i}"] - 3) for i in range(Q.DIM)) < 0.25
+    assert got["en", "small"].m0 == got["en", "lone"].m0 != got["en", "large"].m0
