@@ -67,3 +67,19 @@ def test_small_groups_are_judged_by_their_whole_language(spark):
     for key in (("en", "small"), ("en", "lone"), ("fr", "lone")):
         assert max(abs(got[key][f"m{i}"] - 3) for i in range(Q.DIM)) < 0.25
     assert got["en", "small"].m0 == got["en", "lone"].m0 != got["en", "large"].m0
+
+
+def test_each_statistic_alone_can_reject(spark):
+    rng = np.random.default_rng(4)
+    usual = np.array([1.8, 0, 0, 0, 0.95, 1.35])
+    x = usual + rng.normal(0, 1, (1000, Q.DIM)) * [0.03, 0, 0, 0, 0.14, 0.12]
+    model = Q.models(spark.createDataFrame([("en", "s", *map(float, v)) for v in x], "lang string, source string, " + ", ".join(f"{c} double" for c in Q.X))).first()
+
+    def passes(**own):
+        d = np.array([own.get(c, u) for c, u in zip(Q.X, usual)]) - [model[f"m{i}"] for i in range(Q.DIM)]
+        return sum((1 if i == j else 2) * model[f"p{i}_{j}"] * d[i] * d[j] for i, j in Q.PAIRS) <= model.cut
+
+    rate = lambda percent: float(np.log1p(percent))
+    for planted in ({"x0": 2.3}, {"x1": rate(3)}, {"x2": rate(50)}, {"x3": rate(30)}, {"x4": rate(40)}, {"x5": rate(40)}, {"x2": rate(90), "x3": rate(50)}):
+        assert not passes(**planted), planted
+    assert passes() and passes(x1=rate(0.5)) and passes(x2=rate(15), x3=rate(12))
