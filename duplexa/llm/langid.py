@@ -1,10 +1,12 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy, with calibrated rejection.
 
 A text's features are the byte 3-grams and 4-grams of its words (with a mark at either end) and the whole words, hashed into BUCKETS rows of an embedding table; the text is their mean, and a linear
-layer with softmax tells languages apart. For prediction the two layers are multiplied out, so a feature costs one row of a bucket-by-language table.
+layer with softmax tells languages apart. Where there are no more languages than dimensions the two layers are multiplied out for prediction, so that a feature costs one row of a bucket-by-language table.
 
-Training reads a bounded sample: at most TRAIN_ROWS labelled texts, an even number per language, of each at most TRAIN_FEATURES features drawn from the whole text. A part of the sample isn't trained on: it
-fixes the temperature that calibrates probabilities and the limit under which a text is rejected, REJECT of the rightly told ones at most.
+Training reads a bounded sample, at most TRAIN_ROWS labelled texts, evenly many per language, each whole. Every fifth isn't trained on, but calibrates two things: the temperature of the probabilities, against targets
+smoothed by the sample's size, and rejection. A softmax can't know a stranger, as it shares all mass among what it has learned; so rejection rests on a text's familiarity, the mean log frequency of its features
+in the training texts. It is standardised by the language told and the number of features (whole calibration texts and pieces of them give mean and spread at each length), and a text is rejected under the score
+that REJECT of texts like the training ones stay under, by an exponential tail through the lowest of the calibration texts.
 """
 
 from __future__ import annotations
@@ -21,16 +23,18 @@ from .shared import slices
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
-TRAIN_ROWS = 6000
-TRAIN_FEATURES = 256
-#: Languages that are learned, the most frequent ones.
-MAX_LANGUAGES = 200
+#: Labelled texts that are read for training and calibration; of each come at most BUCKETS distinct features to the driver.
+TRAIN_ROWS = 4000
 EPOCHS = 4
 RATE = 0.5
-#: Share of rightly told texts that calibration lets go.
-REJECT = 0.0005
-#: A text is never rejected at or over this probability: one in two languages is no stranger.
-SURE = 0.35
+#: Share of texts in learned languages that calibration lets go.
+REJECT = 0.0001
+#: Share of the calibration texts whose scores make the tail.
+TAIL = 0.05
+#: Features of the pieces of calibration texts.
+PIECES = (8, 32, 128, 512)
+#: Frequency of a feature that was never seen, in texts.
+UNSEEN = 1e-5
 UNKNOWN = "und"
 
 _FEATURE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -79,34 +83,37 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def _sampled(docs: DataFrame, rows: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Labels and features of the training sample; bounded by rows and TRAIN_FEATURES."""
-    usable = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return np.zeros(0, object), []
-    each = -(-rows // len(counts))
-    chance = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*(x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / n)))))
-    sample = usable.where(chance < F.element_at(share, F.col("lang")))
+def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
+    """(label, whether a piece, distinct features, how often) of the training sample and of pieces of its texts, in an order that doesn't depend on partitions.
+
+    Texts are chosen by a random number times the frequency of their language, the smallest first: so each language has about as many. One number, the largest chosen, is what decides in the tasks.
+    """
+    usable = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("key"))
+    counts = usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n_lang"))
+    chance = F.pmod(F.col("key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n_lang")
+    ranked = usable.join(counts, F.col("lang") == F.col("of")).withColumn("rank", chance)
+    last = ranked.select("rank").orderBy("rank").limit(rows).agg(F.max("rank")).first()[0]
+    if last is None:
+        return []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, at = features(batch.column("text"))
-                kept = []
-                for i in range(batch.num_rows):
+                out = []
+                for i, (lang, key, rank) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("key").to_pylist(), batch.column("rank").to_pylist(), strict=True)):
                     own = ids[at[i] : at[i + 1]]
-                    if len(own) > TRAIN_FEATURES:  # drawn evenly from the whole text
-                        own = own[(np.arange(TRAIN_FEATURES) * len(own)) // TRAIN_FEATURES]
-                    kept.append(own)
-                ends = np.cumsum([0, *map(len, kept)]).astype(np.int32)
-                flat = np.concatenate(kept).astype(np.int32) if kept else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "lang", "ids"])
+                    cuts = [(key >> 8) % (len(own) - n + 1) for n in PIECES if n < len(own)]
+                    for piece, part in enumerate((own, *(own[c : c + n] for c, n in zip(cuts, PIECES, strict=False)))):
+                        out.append((lang, key, rank, piece, *(x.astype(np.int32) for x in np.unique(part, return_counts=True))))
+                for low in range(0, len(out), 256):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out[low : low + 256]], schema=arrow)
 
-    found = sample.mapInArrow(run, "doc_id long, lang string, ids array<int>").orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(rows).toArrow()
-    ids = [x for x in found.column("ids").combine_chunks().to_numpy(zero_copy_only=False)] if found.num_rows else []
-    return np.array(found.column("lang").to_pylist(), object), ids
+    names = ("lang", "key", "rank", "piece", "ids", "counts")
+    arrow = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)))
+    chosen = ranked.where(F.col("rank") <= last).select("lang", "text", "key", "rank").limit(rows)
+    found = chosen.mapInArrow(run, "lang string, key long, rank double, piece int, ids array<int>, counts array<int>").orderBy("rank", "key", "lang", "piece").toArrow()
+    return [(lang, piece > 0, ids.values.to_numpy(), n.values.to_numpy()) for lang, piece, ids, n in zip(found.column("lang").to_pylist(), found.column("piece").to_pylist(), found.column("ids"), found.column("counts"), strict=True)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -115,37 +122,52 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """languages, the table of a score per bucket and language, a bias, the temperature and the rejection limit."""
-
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, limit: float = 0.0):
-        self.languages, self.table, self.bias, self.temperature, self.limit = languages, table, bias, temperature, limit
-
-    def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Uncalibrated scores of texts that have at least one feature."""
-        n = np.maximum(np.diff(at), 1)[:, None]
-        out = np.empty((len(at) - 1, len(self.languages)))
-        for c in range(len(self.languages)):
-            sums = np.zeros(len(ids) + 1)
-            np.cumsum(self.table[c][ids], out=sums[1:], dtype=np.float64)
-            out[:, c] = sums[at[1:]] - sums[at[:-1]]
-        return out / n + self.bias
-
-    def probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return _softmax(self.scores(ids, at) / self.temperature)
-
-
-def fit(labels: np.ndarray, ids: list[np.ndarray], seed: int = 1) -> Model | None:
+    """languages, a table of a row per bucket (embedding or scores, then log frequency), the linear layer where the table holds embeddings, a bias, the temperature, and per language the usual familiarity:
+    mean, variance between texts and variance per feature, with the limit of the standardised one."""
+
+    def __init__(self, languages: list[str], table: np.ndarray, weights: np.ndarray, bias: np.ndarray, familiar: np.ndarray):
+        if len(languages) <= len(weights):
+            table, weights = table @ weights, None
+        self.languages, self.weights, self.bias = languages, weights, bias.astype(np.float64)
+        self.table = np.ascontiguousarray(np.column_stack([table, familiar]), np.float32)
+        self.temperature, self.limit = 1.0, -np.inf
+        self.usual = np.tile([[0.0], [1.0], [0.0]], len(languages))
+
+    def scores(self, ids: np.ndarray, at: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Uncalibrated scores by language, and familiarity, of texts that have at least one feature each."""
+        rows = self.table[ids]
+        if counts is not None:
+            rows = rows * counts[:, None].astype(np.float32)
+        n = np.diff(at) if counts is None else np.add.reduceat(counts, at[:-1])
+        mean = np.add.reduceat(rows, at[:-1], axis=0).astype(np.float64) / n[:, None]
+        return (mean[:, :-1] if self.weights is None else mean[:, :-1] @ self.weights) + self.bias, mean[:, -1]
+
+    def standard(self, familiar: np.ndarray, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Familiarity against what is usual for the language told and so many features."""
+        mean, between, within = self.usual[:, best]
+        return (familiar - mean) / np.sqrt(between + within / n)
+
+
+def _flat(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all, where each text's begin, how often each, and the number of each text's."""
+    at = np.cumsum([0, *(len(x[0]) for x in texts)])
+    return np.concatenate([x[0] for x in texts]), at, np.concatenate([x[1] for x in texts]), np.array([x[1].sum() for x in texts])
+
+
+def fit(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], seed: int = 1) -> Model | None:
     """None without a labelled text that has a feature."""
-    full = [i for i, x in enumerate(ids) if len(x)]
-    if not full:
+    sample = [x for x in sample if len(x[2])]
+    if not sample:
         return None
-    labels, ids = labels[full], [np.asarray(ids[i], np.int64) for i in full]
-    languages = sorted(set(labels))
-    y = np.searchsorted(languages, labels.astype(str))
+    languages = sorted({x[0] for x in sample})
+    place = {x: i for i, x in enumerate(languages)}
+    whole = np.cumsum([not x[1] for x in sample]) - 1  # the text that a piece is of
+    held = whole % 5 == 4
+    texts = [(x[2], x[3]) for x in sample]
+    y = np.array([place[x[0]] for x in sample])
+    train = np.array([i for i, x in enumerate(sample) if not x[1] and not held[i]])
     rng = np.random.default_rng(seed)
-    calibrate = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
-    table, weights, bias = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32), np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    train = np.flatnonzero(~calibrate)
+    table, weights, bias = rng.normal(0, 0.1, (DIMENSIONS, BUCKETS)).astype(np.float32), np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     steps, step = EPOCHS * -(-len(train) // 32), 0
     for _ in range(EPOCHS):
         order = rng.permutation(train)
@@ -153,40 +175,63 @@ def fit(labels: np.ndarray, ids: list[np.ndarray], seed: int = 1) -> Model | Non
             rows = order[low : low + 32]
             rate = RATE * (1 - step / steps)
             step += 1
-            flat, n = np.concatenate([ids[r] for r in rows]), np.array([len(ids[r]) for r in rows])
-            owner = np.repeat(np.arange(len(rows)), n)
-            mean = np.add.reduceat(table[flat], np.cumsum(n) - n, axis=0) / n[:, None]
+            ids, at, counts, n = _flat([texts[r] for r in rows])
+            mean = (np.add.reduceat(table[:, ids] * counts.astype(np.float32), at[:-1], axis=1) / n).T
             error = _softmax(mean @ weights + bias)
             error[np.arange(len(rows)), y[rows]] -= 1
-            back = (error @ weights.T) / n[:, None]
+            back = rate * 16 * (error @ weights.T) / n[:, None]
             weights -= rate * (mean.T @ error).astype(np.float32)
             bias -= rate * 0.1 * error.sum(0).astype(np.float32)
-            # each text's features move by its own step; repeated ones add up
-            np.subtract.at(table, flat, (rate * 16 * back).astype(np.float32)[owner])
-    model = Model(languages, np.ascontiguousarray((table @ weights).T), bias.astype(np.float64))
-    held = np.flatnonzero(calibrate)
-    if len(held):
-        at = np.cumsum([0, *(len(ids[i]) for i in held)])
-        z = model.scores(np.concatenate([ids[i] for i in held]), at)
-        grid = np.geomspace(0.05, 20, 80)
-        losses = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(losses))])
-        p = _softmax(z / model.temperature)
-        right = np.sort(p.max(1)[p.argmax(1) == y[held]])
-        model.limit = float(min(SURE, right[int(len(right) * REJECT)])) if len(right) else 0.0
+            owner = np.repeat(np.arange(len(rows)), np.diff(at))
+            for d in range(DIMENSIONS):  # each text's features move by its own step; repeated ones add up
+                table[d] -= np.bincount(ids, back[owner, d] * counts, BUCKETS).astype(np.float32)
+    ids, at, counts, n = _flat([texts[r] for r in train])
+    seen = np.bincount(ids, counts / np.repeat(n, np.diff(at)), BUCKETS)  # each text counts as one
+    model = Model(languages, table.T, weights, bias, np.log((seen + UNSEEN) / (len(train) + UNSEEN * BUCKETS)))
+    if held.any():
+        _calibrate(model, [texts[i] for i in np.flatnonzero(held)], y[held], np.array([x[1] for x in sample])[held])
     return model
 
 
+def _calibrate(model: Model, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, piece: np.ndarray) -> None:
+    """Set the temperature, the usual familiarity and the limit from texts, and pieces of texts, that weren't trained on."""
+    ids, at, counts, n = _flat(texts)
+    z, familiar = model.scores(ids, at, counts)
+    whole = np.flatnonzero(~piece)
+    # a target of 1 would have no best temperature where all are told right
+    size = len(whole)
+    target = np.full((size, len(model.languages)), 1 / (size + 2) / max(len(model.languages) - 1, 1))
+    target[np.arange(size), y[whole]] = (size + 1) / (size + 2)
+    grid = np.geomspace(1e-4, 1e2, 241)
+    losses = [-(target * np.log(np.maximum(_softmax(z[whole] / t), 1e-300))).sum(1).mean() for t in grid]
+    model.temperature = float(grid[int(np.argmin(losses))]) if len(model.languages) > 1 else 1.0
+    best = z.argmax(1)
+    # squared deviations are a part that each text has and one that shrinks with its features; few texts of a language lean on all
+    slope = lambda d, m: np.linalg.lstsq(np.column_stack([np.ones(len(m)), 1 / m]) / (1 + 1 / np.sqrt(m))[:, None], d / (1 + 1 / np.sqrt(m)), rcond=None)[0]
+    spread = float(familiar.std()) ** 2 + 1e-3
+    means = np.array([(familiar[best == c].sum() + familiar.mean()) / ((best == c).sum() + 1) for c in range(len(model.languages))])
+    shared = np.maximum(slope(np.square(familiar - means[best]), n), [1e-3 * spread, 0.0]) if len(n) > 2 else np.array([spread, 0.0])
+    for c in range(len(model.languages)):
+        own = best == c
+        k = own.sum()
+        fitted = np.maximum(slope(np.square(familiar[own] - means[c]), n[own]), [1e-3 * spread, 0.0]) if k > 2 else shared
+        model.usual[:, c] = means[c], *((k * fitted + 20 * shared) / (k + 20))
+    score = np.sort(model.standard(familiar, best, n))
+    upto = max(1, int(np.ceil(TAIL * len(score))))
+    edge = score[min(upto, len(score) - 1)]
+    model.limit = float(edge - ((edge - score[:upto]).sum() + 0.5) / (upto + 1) * np.log(TAIL / REJECT))
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on labelled documents that aren't held out; lang, source and doc_id serve to choose and label them, never as inputs."""
-    return fit(*_sampled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows))
+    return fit(_sampled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")), rows))
 
 
 def _guesses(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     ids, at = features(column)
-    n = len(at) - 1
-    lang, score, rejected = [UNKNOWN] * n, np.zeros(n), np.ones(n, bool)
-    full = np.diff(at) > 0
+    n = np.diff(at)
+    lang, score, rejected = [UNKNOWN] * len(n), np.zeros(len(n)), np.ones(len(n), bool)
+    full = n > 0
     if full.any():  # beyond ASCII not all is a letter
         offsets, data = K.text_bytes(column)
         plain = np.zeros(int(offsets[-1] - offsets[0]) + 1, np.int64)
@@ -194,18 +239,24 @@ def _guesses(model: Model | None, column: pa.Array) -> tuple[list[str], np.ndarr
         for i in np.flatnonzero(full & (np.diff(plain[offsets - offsets[0]]) == 0)):
             full[i] = any(map(str.isalpha, column[int(i)].as_py()))
     if model and full.any():
-        p = model.probabilities(ids, at)
-        best = p.argmax(1)
-        score[full] = p.max(1)[full]
-        rejected[full] = score[full] < model.limit
-        lang = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, full, strict=True)]
+        some = np.flatnonzero(n > 0)
+        z, familiar = model.scores(ids, np.append(at[some], len(ids)))
+        best = z.argmax(1)
+        over = model.standard(familiar, best, n[some]) - model.limit
+        score[some] = _softmax(z / model.temperature).max(1) * np.exp(np.minimum(over, 0))
+        rejected[some] = over < 0
+        for i, b in zip(some, best, strict=True):
+            if full[i]:
+                lang[i] = model.languages[b]
+        score[~full], rejected[~full] = 0.0, True
     return lang, score, rejected
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score (the calibrated probability, 0 to 1) and rejected, a row for each row of docs; the model is trained on docs unless given.
+    """doc_id, held_out, lang_pred, score (the calibrated probability, less the further a rejected text lies under the limit; 0 to 1) and rejected, a row for each row of docs; the model is trained on docs unless given.
 
-    A null text or one without a letter is `und` with score 0 and rejected; so is any text if nothing could be learned. Other columns are ignored.
+    A text whose features are too strange for the language told is rejected, whatever its probability; a mix of learned languages isn't strange. Of two languages that share all features nothing tells a text apart; it gets
+    one of them. Repeated rows are texts of their own. Fewer than five labelled texts calibrate nothing: then no text with a letter is rejected. A null text or one without a letter is `und` with score 0 and rejected; so is any text if nothing could be learned. Other columns are ignored.
     """
     model = model or train(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
