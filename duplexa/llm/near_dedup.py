@@ -8,9 +8,9 @@ Texts with equal sets form a class at once, by 128 bits over the set; only one o
 Search goes in two steps, because within a group of near copies all pairs would be many:
 
 1. each text in a bucket is held against the bucket's smallest id, its hub; what holds gives components;
-2. where a hub has texts outside of its component, those are held against all others of the hub. Texts of a hub are dealt into blocks of about BLOCK shingles, and pairs of blocks are tasks' work: what each
-   two texts of them have in common comes from one product of their incidence matrices. So no group of any size meets in one task, and only links leave it. Pairs within one component need no look, as
-   they cannot change it. No bucket, text or pair is capped.
+2. where a hub has texts outside of its component, those are held against all others of the hub. Texts of a hub are dealt into blocks of about BLOCK shingles and TEXTS texts, and pairs of blocks are tasks' work:
+   what each two texts of them have in common comes from products of their incidence matrices, COLUMNS shingles at a time. So no group of any size meets in one task, and only links leave it. Pairs within one
+   component need no look, as they cannot change it. No bucket, text or pair is capped.
 
 A link at similarity s is found with probability 1 - (1 - s**ROWS)**BANDS at least: at 0.85, 0.999999. Confirmation is exact, on full sets. Texts are sent to candidates by id in a shuffle,
 never broadcast, as their number grows with the input; those that share a bucket are settled once and serve every confirmation.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import components
-from .shared import settle, slices
+from .shared import forget, settle, slices
 
 PERMUTATIONS = 60
 ROWS = 5
@@ -37,6 +37,10 @@ SHINGLE = 5
 PART = 256
 #: Shingles of a block in the second step.
 BLOCK = 1 << 16
+#: Texts of a block in the second step; its matrices have the square of twice as many values.
+TEXTS = 1 << 10
+#: Shingles that a product takes at once.
+COLUMNS = 1 << 11
 #: Linked if 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
@@ -129,27 +133,44 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle:
 def _links_within(component: np.ndarray, sets: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows i > j of different components whose sets are similar enough."""
     n = np.diff(at)
-    _, place, count = np.unique(sets, return_inverse=True, return_counts=True)
-    several = count > 1
-    column = np.cumsum(several) - 1
-    chosen = several[place]
-    has = np.zeros((len(n), int(several.sum())), np.float32)
-    has[np.repeat(np.arange(len(n)), n)[chosen], column[place[chosen]]] = 1
-    common = (has @ has.T).astype(np.int64)
-    ok = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (component[:, None] != component[None, :]) & (common > 0)
-    return np.nonzero(np.tril(ok, -1))
-
-
-def loose_links(checked: DataFrame, found: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    order = np.argsort(sets, kind="stable")
+    values, owner = sets[order], owner[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    begins = np.flatnonzero(new)
+    column = np.cumsum(new) - 1
+    several = np.diff(np.append(begins, len(values)))[column] > 1
+    owner, column = owner[several], np.cumsum(new[several]) - 1
+    common = np.zeros((len(n), len(n)))
+    has = np.empty((len(n), COLUMNS), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (low, low + COLUMNS)))
+        has[:] = 0
+        has[owner[part], column[part] - low] = 1
+        common += has @ has.T
+    found = []
+    for low in range(0, len(n), TEXTS):  # in strips, as what follows makes several matrices more
+        strip = common[low : low + TEXTS]
+        ok = (100 * strip >= percent * (n[low : low + TEXTS, None] + n[None, :] - strip)) & (component[low : low + TEXTS, None] != component[None, :]) & (strip > 0)
+        i, j = np.nonzero(ok)
+        found.append((i + low, j))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+    return i[i > j], j[i > j]
+
+
+def loose_links(checked: DataFrame, found: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, most: int = TEXTS) -> DataFrame:
     """Links (a, b) between texts that met one hub and were left in different components, of which one isn't the hub's. checked: what confirm gave for texts and their hubs."""
     rows = (
         checked.join(found.withColumnRenamed("node", "a"), "a", "left")
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("of_hub")), "b", "left")
         .select("a", F.col("b").alias("hub"), "n", F.coalesce("component", "a").alias("component"), (F.coalesce("component", "a") != F.coalesce("of_hub", "b")).alias("out"))
     )
-    sums = rows.groupBy("hub").agg(F.coalesce(F.sum(F.when(F.col("out"), F.col("n"))), F.lit(0)).alias("outer"), F.coalesce(F.sum(F.when(~F.col("out"), F.col("n"))), F.lit(0)).alias("inner"), F.count("*").alias("texts")).where("outer > 0 and texts > 1")
+    total = lambda which, what: F.coalesce(F.sum(F.when(which, what)), F.lit(0))
+    out, blocks_of = F.col("out"), lambda name: F.ceil(F.greatest(F.col(f"{name}.n") / block, F.col(f"{name}.texts") / most)).cast("int").alias(name)
+    sums = rows.groupBy("hub").agg(*(F.struct(total(which, F.col("n")).alias("n"), total(which, F.lit(1)).alias("texts")).alias(name) for name, which in (("outer", out), ("inner", ~out)))).where("outer.texts > 0 and outer.texts + inner.texts > 1")
     # settled, so that a hub with very many texts is only dealt by hub where the table of hubs is too large to send around
-    blocks = settle(sums.select("hub", F.ceil(F.col("outer") / block).cast("int").alias("outer"), F.ceil(F.col("inner") / block).cast("int").alias("inner")))
+    blocks = settle(sums.select("hub", blocks_of("outer"), blocks_of("inner")))
     upto = lambda n, make: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(F.array().cast("array<struct<within:boolean,i:int,j:int>>"))
     meet = lambda within, i, j: F.struct(F.lit(within).alias("within"), i.cast("int").alias("i"), j.cast("int").alias("j"))
     own = F.pmod(F.xxhash64("a"), F.when(F.col("out"), F.col("outer")).otherwise(F.col("inner")))
@@ -202,6 +223,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     more = settle(loose_links(checked, found, texts, percent, shingle))
     if not more.isEmpty():
         found = components(links.union(more))
+    forget(stars, texts, checked, more)
     ids = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("print_a", "print_b", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return (
         marks.drop("bands")

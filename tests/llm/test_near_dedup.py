@@ -125,6 +125,60 @@ def test_components(spark):
     assert got == {x: top(x) for x in up}
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, step):
+    from duplexa.llm import components as C
+
+    seeds, rank = set(), C._rank
+    monkeypatch.setattr(C, "_rank", lambda seed, node: seeds.add(seed) or rank(seed, node))
+    nodes = list(range(1000))[::step]
+    got = {r.node: r.component for r in components(spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1000), 0) and len(seeds) <= 15
+
+
+def test_no_table_of_a_past_round_stays(spark):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    got = components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"))
+    assert set(glob.glob(f"{folder}/*")) - before == {got.settled_at.removeprefix("file://")}
+
+
+def test_products_of_blocks_count_what_is_common(monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    monkeypatch.setattr(N, "TEXTS", 5)
+    sets = [sorted(rng.sample(range(40), rng.randrange(1, 12))) for _ in range(60)] + [[1, 2, 3], [1, 2, 3]]
+    component = np.array([rng.randrange(6) for _ in sets])
+    at = np.cumsum([0, *map(len, sets)])
+    i, j = N._links_within(component, np.concatenate(sets).astype(np.uint64), at, 50)
+    want = {(a, b) for a in range(len(sets)) for b in range(a) if component[a] != component[b] and 2 * len({*sets[a]} & {*sets[b]}) >= len({*sets[a]} | {*sets[b]})}
+    assert set(zip(i.tolist(), j.tolist())) == want and want
+
+
+def test_many_short_texts_round_one_hub_stay_small():
+    """Two blocks of most texts: the matrices are of TEXTS squared, whatever the hub has."""
+    import tracemalloc
+
+    n = 2 * N.TEXTS
+    sets = np.sort((np.arange(10) * 3 + np.random.default_rng(0).integers(0, 3, (n, 10))).astype(np.uint64), axis=1).ravel()
+    tracemalloc.start()
+    N._links_within(np.arange(n), sets, np.arange(0, 10 * n + 1, 10), 85)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    other = words.copy()
+    for k in range(0, len(other), 4000):
+        other[k] = "changed"
+    docs = spark.createDataFrame([(5, " ".join(words)), (3, " ".join(other)), (4, " ".join(words[:60_000])), (9, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in N.near_duplicates(docs).collect()} == {5: 3, 3: 3, 9: 3, 4: 4}
+
+
 def test_equals_sql(spark):
     import duckdb
 
