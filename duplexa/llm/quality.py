@@ -1,11 +1,14 @@
 """Quality rules: robust multivariate outliers among text statistics, by language and source.
 
 Each document gives rates (word length, symbols, duplicate lines, repeated words, capitals, punctuation), transformed by logarithms. For each language and source the minimum covariance determinant is sought by concentration
-steps: distances under the current mean and covariance, then mean and covariance of the HALF nearest documents, from two starts (medians and quartiles; plain moments); the smaller determinant wins. Documents whose
-Mahalanobis distance under it is too large are rejected.
+steps: distances under the current mean and covariance, then mean and covariance of the HALF nearest documents, from two starts (medians and quartiles; plain moments). A step's result is taken while it makes a
+determinant smaller; steps end when none does. The smaller determinant of the two wins, and documents whose Mahalanobis distance under it is too large are rejected.
+
+One rule holds for groups of all sizes: the estimate is regularised (the minimum regularised covariance determinant). A group's language takes part in it like PRIOR documents more, and all documents take part in that of a
+language in the same way; so the weight of a group's own documents, n / (n + PRIOR), grows smoothly, and a lone document is judged by its language. Languages and the whole are estimated from all their documents.
 
 A step is one distributed aggregation: counts and moments per group and logarithmic bin of the distance. So all documents take part at any size, the largest group is never brought together, and what is solved per group
-is at most BINS rows. Groups of fewer than LEAST documents are judged by the estimate of their language, or else of all; these are made from all documents of the language or of the table, large groups included.
+is at most BINS rows.
 """
 
 from __future__ import annotations
@@ -15,24 +18,27 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .shared import settle, slices
+from .shared import forget, settle, slices
 
 #: Share of a group's documents whose spread is made smallest.
 HALF = 0.75
-STEPS = 4
-LEAST = 200
+#: Documents that a group's language, or the whole of a language, counts for in its estimate.
+PRIOR = 100.0
+#: A step is taken while it lowers the logarithm of a determinant by more than this.
+LOWER = 0.01
 #: Standard normal score of the cut, by the Wilson-Hilferty form of the chi-squared distribution.
 CUT = 3.7
-#: Least standard deviation that counts, by statistic. The cut is about 5.3 of them, so that each statistic alone can pass it: in a group that has none, 2% symbols, 39% duplicate lines or 24% repeated words do.
-FLOORS = (0.06, 0.2, 0.8, 0.7, 0.4, 0.35)
+#: Least standard deviation that counts, by statistic; only what an estimate lacks of it is put on. The cut is about 5.3 of them, so that each statistic alone can pass it: in a group that has none, 2% symbols, 39% duplicate
+#: lines or 24% repeated words do.
+FLOORS = np.array((0.06, 0.2, 0.8, 0.7, 0.4, 0.35))
 DIM = len(FLOORS)
-#: Least covariance: repeated lines repeat their words, so the two say less together than twice.
-FLOOR = np.diag(np.square(FLOORS))
-FLOOR[2, 3] = FLOOR[3, 2] = 0.5 * FLOORS[2] * FLOORS[3]
+#: What is lacking in two statistics correlates so much: repeated lines repeat their words, so the two say less together than twice.
+TOGETHER = np.eye(DIM)
+TOGETHER[2, 3] = TOGETHER[3, 2] = 0.5
 BINS = 400
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -100,8 +106,11 @@ def _vector() -> list[Column]:
 X = [f"x{i}" for i in range(DIM)]
 PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
 MOMENTS = [f"s{i}" for i in range(DIM)] + [f"s{i}_{j}" for i, j in PAIRS]
+#: A raw estimate: documents, ln determinant, mean and covariance.
+RAW = ["n", "spread", *(f"m{i}" for i in range(DIM)), *(f"c{i}_{j}" for i, j in PAIRS)]
+RAW_SCHEMA = "grp long, start int, " + ", ".join(f"{c} double" for c in RAW)
+#: What a distance takes: mean and inverse.
 MODEL = [f"m{i}" for i in range(DIM)] + [f"p{i}_{j}" for i, j in PAIRS]
-MODEL_SCHEMA = "grp long, start int, spread double, " + ", ".join(f"{c} double" for c in MODEL) + ", cut double"
 
 
 def _moments() -> list[Column]:
@@ -120,85 +129,141 @@ def _bin(distance: Column) -> Column:
     return F.least(F.greatest(F.floor(8 * F.log2(distance + 1e-9)) + BINS // 2, F.lit(0)), F.lit(BINS - 1)).cast("int")
 
 
-def _solved(mean: np.ndarray, cov: np.ndarray) -> tuple[float, list[float]]:
-    """ln determinant, and mean and inverse as the model's columns; FLOOR keeps it regular."""
-    cov = cov + FLOOR
-    inverse = np.linalg.inv(cov)
-    return float(np.linalg.slogdet(cov)[1]), [*mean, *(inverse[i, j] for i, j in PAIRS)]
+def floored(cov: np.ndarray) -> np.ndarray:
+    """Covariances (any number of them) with what their variances lack of FLOORS put on."""
+    lack = np.sqrt(np.maximum(np.square(FLOORS) - np.diagonal(cov, axis1=-2, axis2=-1), 0))
+    return cov + lack[..., :, None] * lack[..., None, :] * TOGETHER
+
+
+def blended(weight: np.ndarray, mean: np.ndarray, cov: np.ndarray, other_mean: np.ndarray, other_cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a mixture, weight being the first part's."""
+    apart, w = mean - other_mean, weight[..., None, None]
+    return weight[..., None] * mean + (1 - weight[..., None]) * other_mean, w * cov + (1 - w) * other_cov + w * (1 - w) * apart[..., :, None] * apart[..., None, :]
 
 
 def _chi(score: float) -> float:
     return DIM * (1 - 2 / (9 * DIM) + score * np.sqrt(2 / (9 * DIM))) ** 3
 
 
-def _concentrate(rows: pd.DataFrame) -> pd.DataFrame:
-    """The next model of one group and start, from moments by bin of the distance under the last: those of the HALF nearest, a bin's share of them where it is cut."""
-    rows = rows.sort_values("bin")
-    n = rows["n"].to_numpy(float)
-    total = n.sum()
-    before = np.cumsum(n) - n
-    share = np.clip((HALF * total - before) / n, 0, 1)
-    m = (rows[MOMENTS].to_numpy() * share[:, None]).sum(0)
-    h = max((n * share).sum(), 1e-9)
-    mean = m[:DIM] / h
-    cov = np.zeros((DIM, DIM))
-    for (i, j), v in zip(PAIRS, m[DIM:], strict=True):
-        cov[i, j] = cov[j, i] = v / h - mean[i] * mean[j]
-    spread, model = _solved(mean, cov)
-    # under a normal model the middle squared distance is that of the chi-squared distribution: what scales the cut, where the last model has settled
-    middle = rows["bin"].to_numpy()[np.searchsorted(np.cumsum(n), total / 2)]
-    scale = max(1.0, 2.0 ** ((middle - BINS // 2 + 0.5) / 8) / _chi(0.0))
-    return pd.DataFrame([[rows["grp"].iloc[0], rows["start"].iloc[0], spread, *model, scale * _chi(CUT)]], columns=["grp", "start", "spread", *MODEL, "cut"])
-
-
-def _first(rows: pd.DataFrame) -> pd.DataFrame:
-    """The starting model of one group from medians and quartiles, by histograms of each statistic."""
-    mean, deviation = np.zeros(DIM), np.zeros(DIM)
-    for i, own in rows.sort_values("value").groupby("i"):
-        upto = own["n"].cumsum().to_numpy()
-        low, mid, high = (own["value"].to_numpy()[np.searchsorted(upto, q * upto[-1])] / 32 for q in (0.25, 0.5, 0.75))
-        mean[i], deviation[i] = mid, (high - low) / 1.349
-    spread, model = _solved(mean, np.diag(np.square(deviation)))
-    return pd.DataFrame([[rows["grp"].iloc[0], 0, spread, *model, 0.0]], columns=["grp", "start", "spread", *MODEL, "cut"])
-
-
-def models(rows: DataFrame, steps: int = STEPS, least: int = LEAST) -> DataFrame:
-    """lang, source and the model of each, from a settled table of lang, source and the vectors X; null keys are keys."""
-    sizes = rows.groupBy("lang", "source").count()
-    by_lang = sizes.groupBy(F.col("lang").alias("l")).agg(F.sum("count").alias("in_lang"))
-    own, in_lang, in_all = F.xxhash64(F.lit("s"), "lang", "source"), F.xxhash64(F.lit("l"), "lang"), F.lit(0).cast("long")
-    groups = settle(sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").select("lang", "source", F.when(F.col("count") >= least, own).when(F.col("in_lang") >= least, in_lang).otherwise(in_all).alias("grp")))
-    # what judges someone is estimated from all its documents, also from those that have a model of their own
-    members = settle(sizes.select("lang", "source", F.explode(F.array(own, in_lang, in_all)).alias("grp")).join(groups.select("grp").distinct(), "grp", "left_semi"))
-
-    def placed(df: DataFrame, table: DataFrame) -> DataFrame:
-        table = table.withColumnsRenamed({"lang": "_l", "source": "_s"})
-        return df.join(table, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").drop("_l", "_s")
+def _solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Raw estimates from sums of moments over h documents."""
+    for rows in batches:
+        h, m = np.maximum(rows["h"].to_numpy(float), 1e-9), rows[MOMENTS].to_numpy(float)
+        mean, cov = m[:, :DIM] / h[:, None], np.empty((len(rows), DIM, DIM))
+        for k, (i, j) in enumerate(PAIRS):
+            cov[:, i, j] = cov[:, j, i] = m[:, DIM + k] / h - mean[:, i] * mean[:, j]
+        spread = np.linalg.slogdet(floored(cov))[1] if len(rows) else h
+        yield pd.DataFrame(np.column_stack([rows["grp"], rows["start"]]), columns=["grp", "start"]).join(pd.DataFrame(np.column_stack([rows["n"], spread, mean, *(cov[:, i, j] for i, j in PAIRS)]), columns=RAW))
+
+
+def _concentrated(binned: DataFrame) -> DataFrame:
+    """The next estimates, from moments by group, start and bin of the distance under the last: those of the HALF nearest, a bin's share of them where it is cut."""
+    own = Window.partitionBy("grp", "start")
+    before = F.coalesce(F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shares = binned.withColumns({"total": F.sum("n").over(own), "before": before}).withColumn("share", F.least(F.greatest((HALF * F.col("total") - F.col("before")) / F.col("n"), F.lit(0.0)), F.lit(1.0)))
+    sums = shares.groupBy("grp", "start").agg(F.max("total").cast("double").alias("n"), F.sum(F.col("n") * F.col("share")).alias("h"), *(F.sum(F.col(c) * F.col("share")).alias(c) for c in MOMENTS))
+    return sums.mapInPandas(_solved, RAW_SCHEMA)
+
+
+def _quantiles(histogram: DataFrame, keys: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """keys, n and q0, q1 ..: the least value up to which these shares of a group's documents lie, from a table of keys, value and n."""
+    own = Window.partitionBy(*keys)
+    upto = histogram.withColumns({"total": F.sum("n").over(own), "upto": F.sum("n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))})
+    return upto.groupBy(*keys).agg(F.max("total").cast("double").alias("n"), *(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col(value))).alias(f"q{k}") for k, q in enumerate(shares)))
+
+
+def _first(histogram: DataFrame) -> DataFrame:
+    """The starting estimates from medians and quartiles, by histograms of each statistic (grp, i, value in 32nds, n), as moments of as many documents."""
+    at = _quantiles(histogram, ["grp", "i"], "value", (0.25, 0.5, 0.75)).select("grp", "i", "n", (F.col("q1") / 32).alias("mid"), ((F.col("q2") - F.col("q0")) / 32 / 1.349).alias("deviation"))
+    wide = at.groupBy("grp").agg(F.max("n").alias("n"), *(F.max(F.when(F.col("i") == i, F.col(c))).alias(f"{c}{i}") for i in range(DIM) for c in ("mid", "deviation")))
+    moment = lambda i, j: F.col(f"mid{i}") * F.col(f"mid{j}") + (F.col(f"deviation{i}") * F.col(f"deviation{i}") if i == j else 0.0)
+    return wide.select("grp", F.lit(0).alias("start"), "n", F.lit(1.0).alias("h"), *(F.col(f"mid{i}").alias(f"s{i}") for i in range(DIM)), *(moment(i, j).alias(f"s{i}_{j}") for i, j in PAIRS)).mapInPandas(_solved, RAW_SCHEMA)
+
+
+def _with_parents(table: DataFrame, tree: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """table with the columns of a group's parent (b_) and that one's (c_) beside its own (a_), null where there is none."""
+    own = table.select("grp", *keys, *(F.col(c).alias(f"a_{c}") for c in columns)).join(tree, "grp")
+    for prefix, up in (("b", "up"), ("c", "top")):
+        own = own.join(table.select(F.col("grp").alias(up), *keys, *(F.col(c).alias(f"{prefix}_{c}") for c in columns)), [up, *keys], "left")
+    return own
+
+
+def _regular(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Mean and inverse of each group's regularised estimate, from raw ones of it and its parents."""
+    for rows in batches:
+        n = len(rows)
+        mean, cov = np.zeros((n, DIM)), np.zeros((n, DIM, DIM))
+        for prefix in "cba":
+            raw = rows[[f"{prefix}_{c}" for c in RAW]].to_numpy(float)
+            own = np.zeros((n, DIM, DIM))
+            for k, (i, j) in enumerate(PAIRS):
+                own[:, i, j] = own[:, j, i] = raw[:, 2 + DIM + k]
+            there, known = ~np.isnan(raw[:, 0]), cov.any((1, 2)) | mean.any(1)
+            weight = np.where(known, raw[:, 0] / (raw[:, 0] + PRIOR), 1.0)
+            new_mean, new_cov = blended(weight, raw[:, 2 : 2 + DIM], own, mean, cov)
+            mean[there], cov[there] = new_mean[there], new_cov[there]
+        inverse = np.linalg.inv(floored(cov)) if n else cov
+        yield pd.concat([rows[["grp", "start"]].reset_index(drop=True), pd.DataFrame(np.column_stack([mean, *(inverse[:, i, j] for i, j in PAIRS)]), columns=MODEL)], axis=1)
+
+
+def _cuts(table: DataFrame, tree: DataFrame) -> DataFrame:
+    """grp and cut: the chi-squared quantile at CUT, scaled by how far distances spread in the group and its parents, weighted as the estimates are."""
+    wide, scale = _with_parents(table, tree, ["n", "scale"], []), F.lit(None).cast("double")
+    for prefix in "cba":
+        n, own = F.col(f"{prefix}_n"), F.col(f"{prefix}_scale")
+        scale = F.coalesce((n * own + PRIOR * scale) / (n + PRIOR), own, scale)
+    return wide.select("grp", (F.exp(scale) * float(_chi(CUT))).alias("cut"))
+
+
+def models(rows: DataFrame, lower: float = LOWER) -> DataFrame:
+    """own (the hash of a language and source), MODEL and cut of each, from a settled table of own, its language's hash in_lang, and the vectors X."""
+    members = settle(rows.select("own", "in_lang").distinct().select("own", "in_lang", F.explode(F.array("own", "in_lang", F.lit(0).cast("long"))).alias("grp")))
+    whole, own = F.lit(0).cast("long"), F.col("grp") == F.col("own")
+    tree = settle(members.select("grp", F.when(own, F.col("in_lang")).when(F.col("grp") != 0, whole).alias("up"), F.when(own, whole).alias("top")).distinct())
 
     def rolled(df: DataFrame, *keys: str) -> DataFrame:
         """Sums by group of what was summed by language and source."""
-        return placed(df, members).groupBy("grp", *keys).agg(*(F.sum(c).alias(c) for c in df.columns if c not in ("lang", "source", *keys)))
+        return df.join(members.drop("in_lang"), "own").groupBy("grp", *keys).agg(*(F.sum(c).alias(c) for c in df.columns if c not in ("own", *keys)))
+
+    def regular(raw: DataFrame) -> DataFrame:
+        return _with_parents(raw, tree, RAW, ["start"]).mapInPandas(_regular, "grp long, start int, " + ", ".join(f"{c} double" for c in MODEL))
+
+    def binned(model: DataFrame, *what: Column) -> DataFrame:
+        by_own = settle(members.drop("in_lang").join(model, "grp"))
+        return rows.join(by_own, "own").withColumn("bin", _bin(_distance())).groupBy("grp", "start", "bin").agg(*what)
 
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.col(x) * 32).cast("int").alias("value")) for i, x in enumerate(X))))
-    histogram = rows.select("lang", "source", values.alias("v")).groupBy("lang", "source", "v.i", "v.value").agg(F.count("*").alias("n"))
-    medians = rolled(histogram, "i", "value").groupBy("grp").applyInPandas(_first, MODEL_SCHEMA)
-    plain = rolled(rows.groupBy("lang", "source").agg(*_moments())).select("*", F.lit(1).alias("start"), F.lit(0).alias("bin")).groupBy("grp").applyInPandas(_concentrate, MODEL_SCHEMA)
-    model = settle(medians.union(plain))
-    for _ in range(steps):
-        known = members.join(model.drop("spread", "cut"), "grp")
-        binned = placed(rows, known).withColumn("bin", _bin(_distance())).groupBy("grp", "start", "bin").agg(*_moments())
-        model = settle(binned.groupBy("grp", "start").applyInPandas(_concentrate, MODEL_SCHEMA))
-    best = model.groupBy("grp").agg(F.min_by("start", F.struct("spread", "start")).alias("start"))
-    return settle(groups.join(model.join(best, ["grp", "start"]), "grp").drop("grp", "start", "spread"))
+    histogram = rows.select("own", values.alias("v")).groupBy("own", "v.i", "v.value").agg(F.count("*").alias("n"))
+    medians = _first(rolled(histogram, "i", "value"))
+    plain = rolled(rows.groupBy("own").agg(*_moments())).select("*", F.lit(1).alias("start"), F.col("n").alias("h")).mapInPandas(_solved, RAW_SCHEMA)
+    raw = settle(medians.union(plain).withColumn("new", F.lit(0)))
+    first = True
+    while first or raw.where("new = 1").limit(1).count():
+        step = _concentrated(binned(regular(raw), *_moments())).withColumn("new", F.lit(1))
+        if first:  # the starts are no estimates of the nearest: what they lead to is taken as it is
+            after = settle(step)
+        else:
+            best = F.min_by(F.struct(*RAW, "new"), F.struct(F.col("spread") + lower * F.col("new"), "new"))
+            after = settle(raw.withColumn("new", F.lit(0)).union(step).groupBy("grp", "start").agg(best.alias("x")).select("grp", "start", "x.*"))
+        forget(raw)
+        raw, first = after, False
+    chosen = settle(raw.groupBy("grp").agg(F.min_by(F.struct(*RAW), F.struct("spread", "start")).alias("x")).select("grp", F.lit(0).alias("start"), "x.*"))
+    model = settle(regular(chosen))
+    middle = _quantiles(binned(model, F.count("*").alias("n")), ["grp"], "bin", (0.5,))
+    # ln of the middle squared distance against that of the chi-squared distribution
+    scales = settle(middle.select("grp", "n", F.greatest(F.lit(0.0), float(np.log(2.0)) * (F.col("q0") - BINS // 2 + 0.5) / 8 - float(np.log(_chi(0.0)))).alias("scale")))
+    return settle(model.drop("start").join(_cuts(scales, tree), "grp").join(members.where("grp = own").select("grp", "own"), "grp").drop("grp"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and distance (squared, null where no estimate exists), a row for each row of docs.
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance (squared) and cut (both null for one that no group's estimate judges), a row for each row of docs.
 
-    A null or empty text has no words and fails the base rule. Documents that fail it take no part in the estimates. Null languages and sources are groups like others; repeated rows count each. Other columns are ignored.
+    A null or empty text has no words and fails the base rule. Documents that fail it take no part in the estimates, and are judged by one only where other documents of their language and source make it. Null languages and sources are
+    groups like others; repeated rows count each. Other columns are ignored.
     """
     stats = statistics(docs).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    stats = settle(stats.select("*", *(x.alias(name) for name, x in zip(X, _vector(), strict=True))))
-    known = models(stats.where("not base_failed").select("lang", "source", *X)).withColumnsRenamed({"lang": "_l", "source": "_s"})
-    judged = stats.join(known, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("distance", F.when(F.col("cut").isNotNull(), _distance()))
+    groups = (F.xxhash64(F.lit("s"), "lang", "source", F.col("lang").isNull()).alias("own"), F.xxhash64(F.lit("l"), "lang").alias("in_lang"))
+    stats = settle(stats.select("doc_id", *COUNTS[:5], "base_failed", *groups, *(x.alias(name) for name, x in zip(X, _vector(), strict=True))))
+    known = models(stats.where("not base_failed").select("own", "in_lang", *X))
+    judged = stats.join(known, "own", "left").withColumn("distance", F.when(F.col("cut").isNotNull(), _distance()))
     return judged.select("doc_id", *COUNTS[:5], "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= F.col("cut"), F.lit(True))).alias("kept"), "distance", "cut")
