@@ -1,10 +1,15 @@
 """Benchmark decontamination by template canonicalisation, with built-in functions only.
 
-Numbers, names inside a sentence and units after a number become typed placeholders; windows of WINDOW canonical words of all documents meet those of the benchmark in a hash join. An item found
-in a document by enough of its windows must fill its slots consistently in one of its occurrences there, whatever others hold: a value of the item stands for one value of the document and the reverse, so that re-parameterised
-questions are caught and chance agreement of number-laden text is not.
+Numbers, names inside a sentence and units after a number become typed placeholders, so that re-parameterised items are alike. Items that are alike, and that repeat their own values at the same slots, are one template; windows
+of canonical words of all documents meet those of the distinct templates in a hash join, so a thousand variants of one question cost as much as one, and a document is reported once for all of them. members says which items a
+template has. A template found in a document by enough of its windows must have its slots filled consistently in one of its occurrences there, whatever others hold: a value of the item stands for one value of the
+document and the reverse, so that re-parameterised questions are caught and chance agreement of number-laden text is not.
 
-The benchmark's windows are settled, so Spark broadcasts them only if their true size is under its broadcast threshold, and shuffles both sides otherwise; windows of documents carry no text.
+A window says something only by its plain words, PLAIN at least. Windows have WINDOW words, or for items laden with numbers and names the least length of LENGTHS at which half of an item's windows have as many. Items
+without that, and items of fewer words than a window, are looked for word for word: their windows (of a short one, the whole) are of words as they stand, lower-cased. Items of fewer than SHORTEST words are in all speech, and so are found
+only where they are the whole document.
+
+The templates' windows are settled, so Spark broadcasts them only if their true size is under its broadcast threshold, and shuffles both sides otherwise; windows of documents carry no text.
 """
 
 from __future__ import annotations
@@ -15,10 +20,13 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 WINDOW = 8
-#: An item is found from this share of its windows on.
-SHARE = 0.4
-#: Benchmark windows with more placeholders than this are no evidence.
-MOST_SLOTS = WINDOW // 2
+#: Lengths of windows for items that need longer ones.
+LENGTHS = (WINDOW, 12, 16, 24, 32, 48, 64, 96, 128)
+#: Plain words that a window of canonical words needs.
+PLAIN = 4
+SHORTEST = 4
+#: A template is found from this share of its windows on, or from so many words in one piece.
+SHARE, RUN = 0.4, 30
 #: Slot values that conflict, as a share of the slots, up to which slots count as consistently filled.
 CONFLICTS = 0.2
 
@@ -57,67 +65,138 @@ def _is_slot(word: Column) -> Column:
     return (word == NAME) | (word == NUMBER) | (word == UNIT) | (word == NUMBER + UNIT)
 
 
-def _window_keys(words: Column, window: int) -> Column:
-    """A hash for each run of so many words; nested, so that the words are made once."""
-    keys = lambda w: F.when(F.size(w) >= window, F.transform(F.sequence(F.lit(0), F.size(w) - window), lambda i: F.xxhash64(F.slice(w, i + 1, F.lit(window))))).otherwise(F.array().cast("array<bigint>"))
-    return F.element_at(F.transform(F.array(words), keys), 1)
+CANONICAL, VERBATIM, WHOLE = "canonical", "verbatim", "whole"
+
+
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _key(mode: str, length: Column | int, hashes: Column, place: Column) -> Column:
+    return F.xxhash64(F.lit(mode), F.slice(hashes, place + 1, length if isinstance(length, Column) else F.lit(length)))
+
+
+def _window_keys(words: Column, mode: str, lengths: list[int]) -> Column:
+    """(at, key) of each run of so many words; nested, so that the words are made once."""
+
+    def keys(h: Column, length: int) -> Column:
+        some = F.size(h) == length if mode == WHOLE else F.size(h) >= length
+        return F.when(some, F.transform(F.sequence(F.lit(0), F.size(h) - length), lambda i: F.struct(i.alias("at"), _key(mode, length, h, i).alias("key")))).otherwise(F.array().cast("array<struct<at:int,key:bigint>>"))
+
+    return F.element_at(F.transform(F.array(_hashes(words)), lambda h: F.concat(*(keys(h, n) for n in lengths))), 1)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, words (canonical), raw (lower case), mode and length of its windows, template (a hash) and filled (a hash of the slots' values), a row for each distinct text of an item."""
+    text = F.col("text").cast("string")
+    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), canonical_words(text).alias("words"), F.transform(raw_words(text), F.lower).alias("raw")).distinct()
+    rows = settle(rows.where(F.size("words") > 0))
+    n = F.size("words")
+
+    def telling(length: int) -> Column:
+        """Whether half of the windows of this length have enough plain words."""
+        have = F.filter(F.sequence(F.lit(0), n - length), lambda i: F.size(F.filter(F.slice("words", i + 1, F.lit(length)), lambda w: ~_is_slot(w))) >= PLAIN)
+        return F.when(n >= length, 2 * F.size(have) >= n - length + 1).otherwise(False)
+
+    fits = F.coalesce(*(F.when(telling(k), F.lit(k)) for k in LENGTHS))
+    rows = rows.withColumn("fits", fits).select(
+        "item_id", "words", "raw",
+        F.when(n < SHORTEST, WHOLE).when(F.col("fits").isNull(), VERBATIM).otherwise(CANONICAL).alias("mode"),
+        F.coalesce("fits", F.least(n, F.lit(WINDOW))).alias("length"),
+        F.transform(F.filter(F.arrays_zip("words", "raw"), lambda x: _is_slot(x["words"])), lambda x: x["raw"]).alias("values"),
+    )
+    pattern = F.transform("values", lambda v: F.array_position(F.col("values"), v))
+    alike = F.when(F.col("mode") == CANONICAL, F.xxhash64(F.lit(CANONICAL), "words", F.lit("|"), pattern)).otherwise(F.xxhash64(F.col("mode"), "raw"))
+    return rows.select("item_id", "words", "raw", "mode", "length", alike.alias("template"), F.xxhash64("values").alias("filled"))
+
+
+def members(benchmark: DataFrame) -> DataFrame:
+    """item_id (the least of a template's items, which leaks reports) and member, a row for each item of each template."""
+    items = _items(benchmark).select("template", "item_id").distinct()
+    return items.join(items.groupBy("template").agg(F.min("item_id").alias("first")), "template").select(F.col("first").alias("item_id"), F.col("item_id").alias("member")).distinct()
 
 
-def _occurrences(found: DataFrame, window: int) -> DataFrame:
-    """doc_id, item_id, shift, level and first, a row for each occurrence of an item that a shift is part of: the whole document (level 0), its run of shifts less than a window apart (1; words were put in or left
+def _occurrences(found: DataFrame) -> DataFrame:
+    """doc_id, template, shift, level and first, a row for each occurrence of a template that a shift is part of: the whole document (level 0), its run of shifts less than a window apart (1; words were put in or left
     out) and itself (2; word for word). Two copies of an item are as far apart as it is long, a window or more."""
-    shifts = found.select("doc_id", "item_id", "shift").distinct()
-    each = Window.partitionBy("doc_id", "item_id").orderBy("shift")
-    begun = shifts.withColumn("begun", F.when(F.coalesce(F.col("shift") - F.lag("shift").over(each) >= window, F.lit(True)), F.col("shift")))
+    shifts = found.select("doc_id", "template", "shift", "length").distinct()
+    each = Window.partitionBy("doc_id", "template").orderBy("shift")
+    begun = shifts.withColumn("begun", F.when(F.coalesce(F.col("shift") - F.lag("shift").over(each) >= F.col("length"), F.lit(True)), F.col("shift")))
     runs = begun.withColumn("run", F.last("begun", ignorenulls=True).over(each))
     levels = F.array(*(F.struct(F.lit(i).alias("level"), x.cast("long").alias("first")) for i, x in enumerate((F.lit(0), F.col("run"), F.col("shift")))))
-    return runs.select("doc_id", "item_id", "shift", F.explode(levels).alias("x")).select("doc_id", "item_id", "shift", "x.*")
+    return runs.select("doc_id", "template", "shift", F.explode(levels).alias("x")).select("doc_id", "template", "shift", "x.*")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """A row for each document and benchmark item found in it: doc_id, item_id, n_windows, item_windows, share, n_slots, n_conflicts, reparameterised.
+def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
+    """A row for each document and template found in it: doc_id, item_id (the template's least item), n_items, n_windows, item_windows, share, n_slots, n_conflicts, exact_item, reparameterised.
 
-    Only pairs that count as leaks are returned: an occurrence of the item (see _occurrences) has share of its windows or more, and at most CONFLICTS of the slots filled in conflict; the figures are those of the
-    passing occurrence with most windows and slots. Rows that repeat a doc_id are one document, rows
-    that repeat an item_id one item; rows without id or text, and items of fewer words than a window, are found nowhere. Other columns are ignored.
+    Only pairs that count as leaks are returned: an occurrence of the template (see _occurrences) has share of its windows or more, or run words of it in one piece, and at most CONFLICTS of the slots filled in conflict; the figures are
+    those of the passing occurrence with most windows and slots. exact_item is the least item whose values fill all slots somewhere in the document (null if none does); reparameterised says that there is none and that some slot
+    differs from that of item_id. Rows that repeat a doc_id are one document, rows that repeat an item_id one item, with each of its texts; rows without id or text are found nowhere, nor are items without a word. Other columns are ignored.
     """
-    items = settle(benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), canonical_words(F.col("text").cast("string")).alias("words"), raw_words(F.col("text").cast("string")).alias("raw")))
-    slots_in = lambda w, i: F.size(F.filter(F.slice(w, i + 1, F.lit(window)), _is_slot))
-    places = items.where(F.size("words") >= window).select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - window)).alias("place"))
-    keyed = settle(places.where(slots_in(F.col("words"), F.col("place")) <= MOST_SLOTS).select(F.xxhash64(F.slice("words", F.col("place") + 1, F.lit(window))).alias("key"), "item_id", "place").distinct())
-    totals = keyed.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
+    items = settle(_items(benchmark))
+    templates = settle(items.groupBy("template").agg(F.countDistinct("item_id").alias("n_items"), F.min(F.struct("item_id", "raw", "words", "mode", "length")).alias("x")).select("template", "n_items", "x.*"))
+    places = templates.select("template", "mode", "length", "words", _hashes(F.when(F.col("mode") == CANONICAL, F.col("words")).otherwise(F.col("raw"))).alias("h"))
+    places = places.select("*", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("length"))).alias("place"))
+    plain = F.size(F.filter(F.slice("words", F.col("place") + 1, F.col("length")), lambda w: ~_is_slot(w)))
+    key = F.xxhash64("mode", F.slice("h", F.col("place") + 1, F.col("length")))
+    keyed = settle(places.where((F.col("mode") != CANONICAL) | (plain >= PLAIN)).select(key.alias("key"), "template", "place", "mode", "length"))
+    totals = keyed.groupBy("template", "length").agg(F.countDistinct("place").alias("item_windows"))
+    lengths: dict[str, list[int]] = {}
+    for r in keyed.select("mode", "length").distinct().orderBy("mode", "length").collect():  # a few of LENGTHS and those under WINDOW
+        lengths.setdefault(r.mode, []).append(r.length)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    words_of = {CANONICAL: canonical_words(F.col("text"))}
+    verbatim = F.transform(raw_words(F.col("text")), F.lower)
+    all_keys = [_window_keys(words_of.get(mode, verbatim), mode, own) for mode, own in lengths.items()]
+    keys = F.concat(*all_keys) if all_keys else F.array().cast("array<struct<at:int,key:bigint>>")
     found = settle(
         texts.where("text is not null")
-        .select("doc_id", F.posexplode(_window_keys(canonical_words(F.col("text")), window)).alias("at", "key"))
+        .select("doc_id", F.explode(keys).alias("x"))
+        .select("doc_id", "x.*")
         .join(keyed, "key")
-        .select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
+        .select("doc_id", "template", "place", (F.col("at") - F.col("place")).alias("shift"))
         .distinct()
     )
-    pairs = settle(found.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("n_windows")).join(totals, "item_id").where(F.col("n_windows") >= share * F.col("item_windows")).drop("n_windows"))
-    found = settle(found.join(pairs, ["doc_id", "item_id"]))
-    occurrences = settle(_occurrences(found, window))
-    in_pair, in_shift, in_one = ["doc_id", "item_id"], ["doc_id", "item_id", "shift"], ["doc_id", "item_id", "level", "first"]
-    enough = settle(found.join(occurrences, in_shift).groupBy(*in_one, "item_windows").agg(F.countDistinct("place").alias("n_windows")).withColumn("share", F.col("n_windows") / F.col("item_windows")).where(F.col("share") >= share))
-    slots = settle(items.select("item_id", F.posexplode(F.arrays_zip("words", "raw")).alias("slot", "x")).where(_is_slot(F.col("x.words"))).select("item_id", "slot", F.col("x.words").alias("kind"), F.lower("x.raw").alias("value")).distinct())
-    filled = found.join(slots, "item_id").where((F.col("slot") >= F.col("place")) & (F.col("slot") < F.col("place") + window)).select(*in_shift, "slot", "kind", "value").distinct()
-    asked = settle(filled.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "shift", "kind", "value", (F.col("slot") + F.col("shift")).alias("at"))).alias("asked")))
-    values = texts.join(asked, "doc_id").select("doc_id", "asked", raw_words(F.col("text")).alias("raw"))
-    values = values.select("doc_id", F.explode(F.transform("asked", lambda x: F.struct(*(x[c].alias(c) for c in ("item_id", "shift", "kind", "value", "at")), F.lower(F.try_element_at("raw", (x["at"] + 1).cast("int"))).alias("own")))).alias("x")).select("doc_id", "x.*")
-    values = values.join(occurrences, in_shift)
-    by_item = values.groupBy(*in_one, "kind", "value").agg(F.countDistinct("at").alias("n"), F.countDistinct("own").alias("k"), F.max(F.col("own") != F.col("value")).alias("other"))
-    by_doc = values.groupBy(*in_one, "kind", "own").agg(F.countDistinct("value").alias("k")).groupBy(*in_one).agg(F.sum(F.col("k") - 1).alias("back"))
+    enough_of = (F.col("n_windows") >= share * F.col("item_windows")) | (F.col("n_windows") > run - F.col("length"))
+    pairs = settle(found.groupBy("doc_id", "template").agg(F.countDistinct("place").alias("n_windows")).join(totals, "template").where(enough_of).drop("n_windows"))
+    found = settle(found.join(pairs, ["doc_id", "template"]))
+    occurrences = settle(_occurrences(found))
+    in_pair, in_shift, in_one = ["doc_id", "template"], ["doc_id", "template", "shift"], ["doc_id", "template", "level", "first"]
+    counted = found.join(occurrences, in_shift).groupBy(*in_one, "item_windows", "length").agg(F.countDistinct("place").alias("n_windows")).withColumn("share", F.col("n_windows") / F.col("item_windows"))
+    # words in one piece are those of one shift
+    enough = settle(counted.where((F.col("share") >= share) | (F.col("level") == 2) & (F.col("n_windows") > run - F.col("length"))))
+    slots = settle(templates.where(F.col("mode") == CANONICAL).select("template", F.posexplode(F.arrays_zip("words", "raw")).alias("slot", "x")).where(_is_slot(F.col("x.words"))).select("template", "slot", F.col("x.words").alias("kind"), F.col("x.raw").alias("value")))
+    filled = found.join(slots, "template").where((F.col("slot") >= F.col("place")) & (F.col("slot") < F.col("place") + F.col("length"))).select(*in_shift, "slot", "kind", "value").distinct()
+    asked = settle(filled.groupBy("doc_id").agg(F.collect_set(F.struct("template", "shift", "kind", "value", "slot", (F.col("slot") + F.col("shift")).alias("at"))).alias("asked")))
+    values = texts.join(asked, "doc_id").select("doc_id", "asked", F.transform(raw_words(F.col("text")), F.lower).alias("raw"))
+    values = values.select("doc_id", F.explode(F.transform("asked", lambda x: F.struct(*(x[c].alias(c) for c in ("template", "shift", "kind", "value", "slot", "at")), F.try_element_at("raw", (x["at"] + 1).cast("int")).alias("own")))).alias("x")).select("doc_id", "x.*")
+    values = settle(values)
+    inside = values.join(occurrences, in_shift)
+    by_item = inside.groupBy(*in_one, "kind", "value").agg(F.countDistinct("at").alias("n"), F.countDistinct("own").alias("k"), F.max(F.col("own") != F.col("value")).alias("other"))
+    by_doc = inside.groupBy(*in_one, "kind", "own").agg(F.countDistinct("value").alias("k")).groupBy(*in_one).agg(F.sum(F.col("k") - 1).alias("back"))
     slot_stats = by_item.groupBy(*in_one).agg(F.sum("n").alias("n_slots"), F.sum(F.col("k") - 1).alias("forth"), F.max("other").alias("other")).join(by_doc, in_one)
+    none = F.lit(0).cast("long")
     passed = (
         enough.join(slot_stats, in_one, "left")
-        .select(*in_one, "n_windows", "item_windows", "share", F.coalesce("n_slots", F.lit(0).cast("long")).alias("n_slots"), F.coalesce(F.col("forth") + F.col("back"), F.lit(0).cast("long")).alias("n_conflicts"), F.coalesce("other", F.lit(False)).alias("reparameterised"))
+        .select(*in_one, "n_windows", "item_windows", "share", F.coalesce("n_slots", none).alias("n_slots"), F.coalesce(F.col("forth") + F.col("back"), none).alias("n_conflicts"), F.coalesce("other", F.lit(False)).alias("other"))
         .where(F.col("n_conflicts") <= CONFLICTS * F.col("n_slots"))
     )
-    given = ["n_windows", "item_windows", "share", "n_slots", "n_conflicts", "reparameterised"]
-    return passed.groupBy(*in_pair).agg(F.max_by(F.struct(*given), F.struct("n_windows", "n_slots", -F.col("level"), -F.col("first"))).alias("x")).select(*in_pair, "x.*")
+    given = ["n_windows", "item_windows", "share", "n_slots", "n_conflicts", "other"]
+    best = passed.groupBy(*in_pair).agg(F.max_by(F.struct(*given), F.struct("n_windows", "n_slots", -F.col("level"), -F.col("first"))).alias("x")).select(*in_pair, "x.*")
+    # the items whose values stand in all slots at one shift
+    by_slot = values.groupBy(*in_shift).agg(F.xxhash64(F.transform(F.array_sort(F.collect_set(F.struct("slot", "own"))), lambda x: x["own"])).alias("filled"))
+    exact = by_slot.join(items.groupBy("template", "filled").agg(F.min("item_id").alias("item")), ["template", "filled"]).groupBy(*in_pair).agg(F.min("item").alias("exact"))
+    out = best.join(templates.select("template", "n_items", "item_id"), "template").join(exact, in_pair, "left")
+    exact_item = F.when(F.col("n_slots") == 0, F.col("item_id")).otherwise(F.col("exact"))
+    out = out.select("doc_id", "item_id", "n_items", *given[:-1], exact_item.alias("exact_item"), (F.col("other") & exact_item.isNull()).alias("reparameterised"))
+    # an item with several texts may be the least of several templates
+    rest = [c for c in out.columns if c not in ("doc_id", "item_id")]
+    return out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct(*rest), F.struct("n_windows", "share", "n_slots", "n_items", "exact_item")).alias("x")).select("doc_id", "item_id", *(F.col(f"x.{c}") for c in rest))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark item leaks; rows without id stay."""
     caught = settle(leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct())
-    return docs.join(caught, F.col("doc_id") == F.col("_leak"), "left_anti")
+    kept = docs.join(caught, F.col("doc_id").cast("long") == caught["_leak"], "left_anti")
+    return kept.select(*docs.columns)
