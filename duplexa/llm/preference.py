@@ -59,11 +59,32 @@ def paired_by_id(conversations: DataFrame) -> DataFrame:
     return conversations.where("conv_id is not null").select(pair.alias("pair_id"), F.when(F.col("conv_id") - 2 * pair == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
 
 
-#: DuckDB SQL for preference_format(paired_by_id(conversations)).
+def paired_by_answer(conversations: DataFrame, trained: str = TRAINED) -> DataFrame:
+    """Turns of each conversation up to its last answer as chosen, and the same turns before that answer with the last answer of its neighbour (2n and 2n + 1 are neighbours) in its place as rejected: pairs with a common prompt.
+
+    Turns are numbered as preference_format orders them. A conversation without an answer is chosen whole; with that, or without a neighbour that has an answer, there is no rejected side. Rows without conv_id are left out.
+    """
+    rows = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = Window.partitionBy("pair_id")
+    rows = rows.withColumn("place", F.row_number().over(own.orderBy(F.col("turn").asc_nulls_first(), "role", "text")).cast("long")).withColumn("last", F.max(F.when(F.col("role") == trained, F.col("place"))).over(own))
+    answers = rows.where("place = last").select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("text").alias("other"))
+    both = rows.where("place <= coalesce(last, place)").join(answers, "pair_id", "left")
+    side = lambda name, text: F.struct(F.lit(name).alias("side"), text.alias("text"))
+    sides = F.array_compact(F.array(side("chosen", F.col("text")), F.when(F.col("other").isNotNull() & F.col("last").isNotNull(), side("rejected", F.when(F.col("place") == F.col("last"), F.col("other")).otherwise(F.col("text"))))))
+    return both.select("pair_id", F.col("place").alias("turn"), "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")
+
+
+#: DuckDB SQL for preference_format(paired_by_answer(conversations)).
 SQL = r"""
-with t as (
-  select conv_id // 2 pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end side, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
+with p as (
+  select conv_id pair_id, coalesce(role, 'unknown') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, 'unknown'), coalesce(text, '')) turn
   from conversations where conv_id is not null),
+l as (select *, max(case when role = 'assistant' then turn end) over (partition by pair_id) last from p),
+n as (select xor(pair_id, 1) pair_id, text other from l where turn = last),
+t as (
+  select pair_id, 'chosen' side, turn, role, text from l where turn <= coalesce(last, turn)
+  union all
+  select pair_id, 'rejected', turn, role, case when turn = last then other else text end from l join n using (pair_id) where turn <= last),
 r as (select *, row_number() over (partition by pair_id, side order by turn nulls first, role, text) place, length(role) + 5 head,
         '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) rendered from t),
 e as (select *, count(*) over w = 2 and min(rendered) over w = max(rendered) over w and min(role) over w = max(role) over w equal from r window w as (partition by pair_id, place)),

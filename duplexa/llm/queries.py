@@ -15,7 +15,7 @@ from .near_dedup import near_duplicates
 from .pages import extract
 from .pii import find_pii
 from .preference import SQL as PREFERENCE_SQL
-from .preference import paired_by_id, preference_format
+from .preference import paired_by_answer, preference_format
 from .quality import judge
 from .secrets import scan as scan_secrets
 from .shared import documents
@@ -34,7 +34,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference_format(paired_by_id(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    return preference_format(paired_by_answer(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 def op5_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
