@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from duplexa.llm import secrets as S
@@ -39,19 +40,69 @@ def test_random_tokens_are_told_from_identifiers(got):
     assert got[2].n_random == 0 and got[2].spans.startswith("assign:0:")
 
 
-def test_held_out_samples(spark):
-    table = S.fit(S.samples(spark))
-    fresh = S.samples(spark, 1000, seed=99).collect()
-    told = np.array([S.ratio(table, r.token) >= max(S.LIMIT, S.EACH * len(r.token)) for r in fresh if len(r.token) >= 16])
-    truth = np.array([r.is_random for r in fresh if len(r.token) >= 16])
-    assert told[truth].mean() > 0.95 and told[~truth].mean() < 0.01
+@pytest.fixture(scope="module")
+def model(spark):
+    return S.fit(S.samples(spark))
+
+
+def random_in(model, text):
+    best, found = S.tokens(pa.array([text]), model)
+    return [text[a:b] for a, _, b in found[0]]
+
+
+def test_held_out_samples(spark, model):
+    fresh = S.samples(spark, 2000, seed=99).collect()
+    long = [r for r in fresh if len(r.token) >= 20]
+    told = np.array([bool(random_in(model, r.token)) for r in long])
+    truth = np.array([r.is_random for r in long])
+    assert told[truth].mean() > 0.95 and not any(random_in(model, r.token) for r in fresh if not r.is_random)
+
+
+@pytest.mark.parametrize("text", [
+    "-" * 16, "_" * 24, "/" * 24, "=" * 80, "+---+---+-----------+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "2024-01-15T10:22:33", "1999-12-31/2000-01-01", "/usr/local/lib/python3/site-packages/numpy/core",
+    "iVBORw0KGgoAAAANSUhEUgAAAAAA", "4539-1488-0343-6467", "00000000000000000000", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "state-of-the-art", "getElementsByTagNameNS", "MAX_RETRY_COUNT_PER_HOST", "x=-=-=-=-=-=-=-=-=-=-=",
+])
+def test_rules_runs_dates_and_paths_are_ordinary(model, text):
+    assert random_in(model, text) == []
+
+
+def test_tokens_of_all_lengths_are_scored_as_one_by_one(model):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab Z9é-_/=+\n.,x"), 60)) for _ in range(50)] + [None, "", "xK9vQ2mZ7pLw4R é xK9vQ2mZ7pLw4RtY8nBc3HsDf6", "q" * 200_000, "é" * 30, "Z"]
+    best, found = S.tokens(pa.array(texts).slice(2), model)
+    for text, top, spans in zip(texts[2:], best, found):
+        own = [(m.start(), m.end(), S.ratio(model.table, m[0])) for m in re.finditer("[A-Za-z0-9+/_=-]+", text or "")]
+        assert np.isclose(top, max((s for *_, s in own), default=0.0))
+        assert spans == [(a, 3, b) for a, b, s in own if s >= model.limit and s >= model.each * (b - a)]
+    assert len(found[50]) >= 1 and S.tokens(pa.array(["xK9v"]), model)[1] == [[]]  # a short one lacks evidence
 
 
 def test_transitions_are_counted_as_plain_ones(spark):
-    table = S.fit(spark.createDataFrame([("abé a", True), (None, True), ("ab", False), ("x", None)], "token string, is_random boolean"))
-    a, b, s = S.ALPHABET.index("a"), S.ALPHABET.index("b"), S.SIZE - 1
-    n = S.SIZE
-    assert np.isclose(table[s, a], 0) and np.isclose(table[a, b], 0) and np.isclose(table[b, a], np.log(2 / (n + 1)) - np.log(1 / n))
+    rows = [("aba", True), ("aZ9-", True), ("ab", False), ("ba_", False), ("xy", False)]
+    table = S.transitions(spark.createDataFrame(rows, "t string, is_random boolean"))
+    of = lambda c: "start" if c == " " else "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else c
+    every = " " + S.ALPHABET
+    kinds = sorted({of(c) for c in every})
+
+    def log(a, b, random_):
+        steps = [(x, y) for t, r in rows if r == random_ for x, y in zip(" " + t, t)]
+        between = lambda p, q: sum((of(x), of(y)) == (p, q) for x, y in steps) + 1
+        prior = lambda y: between(of(a), of(y)) / sum(between(of(a), q) for q in kinds) / sum(of(c) == of(y) for c in every)
+        own = sum(x == a for x, _ in steps)
+        return np.log((1 - S.SMOOTH) * steps.count((a, b)) / own + S.SMOOTH * prior(b) if own else prior(b))
+
+    code = {c: i for i, c in enumerate(S.ALPHABET)} | {" ": S.SIZE - 1}
+    for a, b in (" a", "ab", "ba", "aZ", "Z9", "9-", "xy", "yx", "a_", "__", " -", "zz"):
+        assert np.isclose(table[code[a], code[b]], log(a, b, True) - log(a, b, False)), (a, b)
+
+
+def test_limits_come_from_held_out_samples(spark):
+    labelled = spark.createDataFrame([("abé a", True), (None, True), ("ab", False), ("x", None)], "token string, is_random boolean")
+    assert S.fit(labelled).limit >= -np.log(S.FALSE) and S.fit(labelled.limit(0)).table.shape == (S.SIZE, S.SIZE)
+    rows = S.samples(spark, 2000).collect()
+    # ordinary tokens of which some look random need a higher limit
+    mixed = spark.createDataFrame([(r.token, r.is_random) for r in rows] + [(r.token + "q", False) for r in rows[:150]], "token string, is_random boolean")
+    assert S.fit(mixed).limit > S.fit(S.samples(spark, 2000)).limit
 
 
 def test_whole_table_and_edges(spark):
