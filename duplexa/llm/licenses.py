@@ -114,8 +114,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """doc_id, row, n_words, and for each gram that stands as in a template: template, its columns, place, pos (the word it starts at) and diagonal; besides a row with template -1 for each document."""
-    met = _keyed(docs).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", "n_words", "body", "begin", "stop", F.posexplode("keys").alias("at", "key")).join(F.broadcast(table), "key")
+    """doc_id, row (a hash of the text), n_words, and for each gram that stands as in a template: template, its columns, place, pos (the word it starts at) and diagonal; besides a row with template -1 for each document.
+
+    Rows of the same id and text vote once; copies says how many there are. They are put together on the map side already, so copies of one document never meet in a task.
+    """
+    met = _keyed(docs).withColumn("row", F.xxhash64("body")).select("doc_id", "row", "n_words", "body", "begin", "stop", F.posexplode("keys").alias("at", "key")).join(F.broadcast(table), "key")
     before_five = 1 + F.greatest(F.col("n_words") - PHRASE_GRAM + 1, F.lit(0))
     pos = F.when(F.col("k") == PHRASE_GRAM, F.col("at") - 1).otherwise(F.col("at") - before_five).cast("long")
     first, last = F.get("begin", F.col("pos").cast("int")), F.get("stop", (F.col("pos") + F.col("k") - 1).cast("int"))
@@ -123,26 +126,26 @@ def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
     # a key may come from grams of the other size, or by chance: the words decide
     in_range = (F.col("pos") >= 0) & F.when(F.col("k") == PHRASE_GRAM, F.col("at") < before_five).otherwise(F.col("at") >= before_five)
     right = F.when(F.col("template") < 0, F.col("at") == 0).when(in_range, wording == F.col("gram")).otherwise(False)
-    return met.withColumn("pos", pos).where(right).select("doc_id", "row", "n_words", "template", "label", "base", "exact", "k", "words", "place", "pos", (F.col("pos") - F.col("place")).alias("diagonal")).repartition("doc_id", "row")
+    return met.withColumn("pos", pos).where(right).groupBy("doc_id", "row", "n_words", "template", "label", "base", "exact", "k", "words", "place", "pos").agg(F.count("*").alias("copies")).withColumn("diagonal", F.col("pos") - F.col("place"))
 
 
 def spans(found: DataFrame, neighbours: int = NEIGHBOURS, covered: float = COVERED) -> DataFrame:
-    """doc_id, row, n_words and verified spans: template, label, base, start and end (words, end exclusive) and share of the template covered; a row without template for each document."""
+    """doc_id, row, n_words and verified spans: template, label, base, start and end (words, end exclusive) and share of the template covered; a row without template for each document, with the number of its copies."""
     key = ["doc_id", "row", "n_words", "template", "label", "base", "exact", "k", "words"]
     order = Window.partitionBy("doc_id", "row", "template").orderBy("diagonal", "pos")
     apart = F.col("diagonal") - F.lag("diagonal").over(order)
     new = F.when(F.col("exact"), apart > 0).otherwise(apart > neighbours)
     merged = found.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = merged.groupBy(*key, "span").agg(F.min("pos").alias("start"), (F.max("pos") + F.first("k")).alias("end"), F.countDistinct("place").alias("n"))
+    out = merged.groupBy(*key, "span").agg(F.min("pos").alias("start"), (F.max("pos") + F.first("k")).alias("end"), F.countDistinct("place").alias("n"), F.max("copies").alias("copies"))
     share = F.least(F.lit(1.0), (F.col("n") + F.col("k") - 1) / F.col("words"))
     verified = F.when(F.col("exact"), F.col("n") + F.col("k") - 1 == F.col("words")).otherwise((share >= covered) & (F.col("end") - F.col("start") <= 2 * F.col("words")))
-    return out.where((F.col("template") < 0) | verified).select("doc_id", "row", "n_words", F.when(F.col("template") >= 0, F.col("template")).alias("template"), "label", "base", "start", "end", F.when(F.col("template") >= 0, share).otherwise(0.0).alias("share"))
+    return out.where((F.col("template") < 0) | verified).select("doc_id", "row", "n_words", F.when(F.col("template") >= 0, F.col("template")).alias("template"), "label", "base", "start", "end", F.when(F.col("template") >= 0, share).otherwise(0.0).alias("share"), "copies")
 
 
 def scan(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_base (all places of base phrases), first_word, last_word, base_labels, labels and score (the largest share of a template that is covered), a row for each row of docs.
 
-    Null and empty texts have no words. Rows that repeat an id are scanned one by one. Other columns are ignored.
+    Null and empty texts have no words. Rows that repeat an id with another text are scanned one by one, those that repeat id and text once, and each gets its row. Other columns are ignored.
     """
     base = F.when(F.col("base"), F.col("start"))
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
@@ -150,6 +153,7 @@ def scan(docs: DataFrame, table: DataFrame | None = None) -> DataFrame:
     return (
         spans(votes(docs, table))
         .groupBy("doc_id", "row", "n_words")
-        .agg(F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"), joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("share").alias("score"))
-        .drop("row")
+        .agg(F.count(base).alias("n_base"), F.min(base).alias("first_word"), F.max(base).alias("last_word"), joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"), joined(F.col("label")).alias("labels"), F.max("share").alias("score"), F.max(F.when(F.col("template").isNull(), F.col("copies"))).alias("copies"))
+        .withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+        .drop("row", "copies")
     )

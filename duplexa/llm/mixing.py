@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settle
@@ -85,7 +85,7 @@ def _pivotal(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, at_most: float = AT_MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source_size, target (its source's) and taken: size times the copies that the mix takes; a row for each row of docs.
+    """doc_id, size, source_size, target (its source's), taken (size times the copies that the mix takes) and source; a row for each row of docs.
 
     Null texts have size 0 and are taken 0 times; a null source is a source. Rows that repeat an id and size share their random numbers but are rounded one by one.
     An empty table gives an empty one. Other columns are ignored.
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
         all_ = all_.union(part)
     return (
         all_.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
-        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra").cast("long"))).alias("taken"))
+        .select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("extra").cast("long"))).alias("taken"), "source")
     )
 
 
@@ -127,12 +127,25 @@ def _with_counts(goals: DataFrame, sources: DataFrame) -> DataFrame:
     return goals.join(counts, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
 
 
+def _key() -> Column:
+    """One number for an id and a source, either of which may be null."""
+    return F.xxhash64("doc_id", "source", F.col("doc_id").isNull())
+
+
 def repeated(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """Each row of docs as often as the mix takes it, with all its columns and copy, from 1. Rows without words are never taken.
 
-    Rows that repeat an id and size take the same number of copies, the least that mix gives one of them.
+    Rows that repeat id, source and size are numbered, and the first of them take the copies beyond the least that mix gives one of them; so together they take what mix gives them. They are numbered within partitions of docs, from where
+    the partitions before end: no group of repeated rows meets in one task.
     """
-    copies = mix(docs, seed=seed).where("taken > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.min(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    sized = docs.withColumn("_words", F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long"))
-    joined = sized.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    taken = mix(docs, seed=seed).where("size > 0").withColumn("copies", F.round(F.col("taken") / F.col("size")).cast("int"))
+    given = settle(taken.groupBy(_key().alias("_key"), F.col("size").alias("_size")).agg(F.min("copies").alias("_least"), F.sum("copies").alias("_all"), F.count("*").alias("_rows")).where("_all > 0"))
+    named = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("long").alias("_size"), F.spark_partition_id().alias("_part"))
+    sized = named.withColumn("_key", _key()).drop("doc_id", "source")
+    own = ["_key", "_size", "_part"]
+    counts = settle(sized.groupBy(*own).agg(F.count("*").alias("n")).join(given.where("_rows > 1"), ["_key", "_size"], "left_semi"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_key", "_size").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = settle(counts.select(*own, before.alias("_before")))
+    placed = sized.withColumn("_at", F.row_number().over(Window.partitionBy(*own).orderBy("_part"))).join(offsets, own, "left").join(given, ["_key", "_size"])
+    copies = F.col("_least") + F.when(F.col("_at") + F.coalesce("_before", F.lit(0)) <= F.col("_all") - F.col("_rows") * F.col("_least"), 1).otherwise(0)
+    return placed.where(copies > 0).select("_doc.*", F.explode(F.sequence(F.lit(1), copies.cast("int"))).alias("copy"))

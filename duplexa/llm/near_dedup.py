@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs, with all their columns, that near_duplicates keeps: of each group the smallest doc_id. Rows without id stay, repeated rows of a kept id stay."""
     gone = settle(near_duplicates(docs, percent, shingle).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 #: DuckDB SQL for near_duplicates(documents): all common shingles of all pairs counted, and what each document reaches over links.

@@ -88,9 +88,9 @@ def scored(text: Column, kind: Kind) -> Column:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """doc_id, a row id, and for each span ord (the kind's place in KINDS), start, end (code points, end exclusive), value and score; a row without ord for each document.
+    """doc_id, row (a hash of the text), and for each span ord (the kind's place in KINDS), start, end (code points, end exclusive), value and score; a row without ord for each document, with the number of its copies.
 
-    Null and empty texts have no spans. Rows that repeat an id are looked at one by one. Other columns are ignored.
+    Null and empty texts have no spans. Rows that repeat an id with another text are looked at one by one; those that repeat id and text are one document with copies, put together on the map side already. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     shape = "array<struct<ord:int,gap:int,m:string,score:double,ok:boolean>>"
@@ -103,14 +103,15 @@ def spans(docs: DataFrame) -> DataFrame:
 
     rows = (
         docs.select("doc_id", text.alias("text"))
-        .withColumn("row", F.monotonically_increasing_id())
+        .withColumn("row", F.xxhash64("text"))
         .select("doc_id", "row", F.posexplode(F.concat(none, *(tagged(i, k) for i, k in enumerate(KINDS)))).alias("at", "x"))
         .select("doc_id", "row", "at", "x.*")
-        .repartition("doc_id", "row")
+        .groupBy("doc_id", "row", "at", "ord", "gap", "m", "score", "ok")
+        .agg(F.count("*").alias("copies"))
     )
     before = Window.partitionBy("doc_id", "row", "ord").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.coalesce(F.length("m"), F.lit(0))).over(before)
-    return rows.withColumn("end", end.cast("long")).where("ord is null or ok").select("doc_id", "row", "ord", (F.col("end") - F.length("m")).alias("start"), "end", F.col("m").alias("value"), "score")
+    return rows.withColumn("end", end.cast("long")).where("ord is null or ok").select("doc_id", "row", "ord", (F.col("end") - F.length("m")).alias("start"), "end", F.col("m").alias("value"), "score", "copies")
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -122,7 +123,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     return (
         spans(docs)
         .groupBy("doc_id", "row")
-        .agg(*(F.count(F.when(F.col("ord") == i, 1)).alias(f"n_{k}") for i, k in enumerate(BASE)), F.collect_list(F.when(base, line)).alias("own"), F.collect_list(F.when(F.col("ord").isNotNull(), line)).alias("all"), F.max("score").alias("score"))
+        .agg(*(F.count(F.when(F.col("ord") == i, 1)).alias(f"n_{k}") for i, k in enumerate(BASE)), F.collect_list(F.when(base, line)).alias("own"), F.collect_list(F.when(F.col("ord").isNotNull(), line)).alias("all"), F.max("score").alias("score"), F.max(F.when(F.col("ord").isNull(), F.col("copies"))).alias("copies"))
+        .withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select("doc_id", *(f"n_{k}" for k in BASE), F.sha2(joined(F.col("own")), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), "score")
     )
 

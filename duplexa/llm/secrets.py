@@ -31,6 +31,8 @@ SIZE = len(ALPHABET) + 1  # and the start
 TOKEN = K.byte_class("".join(chr(c) for c in range(128) if chr(c) not in ALPHABET)) & (np.arange(256) < 128)
 #: Labelled samples of each class.
 SAMPLES = 10_000
+#: Least information of a random token, in bits under the model of random strings: what can be guessed is no secret.
+BITS = 48.0
 #: Share of ordinary tokens that may be taken for random.
 FALSE = 1e-6
 #: Weight of classes of characters in a transition: labelled samples have far fewer words than texts have.
@@ -102,15 +104,16 @@ def samples(spark: SparkSession, n: int = SAMPLES, seed: int = 11) -> DataFrame:
 
 
 class Model(NamedTuple):
-    """A SIZE by SIZE table of log-likelihood ratios of transitions, random against ordinary, and the limits in all and per character."""
+    """SIZE by SIZE tables of log-likelihood ratios of transitions, random against ordinary, and of their information in bits in random strings; and the limits in all and per character."""
 
     table: np.ndarray
+    bits: np.ndarray
     limit: float
     each: float
 
 
-def transitions(labelled: DataFrame) -> np.ndarray:
-    """The table from all tokens (token, is_random). Characters outside ALPHABET and null tokens are left out."""
+def transitions(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tables from all tokens (token, is_random). Characters outside ALPHABET and null tokens are left out."""
     steps = labelled.select("is_random", F.explode(F.filter(F.transform(F.split(F.concat(F.lit(" "), "t"), ""), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"] != "")).alias("x"), "t")
     pairs = steps.where("x.i > 0").groupBy("is_random", F.expr("case when x.i = 1 then ' ' else substr(t, x.i - 1, 1) end").alias("a"), F.col("x.c").alias("b")).count()
     counts = np.zeros((2, SIZE, SIZE))
@@ -122,14 +125,14 @@ def transitions(labelled: DataFrame) -> np.ndarray:
     usual = np.einsum("ap,kab,bq->kpq", _CLASS, by_class / by_class.sum(2, keepdims=True), _CLASS / _CLASS.sum(1, keepdims=True))
     own = counts.sum(2, keepdims=True)
     logs = np.log(np.where(own > 0, (1 - SMOOTH) * counts / np.maximum(own, 1) + SMOOTH * usual, usual))
-    return logs[1] - logs[0]
+    return logs[1] - logs[0], -logs[1] / np.log(2.0)
 
 
 def fit(labelled: DataFrame, false: float = FALSE) -> Model:
     """Transitions from four fifths of the labelled tokens, by a hash of the token, and limits from the others; without such the limit is the bound that holds under the model itself."""
     clean = labelled.where("token is not null and is_random is not null").select("is_random", F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("t"))
     held = F.pmod(F.xxhash64("t"), F.lit(5)) == 4
-    table = transitions(clean.where(~held))
+    table, bits = transitions(clean.where(~held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +147,7 @@ def fit(labelled: DataFrame, false: float = FALSE) -> Model:
     beyond = told.where(ordinary & (F.col("ratio") > F.lit(edge))).agg(F.avg(F.col("ratio") - F.lit(edge))).first()[0] if edge is not None else None
     bound = float(-np.log(false))
     limit = bound if edge is None else max(bound, edge + (beyond or 0.0) * float(np.log(TAIL / false)))
-    return Model(table, limit, 0.0 if low is None or high is None else max(0.0, (low + high) / 2))
+    return Model(table, bits, limit, 0.0 if low is None or high is None else max(0.0, (low + high) / 2))
 
 
 _FILES = tuple(f.encode() for f in FILES)
@@ -166,14 +169,19 @@ def tokens(column: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[
     if not len(start):
         return best, found
     codes = _CODE[data[low : offsets[-1]]]
-    steps = np.empty(len(codes) + 1)
-    steps[0] = steps[-1] = 0.0
-    steps[1:-1] = model.table[codes[:-1], codes[1:]]
-    steps[start - low] = model.table[SIZE - 1, codes[start - low]]
-    scores = np.add.reduceat(steps, np.column_stack([start, end]).ravel() - low)[::2]
+    bounds = np.column_stack([start, end]).ravel() - low
+
+    def sums(table: np.ndarray) -> np.ndarray:
+        steps = np.zeros(len(codes) + 1)
+        steps[1:-1] = table[codes[:-1], codes[1:]]
+        steps[start - low] = table[SIZE - 1, codes[start - low]]
+        return np.add.reduceat(steps, bounds)[::2]
+
+    scores = sums(model.table)
     full = np.flatnonzero(np.diff(begins))
     best[full] = np.maximum.reduceat(scores, begins[full])
-    random_ = np.flatnonzero((scores >= model.limit) & (scores >= model.each * (end - start)))
+    over = (scores >= model.limit) & (scores >= model.each * (end - start))
+    random_ = np.flatnonzero(over & (sums(model.bits) >= BITS)) if over.any() else np.zeros(0, np.int64)
     if len(random_):
         points = K.code_points(offsets, data)
         text = np.searchsorted(offsets, start[random_], "right") - 1

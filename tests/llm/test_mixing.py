@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from duplexa.llm.mixing import mix
+from duplexa.llm.mixing import mix, repeated
 
 
 def table(spark, rows):
@@ -71,3 +71,24 @@ def test_empty_and_repeated(spark):
     got = mix(table(spark, [(1, "a b", "s", "x")] * 4)).toPandas()
     assert len(got) == 4 and got.taken.sum() == 12
     assert mix(table(spark, [(1, None, None, "x")])).toPandas().taken.tolist() == [0]
+
+
+def test_copies_of_repeated_rows_are_what_the_mix_takes(spark):
+    rows = [(1, "a b c", "s", "x")] * 7 + [(1, "d e f", "s", "y")] * 4 + [(1, "a b c", "t", "x")] * 5 + [(None, "q r", None, None)] * 9 + [(2, None, "s", "x"), (3, "", "t", "x")] + [(i, "w " * (i % 7 + 1), "st"[i % 2], "_doc") for i in range(10, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string").repartition(5)
+    want = {(r.doc_id, r.source, r.size): r.n for r in mix(docs).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum(F.col("taken") / F.col("size")).alias("n")).collect() if r.n}
+    got = repeated(docs)
+    assert got.columns == [*docs.columns, "copy"]
+    rows = got.collect()
+    n = {}
+    for r in rows:
+        key = (r.doc_id, r.source, len(r.text.split()))
+        n[key] = n.get(key, 0) + 1
+    assert n == {k: int(v) for k, v in want.items()} and max(r.copy for r in rows) <= 2
+    assert repeated(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    docs = table(spark, [(1, "w " * 1_500_000, "a", "x"), (2, "w " * 10, "a", "x"), (3, None, "b", "x"), (4, "w", "b", "x")])
+    got = {r.doc_id: r for r in mix(docs).collect()}
+    assert got[1].size == 1_500_000 and got[3].taken == 0 and all(r.taken <= 2 * r.size for r in got.values())

@@ -54,5 +54,43 @@ def test_run_equals_the_stages(spark, stages):
     assert a.equals(b)
 
 
+STRANGERS = ["Это предложение написано на русском языке и должно быть отвергнуто здесь", "これは日本語の文章です。モデルはこれを拒否しなければなりません。", "asdkjh qwlekjh zxcmnb qpwoeiru tyghvbn xxzzq wqkjh lkjhqw", "12 34 ** 56"]
+
+
+def test_language_drops_strangers_and_keeps_the_rest(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    odd = spark.createDataFrame([(10**6 + i, t, None, f"src{i}", len(t)) for i, t in enumerate(STRANGERS)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = P.language(spark, docs.unionByName(odd, allowMissingColumns=True), "")
+    kept = {r.doc_id for r in left.select("doc_id").collect()}
+    assert not any(i >= 10**6 for i in kept) and len(kept) >= 0.995 * docs.count()
+
+
+def test_stages_take_nulls_empty_tables_and_clashing_names(spark):
+    clash = ["_gone", "_leak", "_words", "_id", "_size", "_copies", "_key", "_part", "_at", "_doc", "key", "row", "rank", "n"]
+    docs = documents(spark, DIR).limit(40).selectExpr("*", *(f"cast(doc_id as string) as `{c}`" for c in clash))
+    first = docs.first()
+    nulls = spark.createDataFrame([(None,) * len(docs.columns), (None, "", *[None] * (len(docs.columns) - 2)), (7, None, *[None] * (len(docs.columns) - 2)), tuple(first), tuple(first)], docs.schema)
+    both = docs.union(nulls)
+    for name, stage in P.STAGES:
+        after = stage(spark, both, DIR)
+        rows = after.collect()
+        assert after.columns == [*both.columns, "copy"] if name == "mixing" else after.columns == both.columns
+        assert all(r["_gone"] in (None, str(r.doc_id)) for r in rows) and 0 < len(rows) <= 2 * both.count()
+        if name in ("near_dedup", "benchmark", "personal_data"):
+            assert sum(r.doc_id is None for r in rows) == 2
+        empty = stage(spark, both.limit(0), DIR)
+        assert empty.count() == 0
+
+
+def test_the_tables_of_past_stages_go(spark, stages):
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{folder}/*"))
+    P.run(spark, DIR).count()
+    left = set(glob.glob(f"{folder}/*")) - before
+    assert len(left) < 16  # the last stage's own and its input
+
+
 def test_every_operator_has_its_query():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))

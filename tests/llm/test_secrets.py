@@ -73,13 +73,13 @@ def test_tokens_of_all_lengths_are_scored_as_one_by_one(model):
     for text, top, spans in zip(texts[2:], best, found):
         own = [(m.start(), m.end(), S.ratio(model.table, m[0])) for m in re.finditer("[A-Za-z0-9+/_=-]+", text or "")]
         assert np.isclose(top, max((s for *_, s in own), default=0.0))
-        assert spans == [(a, 3, b) for a, b, s in own if s >= model.limit and s >= model.each * (b - a)]
-    assert len(found[50]) >= 1 and S.tokens(pa.array(["xK9v"]), model)[1] == [[]]  # a short one lacks evidence
+        assert spans == [(a, 3, b) for a, b, s in own if s >= model.limit and s >= model.each * (b - a) and S.ratio(model.bits, text[a:b]) >= S.BITS]
+    assert len(found[50]) == 2 and S.tokens(pa.array(["xK9v Q2m"]), model)[1] == [[]]  # short ones lack information
 
 
 def test_transitions_are_counted_as_plain_ones(spark):
     rows = [("aba", True), ("aZ9-", True), ("ab", False), ("ba_", False), ("xy", False)]
-    table = S.transitions(spark.createDataFrame(rows, "t string, is_random boolean"))
+    table, bits = S.transitions(spark.createDataFrame(rows, "t string, is_random boolean"))
     of = lambda c: "start" if c == " " else "digit" if c.isdigit() else "upper" if c.isupper() else "lower" if c.islower() else c
     every = " " + S.ALPHABET
     kinds = sorted({of(c) for c in every})
@@ -94,6 +94,7 @@ def test_transitions_are_counted_as_plain_ones(spark):
     code = {c: i for i, c in enumerate(S.ALPHABET)} | {" ": S.SIZE - 1}
     for a, b in (" a", "ab", "ba", "aZ", "Z9", "9-", "xy", "yx", "a_", "__", " -", "zz"):
         assert np.isclose(table[code[a], code[b]], log(a, b, True) - log(a, b, False)), (a, b)
+        assert np.isclose(bits[code[a], code[b]], -log(a, b, True) / np.log(2)), (a, b)
 
 
 def test_limits_come_from_held_out_samples(spark):
