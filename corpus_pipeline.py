@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage takes all that its predecessor kept, written as Parquet in the shared folder and read again.
 
-Language ID drops what it rejects, near-dedup keeps one document of each group, decontamination drops documents in which a benchmark item leaks, PII is masked, and mixing
+Language ID drops what it rejects (texts without a letter, and such in languages that no label knows), near-dedup keeps one document of each group, decontamination drops documents in which a benchmark item leaks, PII is masked, and mixing
 gives each document the whole number of copies that its source's target asks for.
 """
 
@@ -13,7 +13,7 @@ from duplexa.llm.langid import drop_rejected
 from duplexa.llm.mixing import repeated
 from duplexa.llm.near_dedup import keep_one
 from duplexa.llm.pii import redact
-from duplexa.llm.shared import documents, settle
+from duplexa.llm.shared import documents, forget, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = settle(docs)
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:  # what the stage settled on its way goes with it
+            after = keep(stage(spark, docs, sf_dir))
+        if i:
+            forget(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
