@@ -25,11 +25,15 @@ def masked(seq: Column, mode: int = HARD) -> Column:
     raise ValueError(f"repeat mode must be 0, 1 or 2, not {mode!r}")
 
 
-def encoded(seq: Column, mode: int = HARD, target: bool = False) -> Column:
-    """Codes as an array: 0 at the end, 1 unknown, 2 to 5 A C G U, 6 to 9 lower-case ones. Targets run from their 3' end."""
+def encoded_text(seq: Column, mode: int = HARD, target: bool = False) -> Column:
+    """Codes as a string of digits, one a base: 0 at the end, 1 unknown, 2 to 5 A C G U, 6 to 9 lower-case ones. Targets run from their 3' end."""
     digits = F.translate(masked(seq, mode), "NACGUacgu", "123456789")
-    digits = F.reverse(digits) if target else digits
-    return F.transform(F.filter(F.split(F.concat(digits, F.lit("0")), ""), lambda c: c != ""), lambda c: c.cast("tinyint"))
+    return F.concat(F.reverse(digits) if target else digits, F.lit("0"))
+
+
+def encoded(seq: Column, mode: int = HARD, target: bool = False) -> Column:
+    """The codes of encoded_text as an array."""
+    return F.transform(F.filter(F.split(encoded_text(seq, mode, target), ""), lambda c: c != ""), lambda c: c.cast("tinyint"))
 
 
 def residue_count(seq: Column, mode: int = HARD) -> Column:
@@ -41,11 +45,12 @@ def base_counts(seq: Column) -> list[Column]:
     return [F.regexp_count(F.upper(seq), F.lit(b)).cast("long").alias(f"n_{b.lower()}") for b in "ACGU"]
 
 
-_CODES = np.zeros(256, np.int64)
+#: 0 unknown, 1 to 4 A C G U, by byte, whatever the case.
+BASE_CODES = np.zeros(256, np.int64)
 for _letter, _code in zip("ACGUTacgut", (1, 2, 3, 4, 4, 1, 2, 3, 4, 4), strict=True):
-    _CODES[ord(_letter)] = _code
+    BASE_CODES[ord(_letter)] = _code
 
 
 def base_codes(seq: str) -> np.ndarray:
     """0 unknown, 1 to 4 A C G U, whatever the case; for kernels. A character beyond ASCII is one unknown base."""
-    return _CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    return BASE_CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]

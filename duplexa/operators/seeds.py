@@ -1,16 +1,21 @@
 """Seeds: the complementary-substring join of queries and targets, in integers of 1/100 kcal/mol.
 
 Every window of `least` query bases is expanded to the target windows that can pair with it, by a table of fixed size, and equi-joined to the target's windows. What the window's stacking energy doesn't settle goes on along the
-diagonal, base by base, in a fold over at most `most` positions carried by both sides. There is no product of sequences: rows grow with the pairs of windows that do pair.
+diagonal, base by base, for at most `most` positions carried by both sides: a numpy kernel takes the step for a whole Arrow batch of window pairs at once, only for pairs still open. There is no product of sequences: rows
+grow with the pairs of windows that do pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bases import BASE_CODES
 from ..functions.energy import PAIR, REVERSE, STACK
 
 _BASES = "ACGU"
@@ -56,28 +61,48 @@ def pieces(text: Column, overlap: int) -> Column:
     return once(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), make)
 
 
-def windows(seq: Column, size: int, reach: int, target: bool) -> Column:
-    """Array of (pos, window, beyond) for all windows of known bases; beyond: up to `reach` bases, the window first, as far as bases are known. Targets: pos is the window's 3' end, and both strings run from there to the 5' end."""
-
-    def make(text: Column) -> Column:
-        at = lambda k: (F.length(text) - 1 - k if target else k).cast("int")
-
-        def within(x: Column) -> Column:
-            part = lambda i, k: F.substring(x["piece"], i + 1, k)
-            made = F.transform(F.sequence(F.lit(0), x["own"] - 1), lambda i: F.struct(at(x["offset"] + i).alias("pos"), part(i, F.lit(size)).alias("window"), F.regexp_extract(part(i, F.lit(reach)), "^[ACGU]*", 0).alias("beyond")))
-            return F.filter(made, lambda w: F.length(w["beyond"]) >= size)
-
-        return F.flatten(F.transform(pieces(text, reach - 1), within))
-
-    return once(F.reverse(seq) if target else seq, make)
-
-
-def _types() -> Column:
-    return F.array(*(F.lit(_TYPE[a, b]) for a in _BASES for b in _BASES))
-
-
-def _energies() -> Column:
-    return F.array(*(F.lit(0 if not a or not b else int(STACK[a, REVERSE[b]])) for a in range(7) for b in range(7)))
+def windows(sequences: DataFrame, size: int, reach: int, target: bool) -> DataFrame:
+    """seq_id, pos, window and beyond for all windows of known bases of sequences (seq_id, seq); beyond: `reach` bases, the window first, unknown ones and what is past the end as N. Targets: pos is the window's 3' end, and both strings
+    run from there to the 5' end. Sequences are cut into pieces that become rows first, so no row grows with a sequence."""
+    text = F.reverse("seq") if target else F.col("seq")
+    cut = sequences.select("seq_id", F.length("seq").alias("total"), F.explode(pieces(F.regexp_replace(text, "[^ACGU]", "N"), reach - 1)).alias("x")).select("seq_id", "total", "x.*")
+    places = cut.select("seq_id", "total", "offset", "piece", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+    at = F.col("offset") + F.col("i")
+    made = places.select("seq_id", (F.col("total") - 1 - at if target else at).cast("int").alias("pos"), F.rpad(F.substring("piece", F.col("i") + 1, F.lit(reach)), reach, "N").alias("beyond"))
+    whole = made.withColumn("window", F.left("beyond", F.lit(size))).where(~F.contains("window", F.lit("N")))
+    return whole.select("seq_id", "pos", "window", "beyond")
+
+
+_KIND = np.zeros((5, 5), np.int8)
+_KIND[1:, 1:] = np.array([[_TYPE[a, b] for b in _BASES] for a in _BASES])
+_MORE = np.zeros((7, 7), np.int32)
+_MORE[1:, 1:] = np.array([[int(STACK[a, REVERSE[b]]) for b in range(1, 7)] for a in range(1, 7)])
+#: Rows of a batch that the kernel takes at once.
+ROWS = 1 << 16
+
+
+def _codes(column: pa.Array, width: int) -> np.ndarray:
+    """A row of base codes for each string of that width."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    first = int(np.frombuffer(offsets, np.int64)[column.offset])
+    return BASE_CODES[np.frombuffer(data, np.uint8)[first : first + len(column) * width]].reshape(len(column), width)
+
+
+def grown(query: np.ndarray, target: np.ndarray, energy: np.ndarray, least: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length and energy of the shortest stretch under the threshold from each pair of windows (0 without one), from codes of what lies along the diagonal on both sides and the windows' energies."""
+    kinds, total = _KIND[query, target], energy.astype(np.int32).copy()
+    length = np.where(total < threshold, least, 0).astype(np.int32)
+    open_ = np.flatnonzero(length == 0)
+    for i in range(least, kinds.shape[1]):
+        open_ = open_[kinds[open_, i] > 0]
+        if not len(open_):
+            break
+        total[open_] += _MORE[kinds[open_, i - 1], kinds[open_, i]]
+        under = total[open_] < threshold
+        length[open_[under]] = i + 1
+        open_ = open_[~under]
+    return length, total
 
 
 def seed_search(queries: DataFrame, targets: DataFrame, least: int = 5, most: int = 20, threshold: int = -600) -> DataFrame:
@@ -86,28 +111,26 @@ def seed_search(queries: DataFrame, targets: DataFrame, least: int = 5, most: in
     At each pair of starting bases the shortest duplex of at least `least` and at most `most` pairs whose stacking energy is under the threshold. Null sequences have none.
     """
     spark = queries.sparkSession
-    side = lambda df, name, target: df.select(F.col("seq_id").alias(name), F.explode(windows(F.col("seq"), least, most, target)).alias("w")).select(name, F.col("w.pos").alias(f"{name}_pos"), F.col("w.window").alias(f"{name[0]}_window"), F.col("w.beyond").alias(f"{name[0]}_beyond"))
+    side = lambda df, name, target: windows(df, least, most, target).select(F.col("seq_id").cast("long").alias(name), F.col("pos").alias(f"{name[0]}_pos"), F.col("window").alias(f"{name[0]}_window"), F.col("beyond").alias(f"{name[0]}_beyond"))
     table = window_pairs(spark, least)  # 6**least rows, whatever the sequences: sent around up to BROADCAST of them
     table = F.broadcast(table) if 6**least <= BROADCAST else table
     # sequences are few bytes and much work: as many tasks as shuffles have partitions, whatever the bytes
     queries = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id")
     met = side(queries, "query_id", False).join(table, "q_window").join(side(targets, "target_id", True), "t_window")
-    types, energies = _types(), _energies()
-    code = lambda text, i: F.instr(F.lit(_BASES), F.substring(text, i + 1, F.lit(1))) - 1
-    kind = lambda i: F.element_at(types, (4 * code(F.col("q_beyond"), i) + code(F.col("t_beyond"), i) + 1).cast("int"))
-
-    def step(state: Column, i: Column) -> Column:
-        inside = (i < F.length("q_beyond")) & (i < F.length("t_beyond"))
-        own = F.when(inside, kind(i)).otherwise(0)
-        energy = state["energy"] + F.element_at(energies, (7 * state["type"] + own + 1).cast("int"))
-        going = (state["length"] == 0) & state["open"] & (own > 0)
-        found = going & (energy < threshold)
-        return F.struct(F.when(going, energy).otherwise(state["energy"]).cast("int").alias("energy"), F.when(going, own).otherwise(state["type"]).cast("int").alias("type"), F.when(found, i + 1).otherwise(state["length"]).cast("int").alias("length"), going.alias("open"))
-
-    start = F.struct(F.col("energy").cast("int").alias("energy"), kind(F.lit(least - 1)).cast("int").alias("type"), F.lit(0).cast("int").alias("length"), F.lit(True).alias("open"))
-    further = F.aggregate(F.sequence(F.lit(least), F.lit(most - 1)), start, step) if most > least else start
-    done = met.withColumn("s", F.when(F.col("energy") < threshold, F.struct(F.col("energy").cast("int").alias("energy"), F.lit(least).alias("length"))).otherwise(F.struct(further["energy"].alias("energy"), further["length"].alias("length"))))
-    return done.where("s.length > 0").select("query_id", "target_id", F.col("query_id_pos").alias("q_start"), (F.col("target_id_pos") - F.col("s.length") + 1).cast("int").alias("t_start"), F.col("s.length").alias("length"), F.col("s.energy").alias("energy"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(low, ROWS)
+                length, energy = grown(_codes(batch.column("q_beyond"), most), _codes(batch.column("t_beyond"), most), batch.column("energy").to_numpy(), least, threshold)
+                found = np.flatnonzero(length)
+                at = pa.array(found)
+                length = length[found]
+                t_start = (batch.column("t_pos").to_numpy()[found] - length + 1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(at), batch.column("target_id").take(at), batch.column("q_pos").take(at), pa.array(t_start), pa.array(length), pa.array(energy[found])], names=["query_id", "target_id", "q_start", "t_start", "length", "energy"])
+
+    rows = met.select("query_id", "target_id", "q_pos", "t_pos", "q_beyond", "t_beyond", F.col("energy").cast("int").alias("energy"))
+    return rows.mapInArrow(run, "query_id long, target_id long, q_start int, t_start int, length int, energy int")
 
 
 def paired_runs(queries: DataFrame, targets: DataFrame) -> DataFrame:

@@ -46,8 +46,7 @@ def _named(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) ->
 
 def _encode(mode: int) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        codes = bases.encoded(F.col("seq"), mode, target=True)
-        return _cased(spark, sf_dir).select("seq_id", F.array_join(codes.cast("array<string>"), "").alias("codes"), bases.residue_count(F.col("seq"), mode).alias("known"))
+        return _cased(spark, sf_dir).select("seq_id", bases.encoded_text(F.col("seq"), mode, target=True).alias("codes"), bases.residue_count(F.col("seq"), mode).alias("known"))
 
     return query
 
@@ -66,11 +65,11 @@ def kmer_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kmer_counts(_documents(spark, sf_dir), 6)
+    return kmer_counts(_documents(spark, sf_dir), 8)
 
 
 def prefix_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_ranges(kmer_counts(_documents(spark, sf_dir), 6))
+    return prefix_ranges(kmer_counts(_documents(spark, sf_dir), 8))
 
 
 def start_positions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,7 +176,7 @@ def _as_bases(text: str) -> str:
 _DOCS = f"d as (select doc_id seq_id, doc_id ord, concat_ws('_', lang, source) as name, {_as_bases('text')} seq from documents)"
 _CASED = f"d as (select doc_id seq_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS.upper() + _LETTERS}', '{_AS_BASES + _AS_BASES.lower()}') seq from documents)"
 _NUMBER = "list_aggregate(list_transform(range(1, k + 1), lambda i: cast(pow(4, k - i) as bigint) * (instr('ACGU', substr(s, i, 1)) - 1)), 'sum')::bigint"
-_KMERS = "w as (select k, substr(seq, p, k) s, count(*)::bigint n from d, unnest(range(1, 7)) a(k), unnest(range(1, length(seq) - k + 2)) b(p) group by all)"
+_KMERS = "w as (select k, substr(seq, p, k) s, count(*)::bigint n from d, unnest(range(1, 9)) a(k), unnest(range(1, length(seq) - k + 2)) b(p) group by all)"
 _COUNTS = f"n as (select k::int k, {_NUMBER} kmer, n from w)"
 _STARTS = "s as (select seq_id, coalesce(sum(length(seq) + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as start, length(seq)::bigint length from d)"
 _TYPES = ", ".join(f"('{a}','{b}',{t})" for (a, b), t in _TYPE.items() if t)
@@ -194,7 +193,11 @@ def _seeds(least: int = 5, most: int = 20, threshold: int = -600) -> str:
     return f"""pt(qb, tb, ty) as (values {_TYPES}), st(a, b, e) as (values {_stack_rows()}),
 q as (select item_id id, {_as_bases('text')} seq from benchmark),
 b as (select id, (i - 1)::int pos, substr(seq, i, 1) c from q, unnest(range(1, length(seq) + 1)) u(i)),
-cells as (select x.id query_id, y.id target_id, x.pos i, x.pos + y.pos diag, ty from b x join pt on qb = x.c join b y on y.c = tb),
+w as (select id, (p - 1)::int pos, substr(seq, p, {least}) s from q, unnest(range(1, length(seq) - {least - 2})) u(p)),
+can(n, a, b) as (select 1, qb, tb from pt union all select n + 1, a || qb, tb || b from can, pt where n < {least}),
+met as (select x.id query_id, y.id target_id, x.pos i, x.pos + y.pos + {least - 1} diag from w x join can on a = x.s and n = {least} join w y on y.s = can.b),
+far as (select distinct query_id, target_id, (i + k)::int i, diag from met, unnest(range(0, {least})) u(k)),
+cells as (select query_id, target_id, far.i, diag, ty from far join b x on x.id = query_id and x.pos = far.i join b y on y.id = target_id and y.pos = diag - far.i join pt on qb = x.c and tb = y.c),
 isl as (select *, i - row_number() over (partition by query_id, target_id, diag order by i) island from cells),
 big as (select *, count(*) over (partition by query_id, target_id, diag, island) m, lag(ty) over (partition by query_id, target_id, diag, island order by i) prev from isl),
 run as (select query_id, target_id, diag, island, i, sum(coalesce(e, 0)) over (partition by query_id, target_id, diag, island order by i rows unbounded preceding)::int total from (select * from big where m >= {least}) left join st on a = prev and b = ty),
@@ -223,15 +226,15 @@ def oracle_sql() -> dict[str, str]:
 c as (select r.id query_id, n.id target_id, (i + j - 2)::int diagonal, (i - 1)::int p from r, unnest(range(1, length(r.seq) + 1)) a(i), n, unnest(range(1, length(n.seq) + 1)) b(j), pt where qb = substr(r.seq, i, 1) and tb = substr(n.seq, j, 1)),
 g as (select *, p - row_number() over (partition by query_id, target_id, diagonal order by p) island from c)
 select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, count(*)::bigint pairs from g group by query_id, target_id, diagonal, island""",
-        "seed_search": f"with {_seeds()} select * from seeds",
-        "seed_energy_hist": f"with {_seeds()} select length, floor(energy / 100.0)::bigint kcal, count(*)::bigint n, sum(energy)::bigint total from seeds group by 1, 2",
-        "ungapped_pairs": f"with {_seeds()} select query_id, target_id, q_start, t_start, (q_start + k)::int q, (t_start + length - 1 - k)::int t from seeds, unnest(range(0, length)) u(k)",
-        "dominance_candidates": f"with {_seeds()} select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_in, y.t_start t_in, y.length inner_length from seeds x join seeds y using (query_id, target_id) where y.q_start >= x.q_start and y.t_start >= x.t_start and y.q_start + y.length <= x.q_start + x.length and y.t_start + y.length <= x.t_start + x.length and y.length < x.length",
+        "seed_search": f"with recursive {_seeds()} select * from seeds",
+        "seed_energy_hist": f"with recursive {_seeds()} select length, floor(energy / 100.0)::bigint kcal, count(*)::bigint n, sum(energy)::bigint total from seeds group by 1, 2",
+        "ungapped_pairs": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, (q_start + k)::int q, (t_start + length - 1 - k)::int t from seeds, unnest(range(0, length)) u(k)",
+        "dominance_candidates": f"with recursive {_seeds()} select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_in, y.t_start t_in, y.length inner_length from seeds x join seeds y using (query_id, target_id) where y.q_start >= x.q_start and y.t_start >= x.t_start and y.q_start + y.length <= x.q_start + x.length and y.t_start + y.length <= x.t_start + x.length and y.length < x.length",
         "log_sum_exp": "with m as (select event_type, max(value) top from events group by 1) select event_type, round(any_value(top) + ln(sum(exp(value - top))), 6) lse from events join m using (event_type) group by event_type",
         "partition_block": "select doc_id seq_id, floor(doc_id / ((select count(*) from documents) // 16 + 1))::int bin from documents",
         "schedule_sorted": f"with {_DOCS} select seq_id, length(seq)::bigint length from d",
         "split_by_name": f"with {_DOCS}, l as (select * from d qualify row_number() over (partition by name order by ord desc) = 1) select 'part' file, ord, name, length(seq)::bigint length from l where contains(name, 'fr_') union all select 'all', ord, name, length(seq)::bigint from l",
         "fasta_wrap": f"with {_DOCS} select seq_id, regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as lines from d",
-        "format_style0": f"with {_seeds()} select query_id, target_id, q_start, t_start, {line} '(' || q_start || '-' || (q_start + length - 1) || ':' || (t_start + length - 1) || '-' || t_start || ') ' as line from seeds",
-        "format_style1": f"with {_seeds()} select query_id, target_id, q_start, t_start, {line} {pairs} as line from seeds, unnest(range(0, length)) u(k) group by query_id, target_id, q_start, t_start, length, energy",
+        "format_style0": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, {line} '(' || q_start || '-' || (q_start + length - 1) || ':' || (t_start + length - 1) || '-' || t_start || ') ' as line from seeds",
+        "format_style1": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, {line} {pairs} as line from seeds, unnest(range(0, length)) u(k) group by query_id, target_id, q_start, t_start, length, energy",
     }
