@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,7 +157,7 @@ def accessibility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interaction_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _benchmark(spark, sf_dir)
-    return search(targets, targets, accessibility(targets)).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
+    return search(targets, targets, accessibility(targets).persist(StorageLevel.DISK_ONLY)).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

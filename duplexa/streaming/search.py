@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.accessibility import accessibility
 from ..plans.search import SearchParameters, search_store
 from ..sources.store import Store
 
@@ -16,6 +18,8 @@ def stream_search(spark: SparkSession, incoming: str, database: str, results: st
     store = Store.open(spark, database)
 
     def batch(queries: DataFrame, number: int) -> None:
-        search_store(queries, store, parameters).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        own = accessibility(queries, store.span, store.least).persist(StorageLevel.DISK_ONLY)
+        search_store(queries, store, parameters, own=own).write.mode("overwrite").parquet(f"{results}/batch={number}")
+        own.unpersist()
 
     return spark.readStream.schema(SCHEMA).parquet(incoming).writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()

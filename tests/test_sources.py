@@ -93,7 +93,9 @@ def test_opening_equals_the_kernels(spark):
 
     (acc, cond), (a2, c2) = profiles(["ACGGGAAACCCAUAUGCGC", "GGGAAACCCUU"], 30, 5)
     pair = Pair("ACGGGAAACCCAUAUGCGC", "GGGAAACCCUU", (acc, cond, a2, c2), 5, Model())
-    row = [(acc.tolist(), cond.tolist(), a2.tolist(), c2.tolist(), q, t, n) for q, t, n in ((0, 0, 5), (3, 2, 8), (7, 4, 6))]
-    df = spark.createDataFrame(row, "a array<float>, b array<float>, c array<float>, d array<float>, q int, t int, n int")
-    for r in df.withColumn("e", opening(F.col("a"), F.col("b"), F.col("q"), F.col("n"), 5) + opening(F.col("c"), F.col("d"), F.col("t"), F.col("n"), 5)).collect():
-        assert r.e == pytest.approx(pair.open_cost(r.q, 11 - r.t - r.n, r.n), abs=1e-5)
+    df = spark.createDataFrame([(0, acc.tolist(), cond.tolist()), (1, a2.tolist(), c2.tolist())], "seq_id long, acc array<float>, cond array<float>")
+    costs = {(r.seq_id, r.pos): r.costs for r in opening(df, 5, 20).collect()}
+    assert len(costs) == len(acc) + len(a2) and all(len(c) == 16 for c in costs.values())
+    for q, t, n in ((0, 0, 5), (3, 2, 8), (7, 4, 6)):
+        assert costs[0, q][n - 5] + costs[1, t][n - 5] == pytest.approx(pair.open_cost(q, 11 - t - n, n), abs=1e-5)
+    assert costs[1, 4][2] is not None and costs[1, 4][3] is None
