@@ -86,15 +86,17 @@ def held_out(doc_id: Column) -> Column:
 def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
     """(label, whether a piece, distinct features, how often) of the training sample and of pieces of its texts, in an order that doesn't depend on partitions.
 
-    Texts are chosen by a random number times the frequency of their language, the smallest first: so each language has about as many. One number, the largest chosen, is what decides in the tasks.
+    Texts are chosen by a random number times the frequency of their language, the smallest first: so each language has about as many. Only languages and keys are shuffled for that; texts stay where they are read and
+    are met by the chosen keys, of which there are at most `rows`.
     """
     usable = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("key"))
-    counts = usable.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n_lang"))
+    keys = usable.select(F.col("lang").alias("of"), "key")
+    counts = keys.groupBy("of").agg(F.count("*").alias("n_lang"))
     chance = F.pmod(F.col("key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n_lang")
-    ranked = usable.join(counts, F.col("lang") == F.col("of")).withColumn("rank", chance)
-    last = ranked.select("rank").orderBy("rank").limit(rows).agg(F.max("rank")).first()[0]
-    if last is None:
+    first = keys.join(counts, "of").select("of", "key", chance.alias("rank")).orderBy("rank", "key", "of").limit(rows).toArrow()
+    if not first.num_rows:
         return []
+    picked = docs.sparkSession.createDataFrame(sorted({tuple(r.values()) for r in first.to_pylist()}), "of string, picked long, rank double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -111,7 +113,7 @@ def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np
 
     names = ("lang", "key", "rank", "piece", "ids", "counts")
     arrow = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)))
-    chosen = ranked.where(F.col("rank") <= last).select("lang", "text", "key", "rank").limit(rows)
+    chosen = usable.join(F.broadcast(picked), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("picked"))).select("lang", "text", "key", "rank").limit(rows)
     found = chosen.mapInArrow(run, "lang string, key long, rank double, piece int, ids array<int>, counts array<int>").orderBy("rank", "key", "lang", "piece").toArrow()
     return [(lang, piece > 0, ids.values.to_numpy(), n.values.to_numpy()) for lang, piece, ids, n in zip(found.column("lang").to_pylist(), found.column("piece").to_pylist(), found.column("ids"), found.column("counts"), strict=True)]
 
