@@ -2,6 +2,8 @@
 
 The kernel works on padded batches of sequences and fills its tables span by span, each span as whole-array operations over all positions of all sequences. Tables over spans hold Boltzmann weights; the sums over
 whole sequences are kept as logarithms, and the outside pass starts from probabilities, so that nothing overflows at any length.
+
+The weight of an interior loop is a product of the outer pair's part, the inner pair's part and the size's, but for the six smallest; so the sums over all sizes are matrix products with a table of sizes.
 """
 
 from __future__ import annotations
@@ -14,13 +16,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import base_codes
-from ..functions.energy import DANGLE3, DANGLE5, INTERIOR, KT, MAXLOOP, MISMATCH_INTERIOR, ML_BASE, ML_CLOSING, ML_INTERN, NINIO, NINIO_MOST, PAIR, REVERSE, TERMINAL_AU, TURN, Model, weight
+from ..functions.energy import BULGE, DANGLE3, DANGLE5, INTERIOR, KT, MAXLOOP, MISMATCH_INTERIOR, ML_BASE, ML_CLOSING, ML_INTERN, NINIO, NINIO_MOST, PAIR, REVERSE, STACK, TERMINAL_AU, TURN, Model, weight
 
 #: Bases of a padded batch.
 BATCH = 6000
 #: Bases that a task should get, at about a millisecond each; partitions follow the work, not the bytes, of which there are few.
 TASK_BASES = 4096
 MOST_TASKS = 100_000
+#: Unpaired bases on either side of the loops that have a table of their own.
+SMALL = ((0, 1), (1, 0), (1, 1), (1, 2), (2, 1), (2, 2))
+
+
+def _by_size() -> tuple[np.ndarray, np.ndarray]:
+    """Weights by the unpaired bases on either side, 0 where another rule holds: of interior loops and of bulges."""
+    loops, bulges = np.zeros((2, MAXLOOP + 1, MAXLOOP + 1))
+    for u1 in range(MAXLOOP + 1):
+        for u2 in range(MAXLOOP + 1 - u1):
+            if u1 and u2 and (u1, u2) not in SMALL:
+                loops[u1, u2] = weight(INTERIOR[u1 + u2] + min(NINIO_MOST, NINIO * abs(u1 - u2)))
+            elif u1 + u2 > 1 and not (u1 and u2):
+                bulges[u1, u2] = weight(BULGE[u1 + u2])
+    return loops, bulges
+
+
+LOOPS, BULGES = _by_size()
+
+
+def _taps(sizes: np.ndarray) -> np.ndarray:
+    """A table of sizes by the bases on the first side and on both."""
+    out = np.zeros_like(sizes)
+    for u1 in range(MAXLOOP + 1):
+        out[u1, u1:] = sizes[u1, : MAXLOOP + 1 - u1]
+    return out
+
+
+def _paired(table: np.ndarray) -> np.ndarray:
+    """Weights of energies by two pair types, 0 without a pair."""
+    out = weight(table)
+    out[0] = out[:, 0] = 0
+    return out
 
 
 class Fold:
@@ -41,6 +75,9 @@ class Fold:
         self.d5 = weight(DANGLE5)
         self.d3 = weight(DANGLE3 + TERMINAL_AU * (np.arange(7) > 2)[:, None])
         self.base, self.intern, self.closing = weight(ML_BASE), weight(ML_INTERN), weight(ML_CLOSING)
+        self.au = np.where(np.arange(7) > 0, weight(TERMINAL_AU * (np.arange(7) > 2)), 0.0)
+        self.stack, self.bulge = _paired(STACK), _paired(STACK + BULGE[1])
+        self.int11, self.int21, self.int22 = (_paired(x) for x in (model.loops.int11, model.loops.int21, model.loops.int22))
         self.pairs = {}
         self.run()
 
@@ -83,23 +120,29 @@ class Fold:
         i = np.arange(self.n + 1)[None, :]
         return np.where((i > 0) & (i + s < self.length[:, None]), self.pair(0, s + 1), 0)
 
-    def special(self, s: int, u1: int, u2: int) -> np.ndarray | None:
-        """Weights of loops with a table of their own, by i: outer pair (i, i + s + 1), inner interval (i + u1, i + s - u2); None for the others, and a size they don't have."""
-        if u1 and u2 and not (u1 <= 2 and u2 <= 2):
-            return None
-        t1, t2 = self.enclosing(s), self.pair(u1 + 1, s - u2)
-        ok = (t1 > 0) & (t2 > 0)
-        e = self.model.loop(t1, REVERSE[t2], np.full(self.shape, u1), np.full(self.shape, u2), self.at(1), self.at(u1), self.at(s - u2 + 1), self.at(s), asymmetry=True)
-        return np.where(ok, weight(np.where(ok, e, 0)), 0.0)
-
-    def sizes(self, s: int) -> Iterator[tuple[int, int]]:
-        for u1 in range(min(MAXLOOP, s - TURN - 2) + 1):
-            for u2 in range(min(MAXLOOP - u1, s - u1 - TURN - 2) + 1):
-                if u1 + u2:
-                    yield u1, u2
-
-    def size_weight(self, u1: int, u2: int) -> float:
-        return float(weight(INTERIOR[u1 + u2] + min(NINIO_MOST, NINIO * abs(u1 - u2))))
+    def special(self, s: int, u1: int, u2: int) -> np.ndarray:
+        """Weights of loops with a table of their own, by i: outer pair (i, i + s + 1), inner interval (i + u1, i + s - u2)."""
+        t1, t2 = self.enclosing(s), REVERSE[self.pair(u1 + 1, s - u2)]
+        a, b, c, d = self.at(1), self.at(u1), self.at(s - u2 + 1), self.at(s)
+        if u1 + u2 == 1:
+            return self.bulge[t1, t2]
+        if u1 + u2 == 2:
+            return self.int11[t1, t2, a, d]
+        if u1 + u2 == 4:
+            return self.int22[t1, t2, a, b, c, d]
+        return self.int21[t1, t2, a, c, d] if u1 == 1 else self.int21[t2, t1, c, a, b]
+
+    def over_sizes(self, x: np.ndarray, taps: np.ndarray, back: bool = False) -> np.ndarray:
+        """By i and the number of unpaired bases in all: the sum over those on the first side, u1, of their weight times x at i + u1; back: at i - u1."""
+        wide = np.zeros((len(x), self.n + 1 + MAXLOOP))
+        at = MAXLOOP if back else 0
+        wide[:, at : at + self.n + 1] = x
+        near = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, MAXLOOP + 1, axis=1))
+        return near @ (taps[::-1] if back else taps)
+
+    def stacked(self, table: dict, extra: int = 0) -> np.ndarray:
+        """table as one array by span, from TURN on, each shifted on by `extra` times the span: 1 names intervals by their end."""
+        return np.stack([self.shifted(table, s, -s * extra) for s in range(TURN, self.top + 1)])
 
     def multi_close(self, s: int) -> np.ndarray:
         t = self.enclosing(s)
@@ -108,15 +151,15 @@ class Fold:
 
     def run(self) -> None:
         stem, end, bif, m1, m2, multi = ({} for _ in range(6))
-        inner, outer_mi = {}, {}
+        inner, outer_mi, inner_au, outer_au = {}, {}, {}, {}
         zero = np.zeros(self.shape)
+        loops, bulges = ({s: zero.copy() for s in range(TURN, self.top + 1)} for _ in range(2))
+        loop_taps, bulge_taps = _taps(LOOPS), _taps(BULGES)
         self.hair = {}
         for s in range(TURN, self.top + 1):
             fits = self.fits(s)
             t = np.where(fits, self.pair(1, s), 0)
-            stack = self.model.loop(t, REVERSE[self.pair(2, s - 1)], zero.astype(int), zero.astype(int), zero.astype(int), zero.astype(int), zero.astype(int), zero.astype(int))
-            ok = (t > 0) & (self.pair(2, s - 1) > 0)
-            stem[s] = np.where(t > 0, self.shifted(stem, s - 2, 1) * np.where(ok, weight(np.where(ok, stack, 0)), 0) + self.shifted(end, s - 2, 1), 0)
+            stem[s] = np.where(t > 0, self.shifted(stem, s - 2, 1) * self.stack[t, REVERSE[self.pair(2, s - 1)]] + self.shifted(end, s - 2, 1), 0)
             total = zero.copy()
             for k in range(1, s):
                 if k in m1 and s - k in m2:
@@ -127,46 +170,46 @@ class Fold:
             multi[s] = (self.shifted(multi, s - 1, 1) * self.base + bif[s]) * fits
             te = self.enclosing(s)
             self.hair[s] = np.where(te > 0, weight(np.where(te > 0, self.model.hairpin(te, s, self.at(1), self.at(s)), 0)), 0)
-            # an interior loop's weight is the outer pair's part, the inner pair's part and the size's, but for small loops and bulges
-            r = REVERSE[np.maximum(t, 0)]
-            inner[s] = stem[s] * self.mi[r, self.at(s + 1), self.at(0)]
+            inner[s] = stem[s] * self.mi[REVERSE[t], self.at(s + 1), self.at(0)]
             outer_mi[s] = np.where(te > 0, self.mi[te, self.at(1), self.at(s)], 0)
-            generic, own = zero.copy(), zero.copy()
-            for u1, u2 in self.sizes(s):
-                x = self.special(s, u1, u2)
-                if x is None:
-                    generic += self.size_weight(u1, u2) * self.shifted(inner, s - u1 - u2, u1)
-                else:
-                    own += x * self.shifted(stem, s - u1 - u2, u1)
-            end[s] = np.where(te > 0, self.hair[s] + generic * outer_mi[s] + own + multi[s] * self.multi_close(s), 0)
+            inner_au[s], outer_au[s] = stem[s] * self.au[t], self.au[te]
+            for table, part, taps in ((loops, inner[s], loop_taps), (bulges, inner_au[s], bulge_taps)):
+                sums = self.over_sizes(part, taps)
+                for n in range(2, min(MAXLOOP, self.top - s) + 1):
+                    table[s + n] += sums[:, :, n]
+            own = zero.copy()
+            for u1, u2 in SMALL:
+                if s - u1 - u2 in stem:
+                    own += self.special(s, u1, u2) * self.shifted(stem, s - u1 - u2, u1)
+            end[s] = np.where(te > 0, self.hair[s] + loops.pop(s) * outer_mi[s] + bulges.pop(s) * outer_au[s] + own + multi[s] * self.multi_close(s), 0)
         self.stem, self.m1, self.m2, self.multi = stem, m1, m2, multi
         # whole sequences, as logarithms
         b = len(self.length)
         with np.errstate(divide="ignore"):
-            arm = {s: np.log(stem[s] * self.dangle(np.where(self.fits(s), self.pair(1, s), 0), s)) for s in stem}
+            arm = np.stack([np.log(stem[s] * self.dangle(np.where(self.fits(s), self.pair(1, s), 0), s)) for s in stem]) if stem else np.zeros((0, *self.shape))
         low = np.zeros((b, self.n + 1))
         for j in range(1, self.n + 1):
-            low[:, j] = low[:, j - 1]
-            for s in range(TURN, min(self.top, j) + 1):
-                low[:, j] = np.logaddexp(low[:, j], arm[s][:, j - s] + low[:, j - s])
+            spans = np.arange(TURN, min(self.top, j) + 1)
+            low[:, j] = np.logaddexp(low[:, j - 1], np.logaddexp.reduce(arm[spans - TURN, :, j - spans] + low[:, j - spans].T, axis=0))
         self.log_z = low[np.arange(b), self.length]
         high = np.full((b, self.n + 2), -np.inf)
         high[np.arange(b), self.length] = 0
         for i in range(self.n - 1, -1, -1):
             inside = i < self.length
-            value = high[:, i + 1]
-            for s in range(TURN, min(self.top, self.n - i) + 1):
-                value = np.logaddexp(value, arm[s][:, i] + high[:, i + s])
+            spans = np.arange(TURN, min(self.top, self.n - i) + 1)
+            value = np.logaddexp(high[:, i + 1], np.logaddexp.reduce(arm[spans - TURN, :, i] + high[:, i + spans].T, axis=0))
             high[:, i] = np.where(inside, value, high[:, i])
         self.low, self.high = low, high
-        self.outside(inner, outer_mi)
+        self.inner, self.inner_au = inner, inner_au
+        self.outside(outer_mi, outer_au, loop_taps, bulge_taps)
 
-    def outside(self, inner: dict, outer_mi: dict) -> None:
+    def outside(self, outer_mi: dict, outer_au: dict, loop_taps: np.ndarray, bulge_taps: np.ndarray) -> None:
         stem, m1, m2 = self.stem, self.m1, self.m2
         b_stem, b_end, b_multi, b_m1, b_m2, b_bif = ({} for _ in range(6))
         zero = np.zeros(self.shape)
         i = np.arange(self.n + 1)[None, :]
-        h = {}
+        h, h_au = {}, {}
+        loops, bulges = ({s: zero.copy() for s in range(TURN, self.top + 1)} for _ in range(2))
         for s in range(self.top, TURN - 1, -1):
             enclosed = (i > 0) & (i + s < self.length[:, None])
             b_end[s] = np.where(enclosed, self.shifted(b_stem, s + 2, -1), 0) if s < self.w else zero
@@ -181,30 +224,23 @@ class Fold:
                 total += self.shifted(b_bif, k, s - k) * self.shifted(m1, k - s, s - k)
             b_m2[s] = np.where(enclosed, total, 0)
             b_bif[s] = b_m1[s] + b_multi[s]
-            h[s] = b_end[s] * outer_mi[s]
+            h[s], h_au[s] = b_end[s] * outer_mi[s], b_end[s] * outer_au[s]
+            for table, part, taps in ((loops, h[s], loop_taps), (bulges, h_au[s], bulge_taps)):
+                sums = self.over_sizes(part, taps, back=True)
+                for n in range(2, min(MAXLOOP, s - TURN) + 1):
+                    table[s - n] += sums[:, :, n]
             t = np.where(self.fits(s), self.pair(1, s), 0)
             seed = np.exp(self.low + self._high(s) - self.log_z[:, None])
             out = seed * self.dangle(t, s) + b_m2[s] * self.intern * self.dangle(t, s)
-            generic = zero.copy()
-            for u1 in range(MAXLOOP + 1):
-                for u2 in range(MAXLOOP - u1 + 1):
-                    k = s + u1 + u2
-                    if k == s or k not in h:
-                        continue
-                    x = self.special(k, u1, u2)
-                    if x is None:
-                        generic += self.size_weight(u1, u2) * self.shifted(h, k, -u1)
-                    else:
-                        out += self.shifted({0: b_end[k] * x}, 0, -u1)
-            out += generic * self.mi[REVERSE[t], self.at(s + 1), self.at(0)]
+            for u1, u2 in SMALL:
+                k = s + u1 + u2
+                if k in b_end:
+                    out += self.shifted({0: b_end[k] * self.special(k, u1, u2)}, 0, -u1)
+            out += loops.pop(s) * self.mi[REVERSE[t], self.at(s + 1), self.at(0)] + bulges.pop(s) * self.au[t]
             if s + 2 in b_stem:
-                te = self.enclosing(s)
-                ok = (te > 0) & (t > 0)
-                z = zero.astype(int)
-                e = self.model.loop(te, REVERSE[t], z, z, z, z, z, z)
-                out += np.where(ok, self.shifted(b_stem, s + 2, -1) * weight(np.where(ok, e, 0)), 0)
+                out += self.shifted(b_stem, s + 2, -1) * self.stack[self.enclosing(s), REVERSE[t]]
             b_stem[s] = np.where(t > 0, out, 0)
-        self.b_end, self.b_multi, self.b_m2, self.h, self.inner = b_end, b_multi, b_m2, h, inner
+        self.b_end, self.b_multi, self.b_m2, self.h, self.h_au = b_end, b_multi, b_m2, h, h_au
 
     def _high(self, s: int) -> np.ndarray:
         out = np.full(self.shape, -np.inf)
@@ -247,19 +283,30 @@ class Fold:
         """Probability that base i closes a loop with so many unpaired bases on its first strand, and that base i ends the inner pair of one with so many on the second."""
         self.left = {u: np.zeros(self.shape) for u in range(1, MAXLOOP + 1)}
         self.right = {u: np.zeros(self.shape) for u in range(1, MAXLOOP + 1)}
+        if self.top < TURN:
+            return
+        spans = np.arange(TURN, self.top + 1)
+        more = spans[:, None] - spans[None, :]  # unpaired bases in all, by the outer and the inner span
+        for own, near, sizes in ((self.h, self.inner, LOOPS), (self.h_au, self.inner_au, BULGES)):
+            # by their starts for the first side, and by their ends for the second
+            for out, outer, inner, table in ((self.left, self.stacked(own), self.stacked(near), sizes), (self.right, self.stacked(own, 1), self.stacked(near, 1), sizes.T)):
+                for u in range(1, min(MAXLOOP, self.n) + 1):
+                    other = more - u
+                    weights = np.where((other >= 0) & (other <= MAXLOOP), table[u, np.clip(other, 0, MAXLOOP)], 0.0)
+                    first, second = (outer, inner) if out is self.left else (inner, outer)
+                    # first side: inner pairs start u further on; second side: outer pairs end u further on
+                    met = (weights if out is self.left else weights.T) @ second.reshape(len(spans), -1)
+                    x = first[:, :, : self.n + 1 - u] * met.reshape(second.shape)[:, :, u:]
+                    out[u][:, : self.n + 1 - u] += x.sum(0)
         for s in self.b_end:
-            for u1, u2 in self.sizes(s):
-                x = self.special(s, u1, u2)
-                k = s - u1 - u2
-                if x is None:
-                    p = self.size_weight(u1, u2) * self.h[s] * self.shifted(self.inner, k, u1)
-                else:
-                    p = self.b_end[s] * x * self.shifted(self.stem, k, u1)
-                if u1:
-                    self.left[u1] += p
-                if u2:
-                    q = s - u2
-                    self.right[u2][:, q:] += p[:, : self.n + 1 - q]
+            for u1, u2 in SMALL:
+                if s - u1 - u2 in self.stem:
+                    p = self.b_end[s] * self.special(s, u1, u2) * self.shifted(self.stem, s - u1 - u2, u1)
+                    if u1:
+                        self.left[u1] += p
+                    if u2:
+                        q = s - u2
+                        self.right[u2][:, q:] += p[:, : self.n + 1 - q]
 
 
 def profiles(seqs: list[str], span: int = 70, least: int = 5, model: Model | None = None, ml_base: bool = True) -> list[tuple[np.ndarray, np.ndarray]]:
