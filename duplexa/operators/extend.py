@@ -1,5 +1,7 @@
 """Extension of seeds within one pair of sequences: ungapped and gapped passes, and removal of dominated hits.
 
+The ungapped pass goes on for all seeds of many pairs at once, base by base over arrays; only what is left after it and the first removal goes through the gapped pass.
+
 A pair's hits, sequences and profiles are one row, so Spark deals pairs and nothing else has to meet. Inside, targets run from their 3' end (position v), so that both strands of a duplex count upwards.
 """
 
@@ -7,10 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ..functions.bases import base_codes
@@ -42,11 +46,17 @@ class Pair:
     """A query and a target as the passes see them. Hard-masked and unknown bases are barriers."""
 
     def __init__(self, query: str, target: str, profiles: tuple, least: int, model: Model):
-        self.q, self.t = base_codes(query).tolist(), base_codes(target)[::-1].tolist()
-        self.least = least
-        self.qa, self.qc, self.ta, self.tc = ([float(x) for x in p] for p in profiles)
-        loops = model.loops
-        self.int11, self.int21, self.int22 = loops.int11, loops.int21, loops.int22
+        self.codes = base_codes(query), base_codes(target)[::-1]
+        self.profiles = tuple(np.asarray(p, float) for p in profiles)
+        self.least, self.model = least, model
+        self.int11, self.int21, self.int22 = model.loops.int11, model.loops.int21, model.loops.int22
+
+    q = cached_property(lambda self: self.codes[0].tolist())
+    t = cached_property(lambda self: self.codes[1].tolist())
+    qa = cached_property(lambda self: self.profiles[0].tolist())
+    qc = cached_property(lambda self: self.profiles[1].tolist())
+    ta = cached_property(lambda self: self.profiles[2].tolist())
+    tc = cached_property(lambda self: self.profiles[3].tolist())
 
     def base(self, seq: list[int], k: int) -> int:
         return seq[k] if 0 <= k < len(seq) else 0
@@ -62,10 +72,6 @@ class Pair:
         f = len(self.t) - 1 - v  # going back on the reversed strand is going on in the target
         return self.tc[f] if back else self.ta[f] - self.ta[f + 1] + self.tc[f + self.least]
 
-    def open_cost(self, k: int, v: int, size: int) -> float:
-        f = len(self.t) - v - size
-        return self.qa[k] + sum(self.qc[k + self.least : k + size]) + self.ta[f] + sum(self.tc[f + self.least : f + size])
-
     def loop(self, t1: int, t2: int, i: int, j: int, p: int, q: int) -> float:
         """kcal/mol between the outer pair (i, j) of type t1 and the inner pair (p, q) of type t2, read from inside."""
         u1, u2 = p - i - 1, q - j - 1
@@ -90,35 +96,76 @@ class Pair:
         return float(e) / 100
 
 
-def ungapped(pair: Pair, hit: Hit, drop: int) -> Hit:
-    """Extend a hit on both sides without gaps, as long as its energy has improved within the last `drop` bases."""
-    first, last, first_v, last_v = hit.q, hit.q + hit.m - 1, hit.v, hit.v + hit.m - 1
-    acc, hyb = hit.acc, hit.hyb
+def _flat(parts: list[np.ndarray], dtype: type = float) -> np.ndarray:
+    """Arrays one behind the other, each between zeros."""
+    edge = np.zeros(1, dtype)
+    return np.concatenate([x for p in parts for x in (edge, p)] + [edge]).astype(dtype)
+
+
+def _going_back(first: np.ndarray, cond: np.ndarray, least: int) -> np.ndarray:
+    """By base: what it costs to open it in front of a window of `least` open ones; 0 where the profile ends before."""
+    out = np.zeros(len(cond))
+    m = max(0, len(cond) - least)
+    out[:m] = first[:m] - first[1 : m + 1] + cond[least : least + m]
+    return out
+
+
+class Strands:
+    """Many pairs as flat arrays with a barrier on both sides of each strand: codes, and what opening a base costs on the way back (0) and on (1)."""
+
+    def __init__(self, pairs: list[Pair]):
+        least = pairs[0].least
+        self.q, self.v = (_flat([p.codes[k] for p in pairs], int) for k in (0, 1))
+        self.q_at, self.v_at = (np.cumsum([0] + [len(p.codes[k]) + 1 for p in pairs])[:-1] + 1 for k in (0, 1))
+        qa, qc, ta, tc = zip(*(p.profiles for p in pairs), strict=True)
+        back = [[_going_back(a, c, least) for a, c in zip(x, y, strict=True)] for x, y in ((qa, qc), (ta, tc))]
+        self.q_steps = _flat(back[0]), _flat(qc)
+        self.v_steps = _flat([c[::-1] for c in tc]), _flat([x[::-1] for x in back[1]])  # going back on the reversed strand is going on in the target
+        self.first, self.cond = (_flat(qa), _flat([c[::-1] for c in ta])), (_flat(qc), _flat([c[::-1] for c in tc]))
+
+    def open_costs(self, k: np.ndarray, v: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+        """What it costs to open `size` bases from flat places k and v on."""
+        total = np.zeros(len(k))
+        for own, first, cond, way in ((k, self.first[0], self.cond[0], 1), (v + size - 1, self.first[1], self.cond[1], -1)):
+            more = np.zeros(len(k))
+            for x in range(least, int(size.max(initial=0))):
+                on = size > x
+                more[on] += cond[own[on] + way * x]
+            total = total + first[own] + more
+        return total
+
+
+def ungapped(strands: Strands, model: Model, k: np.ndarray, v: np.ndarray, size: np.ndarray, acc: np.ndarray, hyb: np.ndarray, drop: int) -> tuple[np.ndarray, ...]:
+    """Extend hits at flat places on both sides without gaps, each as long as its energy has improved within the last `drop` bases: new k, v, size, acc and hyb."""
+    q, t = strands.q, strands.v
+    ends = []
     for back in (True, False):
         way = -1 if back else 1
-        k, v = (first, first_v) if back else (last, last_v)
-        at_k, at_v, best_k, best_v = k, v, k, v
-        a, h, best_a, best_h = acc, hyb, acc, hyb
-        while True:
-            k, v = k + way, v + way
-            if not pair.base(pair.q, k) or not pair.base(pair.t, v):
-                break
-            a += pair.query_step(k, back) + pair.target_step(v, back)
-            t = pair.type(k, v)
-            if t:
-                near = pair.type(at_k, at_v)
-                h += pair.loop(t, _REVERSE[near], k, v, at_k, at_v) if back else pair.loop(near, _REVERSE[t], at_k, at_v, k, v)
-                at_k, at_v = k, v
-                if a + h < best_a + best_h:
-                    best_a, best_h, best_k, best_v = a, h, k, v
-            if abs(k - best_k) >= drop:
-                break
-        acc, hyb = best_a, best_h
-        if back:
-            first, first_v = best_k, best_v
-        else:
-            last = best_k
-    return Hit(first, first_v, last - first + 1, last - first + 1, acc, hyb)
+        at_k, at_v = (k.copy(), v.copy()) if back else (k + size - 1, v + size - 1)
+        shift, best_k = at_v - at_k, at_k.copy()
+        a, h = acc.copy(), hyb.copy()
+        live, here = np.arange(len(k)), at_k.copy()
+        while len(live):
+            here = here + way
+            there = here + shift[live]
+            on = (q[here] > 0) & (t[there] > 0)
+            live, here, there = live[on], here[on], there[on]
+            a[live] += strands.q_steps[not back][here] + strands.v_steps[not back][there]
+            kind = PAIR[q[here], t[there]]
+            met = kind > 0
+            hit, x, y = live[met], here[met], there[met]
+            near = PAIR[q[at_k[hit]], t[at_v[hit]]]
+            i, j, p, r = (x, y, at_k[hit], at_v[hit]) if back else (at_k[hit], at_v[hit], x, y)
+            outer, inner = (kind[met], near) if back else (near, kind[met])
+            h[hit] += model.loop(outer, REVERSE[inner], p - i - 1, p - i - 1, q[i + 1], q[p - 1], t[r - 1], t[j + 1]) / 100
+            at_k[hit], at_v[hit] = x, y
+            better = a[hit] + h[hit] < acc[hit] + hyb[hit]
+            hit = hit[better]
+            acc[hit], hyb[hit], best_k[hit] = a[hit], h[hit], x[better]
+            on = np.abs(here - best_k[live]) < drop
+            live, here = live[on], here[on]
+        ends.append(best_k)
+    return ends[0], v + ends[0] - k, ends[1] - ends[0] + 1, acc, hyb
 
 
 def pairs_of(pair: Pair, hit: Hit) -> list[tuple[int, int]]:
@@ -244,20 +291,33 @@ def undominated(hits: list[Hit], threshold: float) -> list[Hit]:
     return [h for h, g in zip(hits, gone, strict=True) if not g]
 
 
-def interactions(pair: Pair, seeds: list[tuple[int, int, int, float]], interaction: float, final: float, drop_ungapped: int, drop_gapped: int, helix: int) -> list[Hit]:
-    """From seeds (query start, target start, length, hybridisation) to final hits."""
-    hits = []
-    for k, start, size, hyb in seeds:
-        v = len(pair.t) - start - size
-        hit = Hit(k, v, size, size, pair.open_cost(k, v, size), hyb)
-        if hit.energy < 0:
-            hits.append(ungapped(pair, hit, drop_ungapped))
-    kept = undominated(hits, interaction)
-    for hit in kept:
-        hit.pairs = pairs_of(pair, hit)
-    return undominated([gapped(pair, h, drop_gapped, helix) for h in kept], final)
-
-
+def interactions(pairs: list[Pair], seeds: tuple[np.ndarray, ...], interaction: float, final: float, drop_ungapped: int, drop_gapped: int, helix: int) -> list[list[Hit]]:
+    """The final hits of each pair, from seeds (arrays of pair, query start, target start, length, hybridisation)."""
+    out: list[list[Hit]] = [[] for _ in pairs]
+    if not pairs:
+        return out
+    row, k, start, size, hyb = seeds
+    strands, least = Strands(pairs), pairs[0].least
+    k = strands.q_at[row] + k
+    v = strands.v_at[row] + np.array([len(p.codes[1]) for p in pairs])[row] - start - size
+    acc = strands.open_costs(k, v, size, least)
+    good = acc + hyb < 0
+    row = row[good]
+    found = ungapped(strands, pairs[0].model, k[good], v[good], size[good], acc[good], hyb[good], drop_ungapped)
+    near = found[3] + found[4] <= interaction
+    row, (k, v, size, acc, hyb) = row[near], (x[near] for x in found)
+    for r, *hit in zip(row.tolist(), (k - strands.q_at[row]).tolist(), (v - strands.v_at[row]).tolist(), size.tolist(), acc.tolist(), hyb.tolist(), strict=True):
+        out[r].append(Hit(hit[0], hit[1], hit[2], hit[2], hit[3], hit[4]))
+    for r in sorted(set(row.tolist())):
+        pair, kept = pairs[r], undominated(out[r], interaction)
+        for hit in kept:
+            hit.pairs = pairs_of(pair, hit)
+        out[r] = undominated([gapped(pair, h, drop_gapped, helix) for h in kept], final)
+    return out
+
+
+#: Bases of the pairs that are extended at once.
+AT_ONCE = 1_000_000
 HITS = "query_id long, target_id long, q_start int, t_start int, q_len int, t_len int, acc_energy double, hyb_energy double, energy double, base_pairs array<struct<q:int,t:int>>"
 _ARROW = pa.schema(
     [("query_id", pa.int64()), ("target_id", pa.int64()), ("q_start", pa.int32()), ("t_start", pa.int32()), ("q_len", pa.int32()), ("t_len", pa.int32()), ("acc_energy", pa.float64()), ("hyb_energy", pa.float64()), ("energy", pa.float64()), ("base_pairs", pa.list_(pa.struct([("q", pa.int32()), ("t", pa.int32())])))]
@@ -268,16 +328,28 @@ def extended(pairs: DataFrame, least: int, interaction: float, final: float, dro
     """Hits of rows (query_id, target_id, q_seq, q_acc, q_cond, t_seq, t_acc, t_cond, seeds: array of q_start, t_start, length, hyb). Sequences are masked already."""
     model = model or Model()
 
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = {name: batch.column(name) for name in batch.schema.names}
+        profiles = zip(*([x.values.to_numpy(zero_copy_only=False) for x in column[name]] for name in ("q_acc", "q_cond", "t_acc", "t_cond")), strict=True)
+        rows = [Pair(q, t, p, least, model) for q, t, p in zip(column["q_seq"].to_pylist(), column["t_seq"].to_pylist(), profiles, strict=True)]
+        seeds = column["seeds"].flatten()
+        of = np.repeat(np.arange(batch.num_rows), np.diff(column["seeds"].offsets.to_numpy()))
+        places = (seeds.field(name).to_numpy(zero_copy_only=False) for name in ("q_start", "t_start", "length", "hyb"))
+        hits = interactions(rows, (of, *(x.astype(t) for x, t in zip(places, (int, int, int, float), strict=True))), interaction, final, drop_ungapped, drop_gapped, helix)
+        out = []
+        for query, target, pair, found in zip(column["query_id"].to_pylist(), column["target_id"].to_pylist(), rows, hits, strict=True):
+            end = len(pair.codes[1]) - 1
+            for h in found:
+                out.append({"query_id": query, "target_id": target, "q_start": h.q, "t_start": end - (h.v + h.n - 1), "q_len": h.m, "t_len": h.n, "acc_energy": h.acc, "hyb_energy": h.hyb, "energy": h.energy, "base_pairs": [{"q": a, "t": end - b} for a, b in h.pairs]})
+        return pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in range(batch.num_rows):  # one row at a time: a pair may hold many seeds
-                row = {k: batch.column(k)[r].as_py() for k in batch.schema.names}
-                pair = Pair(row["q_seq"], row["t_seq"], (row["q_acc"], row["q_cond"], row["t_acc"], row["t_cond"]), least, model)
-                seeds = [(s["q_start"], s["t_start"], s["length"], s["hyb"]) for s in row["seeds"]]
-                end = len(pair.t) - 1
-                for h in interactions(pair, seeds, interaction, final, drop_ungapped, drop_gapped, helix):
-                    out.append({"query_id": row["query_id"], "target_id": row["target_id"], "q_start": h.q, "t_start": end - (h.v + h.n - 1), "q_len": h.m, "t_len": h.n, "acc_energy": h.acc, "hyb_energy": h.hyb, "energy": h.energy, "base_pairs": [{"q": a, "t": end - b} for a, b in h.pairs]})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+            first = bases = 0
+            for r, size in enumerate((pc.binary_length(batch.column("q_seq")).to_numpy() + pc.binary_length(batch.column("t_seq")).to_numpy()).tolist()):
+                bases += size
+                if bases >= AT_ONCE or r == batch.num_rows - 1:
+                    yield part(batch.slice(first, r + 1 - first))
+                    first, bases = r + 1, 0
 
     return pairs.mapInArrow(run, HITS)

@@ -1,11 +1,13 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
 
 from duplexa.functions.energy import Model
 from duplexa.operators.accessibility import profiles
-from duplexa.operators.extend import Hit, Pair, gapped, interactions, pairs_of, undominated, ungapped
+from duplexa.operators import extend
+from duplexa.operators.extend import Hit, Pair, Strands, gapped, interactions, pairs_of, undominated
 
 MODEL = Model()
 
@@ -15,9 +17,28 @@ def pair(query, target, flat=True, least=3):
     return Pair(query, target, (*sides[0], *sides[1]), least, MODEL)
 
 
+def open_cost(p, k, v, size):
+    f = len(p.t) - v - size
+    return p.qa[k] + sum(p.qc[k + p.least : k + size]) + p.ta[f] + sum(p.tc[f + p.least : f + size])
+
+
+def extend_all(pairs, rows, hits, drop):
+    """The ungapped pass over hits of several pairs."""
+    s = Strands(pairs)
+    at_q, at_v = s.q_at[rows], s.v_at[rows]
+    k, v, size, acc, hyb = (np.array(x) for x in zip(*((h.q, h.v, h.m, h.acc, h.hyb) for h in hits), strict=True))
+    assert np.allclose(s.open_costs(k + at_q, v + at_v, size, pairs[0].least), acc)
+    k, v, size, acc, hyb = extend.ungapped(s, MODEL, k + at_q, v + at_v, size, acc, hyb, drop)
+    return [Hit(int(a), int(b), int(m), int(m), float(x), float(y)) for a, b, m, x, y in zip(k - at_q, v - at_v, size, acc, hyb, strict=True)]
+
+
+def ungapped(p, hit, drop):
+    return extend_all([p], [0], [hit], drop)[0]
+
+
 def seed(p, q, v, size):
     hyb = sum(p.loop(p.type(q + k, v + k), [0, 2, 1, 4, 3, 6, 5][p.type(q + k + 1, v + k + 1)], q + k, v + k, q + k + 1, v + k + 1) for k in range(size - 1))
-    return Hit(q, v, size, size, p.open_cost(q, v, size), hyb)
+    return Hit(q, v, size, size, open_cost(p, q, v, size), hyb)
 
 
 def test_ungapped_takes_the_whole_duplex():
@@ -54,6 +75,51 @@ def test_ungapped_is_the_best_of_all_reachable_states(rng_seed):
     assert hit.energy <= start.energy + 1e-9
 
 
+def plain_ungapped(p, hit, drop):
+    """One hit, base by base."""
+    ends, (acc, hyb) = [], (hit.acc, hit.hyb)
+    for way in (-1, 1):
+        k, v = (hit.q, hit.v) if way < 0 else (hit.q + hit.m - 1, hit.v + hit.m - 1)
+        at, best, a, h, best_a, best_h = (k, v), k, acc, hyb, acc, hyb
+        while True:
+            k, v = k + way, v + way
+            if not p.base(p.q, k) or not p.base(p.t, v):
+                break
+            a += p.query_step(k, way < 0) + p.target_step(v, way < 0)
+            if p.type(k, v):
+                r = [0, 2, 1, 4, 3, 6, 5]
+                h += p.loop(p.type(k, v), r[p.type(*at)], k, v, *at) if way < 0 else p.loop(p.type(*at), r[p.type(k, v)], *at, k, v)
+                at = (k, v)
+                if a + h < best_a + best_h:
+                    best_a, best_h, best = a, h, k
+            if abs(k - best) >= drop:
+                break
+        acc, hyb = best_a, best_h
+        ends.append(best)
+    return Hit(ends[0], hit.v + ends[0] - hit.q, ends[1] - ends[0] + 1, ends[1] - ends[0] + 1, acc, hyb)
+
+
+def test_ungapped_of_many_pairs_equals_one_by_one():
+    """Also at the ends of strands, beside unknown bases, and for strands hardly longer than a seed."""
+    rng = random.Random(5)
+    pairs = [pair(*("".join(rng.choices("ACGUN", (4, 6, 6, 4, 0.5), k=rng.choice((4, 7, 30, 60)))) for _ in range(2)), flat=False) for _ in range(12)]
+    rows, hits = [], []
+    for r, p in enumerate(pairs):
+        for k in range(len(p.q) - 2):
+            for v in range(len(p.t) - 2):
+                if all(p.type(k + x, v + x) for x in range(3)):
+                    for size in (3, 4, 5):
+                        if k + size <= len(p.q) and v + size <= len(p.t) and all(p.type(k + x, v + x) for x in range(size)):
+                            rows.append(r)
+                            hits.append(seed(p, k, v, size))
+    assert len(hits) > 500 and len(set(rows)) > 8
+    for drop in (1, 2, 5, 16):
+        got = extend_all(pairs, rows, hits, drop)
+        want = [plain_ungapped(pairs[r], h, drop) for r, h in zip(rows, hits, strict=True)]
+        assert [(h.q, h.v, h.m) for h in got] == [(h.q, h.v, h.m) for h in want]
+        assert np.allclose([(h.acc, h.hyb) for h in got], [(h.acc, h.hyb) for h in want], atol=1e-12)
+
+
 def test_gapped_bridges_a_bulge():
     p = pair("GGGCGCAGCGCGGAAAA", "UUUUCCGCGCGCGCCC")
     start = ungapped(p, seed(p, 0, 0, 6), 3)
@@ -103,7 +169,8 @@ def test_final_hits_hold_what_they_should():
     p = pair(q, t, flat=False, least=5)
     seeds = [(k, len(t) - v - 5, 5, s.hyb) for k in range(66) for v in range(66) if all(p.type(k + x, v + x) for x in range(5)) for s in [seed(p, k, v, 5)] if s.hyb < -6]
     assert seeds
-    loose, tight = (interactions(p, seeds, -1.0, g, 5, 16, 3) for g in (-2.0, -5.0))
+    columns = (np.zeros(len(seeds), int), *(np.array(x) for x in zip(*seeds, strict=True)))
+    loose, tight = (interactions([p], columns, -1.0, g, 5, 16, 3)[0] for g in (-2.0, -5.0))
     assert all(h.energy <= -2 for h in loose) and all(h.energy <= -5 for h in tight)
     assert {(h.q, h.v, h.m, h.n) for h in tight} <= {(h.q, h.v, h.m, h.n) for h in loose}
     for h in loose:
