@@ -12,6 +12,7 @@ from .licenses import scan as scan_licenses
 from .mixing import mix
 from .near_dedup import SQL as NEAR_SQL
 from .near_dedup import near_duplicates
+from .packing import digests, pack
 from .pages import extract
 from .pii import find_pii
 from .preference import SQL as PREFERENCE_SQL
@@ -61,8 +62,12 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(pack(documents(spark, sf_dir)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text, op11_differencing_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
