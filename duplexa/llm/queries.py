@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import leaks
 from .langid import identify
+from .lexical import SQL as LEXICAL_SQL
+from .lexical import search
 from .licenses import scan as scan_licenses
 from .mixing import mix
 from .near_dedup import SQL as NEAR_SQL
@@ -66,9 +68,13 @@ def op11_differencing_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(pack(documents(spark, sf_dir)))
 
 
+def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text, op11_differencing_pack)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text, op11_differencing_pack, op12_impact_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_format": PREFERENCE_SQL, "op6_minmax_near_dedup": NEAR_SQL}
+    return {"op4_preference_format": PREFERENCE_SQL, "op6_minmax_near_dedup": NEAR_SQL, "op12_impact_search": LEXICAL_SQL}
