@@ -14,6 +14,8 @@ from .licenses import scan as scan_licenses
 from .mixing import mix
 from .near_dedup import SQL as NEAR_SQL
 from .near_dedup import near_duplicates
+from .negatives import SQL as NEGATIVES_SQL
+from .negatives import mine, relabelled, whole_numbers
 from .packing import digests, pack
 from .pages import extract
 from .pii import find_pii
@@ -72,9 +74,13 @@ def op12_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(relabelled(whole_numbers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))), "vec_id % 50 = 0")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text, op11_differencing_pack, op12_impact_search)}
+    return {f.__name__: f for f in (op1_license_scan, op2_secret_scan, op3_language_id, op4_preference_format, op5_quality_outliers, op6_minmax_near_dedup, op7_pivotal_mixing, op8_benchmark_leaks, op9_pii, op10_page_text, op11_differencing_pack, op12_impact_search, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_preference_format": PREFERENCE_SQL, "op6_minmax_near_dedup": NEAR_SQL, "op12_impact_search": LEXICAL_SQL}
+    return {"op4_preference_format": PREFERENCE_SQL, "op6_minmax_near_dedup": NEAR_SQL, "op12_impact_search": LEXICAL_SQL, "op13_hard_negatives": NEGATIVES_SQL}
