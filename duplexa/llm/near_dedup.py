@@ -9,7 +9,7 @@ Search goes in two steps, because within a group of near copies all pairs would
 
 1. each text in a bucket is held against the bucket's smallest id, its hub; what holds gives components;
 2. where a hub has texts outside of its component, those are held against all others of the hub. Texts of a hub are dealt into blocks of about BLOCK shingles and TEXTS texts, and pairs of blocks are tasks' work:
-   what each two texts of them have in common comes from products of their incidence matrices, COLUMNS shingles at a time. So no group of any size meets in one task, and only links leave it. Pairs within one
+   what each two texts of them have in common comes from products of their incidence matrices, COLUMNS shingles at a time. So no group of any size meets in one task, and only a spanning forest of the links leaves it. Pairs within one
    component need no look, as they cannot change it. No bucket, text or pair is capped.
 
 A link at similarity s is found with probability 1 - (1 - s**ROWS)**BANDS at least: at 0.85, 0.999999. Confirmation is exact, on full sets. Texts are sent to candidates by id in a shuffle,
@@ -159,8 +159,23 @@ def _links_within(component: np.ndarray, sets: np.ndarray, at: np.ndarray, perce
     return i[i > j], j[i > j]
 
 
+def _forest(component: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the links i, j (in ascending i) that first connect two groups of components: as few as join all that the links join."""
+    group, kept = np.unique(component, return_inverse=True)[1], []
+    bounds = np.flatnonzero(np.diff(i, prepend=-1, append=-1))
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        own, others = i[low], j[low:high]
+        told, first = np.unique(group[others], return_index=True)
+        new = told != group[own]
+        if new.any():
+            kept += [(own, x) for x in others[first[new]].tolist()]
+            group[np.isin(group, told[new])] = group[own]
+    return tuple(np.array(kept, np.int64).reshape(-1, 2).T)
+
+
 def loose_links(checked: DataFrame, found: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, most: int = TEXTS) -> DataFrame:
-    """Links (a, b) between texts that met one hub and were left in different components, of which one isn't the hub's. checked: what confirm gave for texts and their hubs."""
+    """Links (a, b) between texts that met one hub and were left in different components, of which one isn't the hub's: of the links that two blocks have, those that join components, fewer than the blocks have texts.
+    checked: what confirm gave for texts and their hubs."""
     rows = (
         checked.join(found.withColumnRenamed("node", "a"), "a", "left")
         .join(found.select(F.col("node").alias("b"), F.col("component").alias("of_hub")), "b", "left")
@@ -181,7 +196,8 @@ def loose_links(checked: DataFrame, found: DataFrame, texts: DataFrame, percent:
 
     def links_of(rows: pa.Table) -> pa.RecordBatch:
         a = rows.column("a").to_numpy()
-        i, j = _links_within(rows.column("component").to_numpy(), *sets_of(rows.column("text"), shingle), percent)
+        component = rows.column("component").to_numpy()
+        i, j = _forest(component, *_links_within(component, *sets_of(rows.column("text"), shingle), percent))
         return pa.RecordBatch.from_arrays([pa.array(np.maximum(a[i], a[j])), pa.array(np.minimum(a[i], a[j]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -80,8 +80,47 @@ def test_blocks_do_not_matter(spark):
     stars = texts.where("id > 0").selectExpr("id a", "0L b")
     checked = N.settle(N.confirm(stars, texts))
     found = components(checked.where("linked").select("a", "b"))
-    one, many = ({(r.a, r.b) for r in N.loose_links(checked, found, texts, block=b).collect()} for b in (1 << 20, 130))
+    links = [N.loose_links(checked, found, texts, block=b) for b in (1 << 20, 130)]
+    one, many = ({(r.node, r.component) for r in components(checked.where("linked").select("a", "b").union(x)).collect()} for x in links)
     assert one == many and one
+    sets = {r.id: N.sets_of(pa.array([r.text]))[0] for r in texts.collect()}
+    for a, b in {(r.a, r.b) for x in links for r in x.collect()}:
+        common = len(np.intersect1d(sets[a], sets[b]))
+        assert 100 * common >= N.PERCENT * (len(sets[a]) + len(sets[b]) - common)
+
+
+def test_mutual_copies_off_their_hub_give_a_forest(spark):
+    """800 texts alike that aren't like their hub: n - 1 links at most leave the tasks of each pair of blocks."""
+    base = [f"w{k}" for k in range(80)]
+    rows = [(0, " ".join(base[:40]))] + [(i, " ".join([*base, f"x{i}"])) for i in range(1, 801)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    stars = texts.where("id > 0").selectExpr("id a", "0L b")
+    checked = N.settle(N.confirm(stars, texts))
+    found = components(checked.where("linked").select("a", "b"))
+    assert found.count() == 0
+    links = N.loose_links(checked, found, texts).collect()
+    assert len(links) <= 799
+    got = components(spark.createDataFrame([(r.a, r.b) for r in links], "a long, b long")).collect()
+    assert {r.node for r in got} == set(range(1, 801)) and {r.component for r in got} == {1}
+
+
+def test_forests_join_what_links_join():
+    rng = random.Random(2)
+    for n in (1, 5, 40):
+        for _ in range(30):
+            component = np.array([rng.randrange(n) for _ in range(n)])
+            links = sorted({(a, b) for a in range(n) for b in range(a) if component[a] != component[b] and rng.random() < 0.1})
+            i, j = (np.array([x[k] for x in links], np.int64) for k in range(2))
+            a, b = N._forest(component, i, j)
+
+            def joined(pairs):
+                lab = component.copy()
+                for x, y in pairs:
+                    lab[lab == lab[x]] = lab[y]
+                return {frozenset(np.flatnonzero(lab == v).tolist()) for v in lab}
+
+            assert joined(zip(a, b, strict=True)) == joined(links) and len(a) < max(1, len(set(component.tolist())))
+            assert set(zip(a.tolist(), b.tolist(), strict=True)) <= set(links)
 
 
 def test_signatures_estimate_without_bias():
