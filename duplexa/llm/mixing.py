@@ -5,7 +5,7 @@ between two documents, weighted by their sizes so that the taken size stays, unt
 one's expected copies. A block of documents so ends with one fraction at most. Blocks are tasks; their remaining documents meet in blocks again, in a reduction
 tree of a factor of BLOCK a level, until one is left of each source, which is rounded by chance. So a source's taken size misses its target by no more than one document.
 
-Random numbers come from a hash of the seed, the document and the level: reruns agree, in any partitioning.
+Random numbers come from a hash of the seed, the document, its number among rows alike, and the level: reruns agree, in any partitioning.
 """
 
 from __future__ import annotations
@@ -56,14 +56,20 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: flo
     return table.select("source", "source_size", F.least(F.col("weight") * level, cap).alias("target"))
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """Rows (doc_id, source, size) with number, from 1 on among rows that are alike: they are counted before they move, and made anew from their count, so that no group of them meets."""
+    counts = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    return counts.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("number"))
+
+
 def _uniform(seed: int, level: int) -> Column:
-    """A number from 0 to 1 for a document, from its id and size."""
-    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), F.lit(1 << 53)).cast("double")) / F.lit(float(1 << 53))
+    """A number from 0 to 1 for a document, from its id and size and its number among rows alike; so these spread over blocks as others do."""
+    return (F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size", "number"), F.lit(1 << 53)).cast("double")) / F.lit(float(1 << 53))
 
 
 def _pivotal(block: pd.DataFrame) -> pd.DataFrame:
     """Round a block's fractions (extra) in pairs, in the order of u; at most one document keeps a fraction. u2: a random number for each pair."""
-    block = block.sort_values(["u", "doc_id", "size"], kind="mergesort").reset_index(drop=True)
+    block = block.sort_values(["u", "doc_id", "size", "number"], kind="mergesort").reset_index(drop=True)
     x, w, u = block["extra"].to_numpy(copy=True), block["size"].to_numpy(float), block["u2"].to_numpy()
     i = 0
     for j in range(1, len(x)):
@@ -81,25 +87,25 @@ def _pivotal(block: pd.DataFrame) -> pd.DataFrame:
         else:
             x[i], x[j] = min(max(x[i] + moved / w[i], 0.0), 1.0), float(not gains)
     block["extra"] = x
-    return block[["doc_id", "source", "size", "whole", "extra"]]
+    return block[["doc_id", "source", "size", "number", "whole", "extra"]]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, at_most: float = AT_MOST, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken (size times the copies that the mix takes) and source; a row for each row of docs.
 
-    Null texts have size 0 and are taken 0 times; a null source is a source. Rows that repeat an id and size share their random numbers but are rounded one by one.
+    Null texts have size 0 and are taken 0 times; a null source is a source. Rows that repeat id, source and size are numbered, and so have random numbers of their own.
     An empty table gives an empty one. Other columns are ignored.
     """
-    docs = settle(sizes(docs))
+    docs = settle(numbered(sizes(docs)))
     sources = settle(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     goals = settle(_with_counts(targets(sources, weights, share, at_most), sources))
     wanted = docs.join(goals.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(ratio + 1e-12)
-    state = wanted.select("doc_id", "source", "size", whole.alias("whole"), F.when((F.col("size") > 0) & (ratio - whole > 1e-12), ratio - whole).otherwise(0.0).alias("extra"), "n")
-    schema = "doc_id long, source string, size long, whole long, extra double"
+    state = wanted.select("doc_id", "source", "size", "number", whole.alias("whole"), F.when((F.col("size") > 0) & (ratio - whole > 1e-12), ratio - whole).otherwise(0.0).alias("extra"), "n")
+    schema = "doc_id long, source string, size long, number long, whole long, extra double"
     open_ = (F.col("extra") > 0) & (F.col("extra") < 1)
-    done, level = [settle(state.where(~open_).select("doc_id", "source", "size", "whole", "extra"))], 0
+    done, level = [settle(state.where(~open_).select("doc_id", "source", "size", "number", "whole", "extra"))], 0
     left = settle(state.where(open_))
     n = sources.agg(F.max("n")).first()[0] or 0
     blocks = F.ceil(F.col("n") / block)

@@ -92,3 +92,21 @@ def test_very_long_texts(spark):
     docs = table(spark, [(1, "w " * 1_500_000, "a", "x"), (2, "w " * 10, "a", "x"), (3, None, "b", "x"), (4, "w", "b", "x")])
     got = {r.doc_id: r for r in mix(docs).collect()}
     assert got[1].size == 1_500_000 and got[3].taken == 0 and all(r.taken <= 2 * r.size for r in got.values())
+
+
+def test_rows_alike_spread_over_blocks(spark):
+    """Rows without id and of one size are a third of all: they are as many random numbers, blocks stay near their size, and the mix still meets its target."""
+    from duplexa.llm import mixing as M
+
+    n = 100_000
+    alike = spark.range(n).selectExpr("cast(null as long) doc_id", "'a' source", "5L size")
+    rows = M.numbered(alike)
+    assert rows.agg(F.count_distinct("number")).first()[0] == n and rows.where("source <> 'a' or size <> 5 or doc_id is not null").count() == 0
+    blocks = rows.select(F.floor(M._uniform(M.SEED, 0) * -(-n // M.BLOCK)).alias("b")).groupBy("b").count().agg(F.max("count"), F.count("*")).first()
+    assert blocks[1] == -(-n // M.BLOCK) and blocks[0] < 1.2 * M.BLOCK
+    docs = spark.range(5000).selectExpr("cast(null as long) doc_id", "'w w w' text", "if(id % 3 = 0, 'b', 'a') source")
+    got = mix(docs)
+    sums = got.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in sums) == 5000 and all(abs(r.taken - r.target) <= 3 for r in sums)
+    again = mix(docs.repartition(5))
+    assert sorted(r.taken for r in got.collect()) == sorted(r.taken for r in again.collect())
