@@ -66,9 +66,9 @@ ROWS = (ALPHABET[:10], ALPHABET[10:36], ALPHABET[36:62], ALPHABET[10:62], "qwert
 
 
 def samples(spark: SparkSession, n: int = SAMPLES, seed: int = 11) -> DataFrame:
-    """token and is_random: n random strings over usual alphabets, and n ordinary tokens and more: identifiers and paths of WORDS, prose, numbers and dates, rules and runs of each character, and rows of letters."""
+    """token and is_random: n random strings over usual alphabets, and n ordinary tokens and more: identifiers and paths of WORDS, prose, numbers and dates, rules and runs of each character, rows of letters, and names in hexadecimal digits."""
     rng = random.Random(seed)
-    sets = (ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "-_", "0123456789abcdef", ALPHABET[:36])
+    sets = (ALPHABET[:62], ALPHABET[:62] + "+/", ALPHABET[:62] + "-_", ALPHABET[:36])  # hexadecimal ones are names, or of a known kind
     rows = [("".join(rng.choices(rng.choice(sets), k=rng.randint(8, 64))), True) for _ in range(n)]
     styles = ("_".join, "-".join, "".join, "/".join, lambda w: w[0] + "".join(x.capitalize() for x in w[1:]), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w).upper(), lambda w: "-".join(w).title())
 
@@ -97,7 +97,13 @@ def samples(spark: SparkSession, n: int = SAMPLES, seed: int = 11) -> DataFrame:
     def path() -> str:
         return ("/" if rng.random() < 0.5 else "") + "/".join(identifier() for _ in range(rng.randint(2, 6)))
 
-    kinds = (identifier, identifier, identifier, path, prose, prose, number, rule, row)
+    def name() -> str:
+        """A universally unique id, a digest in capitals, or an address or counter in such digits: names of things, without a secret in them."""
+        hexes = lambda *sizes: "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in sizes)
+        made = rng.choice((hexes(8, 4, 4, 4, 12), hexes(8, 4, 4, 4, 12), hexes(rng.choice((8, 12, 16, 20))), hexes(32), hexes(40), hexes(64), hexes(*[2] * 6), "urn/" + hexes(8, 4, 4, 4, 12)))
+        return made.upper() if rng.random() < 0.4 else made
+
+    kinds = (identifier, identifier, identifier, path, prose, prose, number, rule, row, name)
     rows += [(rng.choice(kinds)(), False) for _ in range(n)]
     rows += [(c * k, False) for c in ALPHABET for k in range(6, 78, 8)]
     return spark.createDataFrame(rows, "token string, is_random boolean")
@@ -150,7 +156,6 @@ def fit(labelled: DataFrame, false: float = FALSE) -> Model:
     return Model(table, bits, limit, 0.0 if low is None or high is None else max(0.0, (low + high) / 2))
 
 
-_FILES = tuple(f.encode() for f in FILES)
 _CODE = np.full(256, SIZE - 1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
 
@@ -160,10 +165,10 @@ def ratio(table: np.ndarray, token: str) -> float:
     return float(table[SIZE - 1, codes[0]] + table[codes[:-1], codes[1:]].sum())
 
 
-def tokens(column: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
+def tokens(column: pa.Array, model: Model, files: tuple[str, ...] = FILES) -> tuple[np.ndarray, list[list[tuple[int, int, int]]]]:
     """The largest ratio of a token of each text (0 without one), and the spans (start, place in KINDS, end) of random tokens in each."""
     offsets, data = K.text_bytes(column)
-    low = int(offsets[0])
+    low, files = int(offsets[0]), tuple(f.encode() for f in files)
     start, end, _, begins = K.words(offsets, data, TOKEN, None)
     best, found = np.zeros(len(column)), [[] for _ in range(len(column))]
     if not len(start):
@@ -186,7 +191,7 @@ def tokens(column: pa.Array, model: Model) -> tuple[np.ndarray, list[list[tuple[
         points = K.code_points(offsets, data)
         text = np.searchsorted(offsets, start[random_], "right") - 1
         for t, a, b in zip(text.tolist(), start[random_] - low, end[random_] - low, strict=True):
-            if not data[low + a : low + b].tobytes().startswith(_FILES):
+            if not data[low + a : low + b].tobytes().startswith(files):
                 zero = points[offsets[t] - low]
                 found[t].append((int(points[a] - zero), 3, int(points[b] - zero)))
     return best, found
@@ -211,9 +216,10 @@ def apart(spans: list[tuple[int, int, int]], random_: list[tuple[int, int, int]]
     return sorted(spans + added)
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, files: tuple[str, ...] = FILES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 (of the base spans as kind:start:end), spans (all of them, so written), n_random and score, a row for each row of docs.
 
+    labelled: samples (token, is_random) to train from, by default samples(). files: how tokens begin that are files, which are never reported as random.
     score is 0 to 1, from the largest log-likelihood ratio of a token, 0.5 at the limit; 0 without a token. Null and empty texts have no spans; repeated rows are scanned one by one; other columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(samples(docs.sparkSession) if labelled is None else labelled))
@@ -221,7 +227,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
-                best, random_ = tokens(batch.column("text"), model.value)
+                best, random_ = tokens(batch.column("text"), model.value, files)
                 counts, digests, lines = [], [], []
                 for text, own in zip(batch.column("text"), random_, strict=True):
                     spans = apart(patterns(text.as_py() or ""), own)

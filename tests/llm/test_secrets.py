@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +68,22 @@ def test_rules_runs_dates_and_paths_are_ordinary(model, text):
     assert random_in(model, text) == []
 
 
+def test_names_in_hexadecimal_digits_are_no_secrets(model):
+    rng = random.Random(12)
+    names = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(1000)]
+    digests = ["".join(rng.choices("0123456789ABCDEF", k=k)) for k in (16, 32, 40, 64) for _ in range(250)]
+    for own in (names, [n.upper() for n in names], digests):
+        assert sum(map(len, S.tokens(pa.array(own), model)[1])) <= 1
+    for letters in (S.ALPHABET[:62], S.ALPHABET[:62] + "+/", S.ALPHABET[:62] + "-_"):
+        random_ = ["".join(rng.choices(letters, k=24)) for _ in range(1000)]
+        assert np.mean([bool(f) for f in S.tokens(pa.array(random_), model)[1]]) >= 0.99
+
+
+def test_files_are_a_parameter(model):
+    token = "H4sIAxK9vQ2mZ7pLw4RtY8nBc3HsDf6"
+    assert not S.tokens(pa.array([token]), model)[1][0] and S.tokens(pa.array([token]), model, files=())[1][0]
+
+
 def test_tokens_of_all_lengths_are_scored_as_one_by_one(model):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("ab Z9é-_/=+\n.,x"), 60)) for _ in range(50)] + [None, "", "xK9vQ2mZ7pLw4R é xK9vQ2mZ7pLw4RtY8nBc3HsDf6", "q" * 200_000, "é" * 30, "Z"]
@@ -111,4 +129,4 @@ def test_whole_table_and_edges(spark):
     own = {r.doc_id: ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) for r in S.scan(docs).collect()}
     assert own == {r.doc_id: plain(r.text) for r in docs.select("doc_id", "text").collect()}
     assert S.scan(docs).agg({"n_random": "sum"}).first()[0] < 5  # clean prose stays clean
-    assert S.scan(docs.limit(0)).count() == 0
+    assert S.scan(docs.limit(0)).count() == 0 and S.scan(docs.where("false")).collect() == []
