@@ -25,6 +25,8 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Labelled texts that are read for training and calibration; of each come at most BUCKETS distinct features to the driver.
 TRAIN_ROWS = 4000
+#: Features of all of them and of their pieces, at 8 bytes each, as bounded by the lengths of texts: the sample ends before it has more.
+TRAIN_FEATURES = 32_000_000
 EPOCHS = 4
 RATE = 0.5
 #: Share of texts in learned languages that calibration lets go.
@@ -87,16 +89,19 @@ def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np
     """(label, whether a piece, distinct features, how often) of the training sample and of pieces of its texts, in an order that doesn't depend on partitions.
 
     Texts are chosen by a random number times the frequency of their language, the smallest first: so each language has about as many. Only languages and keys are shuffled for that; texts stay where they are read and
-    are met by the chosen keys, of which there are at most `rows`.
+    are met by the chosen keys, of which there are at most `rows`, and fewer where long texts have TRAIN_FEATURES before. Rows that repeat an id, a language and a text count once.
     """
     usable = docs.where("text is not null and lang is not null").where(~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64(F.lit(3), "doc_id", "text").alias("key"))
-    keys = usable.select(F.col("lang").alias("of"), "key")
+    most = F.least(F.lit(BUCKETS).cast("long"), 2 * F.octet_length("text").cast("long")) + sum(PIECES)
+    keys = usable.select(F.col("lang").alias("of"), "key", most.alias("most"))
+    keys = keys.groupBy("of", "key").agg(F.max("most").alias("most"))
     counts = keys.groupBy("of").agg(F.count("*").alias("n_lang"))
     chance = F.pmod(F.col("key"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("n_lang")
-    first = keys.join(counts, "of").select("of", "key", chance.alias("rank")).orderBy("rank", "key", "of").limit(rows).toArrow()
-    if not first.num_rows:
+    first = keys.join(counts, "of").select("of", "key", chance.alias("rank"), "most").orderBy("rank", "key", "of").limit(rows).toArrow()
+    within = np.cumsum(first.column("most").to_numpy()) <= TRAIN_FEATURES
+    if not within.any():
         return []
-    picked = docs.sparkSession.createDataFrame(sorted({tuple(r.values()) for r in first.to_pylist()}), "of string, picked long, rank double")
+    picked = docs.sparkSession.createDataFrame([tuple(r.values()) for r in first.select(["of", "key", "rank"]).slice(0, int(within.sum())).to_pylist()], "of string, picked long, rank double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,8 +118,8 @@ def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np
 
     names = ("lang", "key", "rank", "piece", "ids", "counts")
     arrow = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)))
-    chosen = usable.join(F.broadcast(picked), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("picked"))).select("lang", "text", "key", "rank").limit(rows)
-    found = chosen.mapInArrow(run, "lang string, key long, rank double, piece int, ids array<int>, counts array<int>").orderBy("rank", "key", "lang", "piece").toArrow()
+    chosen = usable.join(F.broadcast(picked), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("picked"))).select("lang", "text", "key", "rank")
+    found = chosen.mapInArrow(run, "lang string, key long, rank double, piece int, ids array<int>, counts array<int>").dropDuplicates(["lang", "key", "piece"]).orderBy("rank", "key", "lang", "piece").toArrow()
     return [(lang, piece > 0, ids.values.to_numpy(), n.values.to_numpy()) for lang, piece, ids, n in zip(found.column("lang").to_pylist(), found.column("piece").to_pylist(), found.column("ids"), found.column("counts"), strict=True)]
 
 

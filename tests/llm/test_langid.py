@@ -188,3 +188,17 @@ def test_sample_is_even_and_does_not_depend_on_partitions(spark):
     assert shape(a) == shape(b)
     whole = Counter(x[0] for x in a if not x[1])
     assert sum(whole.values()) == 100 and 30 <= whole["de"] <= 70
+
+
+def test_the_sample_is_bounded_in_features_and_knows_no_repeats(spark, monkeypatch):
+    rows = [(i, f"das ist ein text {i} " * 30, "de") for i in range(1, 40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame(rows + rows[:3] * 50, "doc_id long, text string, lang string")
+    whole = L._sampled(docs, 1000)
+    assert len([1 for _, piece, *_ in whole if not piece]) == len(rows)
+    assert len(L._sampled(docs.repartition(5), 4)) == 4 * len(whole) // len(rows)
+    most = 2 * len(rows[0][1]) + sum(L.PIECES)
+    monkeypatch.setattr(L, "TRAIN_FEATURES", int(3.5 * most))
+    bounded = L._sampled(docs, 1000)
+    assert len([1 for _, piece, *_ in bounded if not piece]) == 3 and sum(len(ids) for _, _, ids, _ in bounded) <= L.TRAIN_FEATURES
+    monkeypatch.setattr(L, "TRAIN_FEATURES", 10)
+    assert L._sampled(docs, 1000) == []
