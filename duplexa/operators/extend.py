@@ -1,143 +1,90 @@
-"""Extension of seeds within one pair of sequences: ungapped and gapped passes, and removal of dominated hits.
+"""Extension of hits in both directions, without and with gaps, for all hits of many pairs of blocks at once.
 
-The ungapped pass goes on for all seeds of many pairs at once, base by base over arrays; only what is left after it and the first removal goes through the gapped pass.
+A hit is a row; hits that start in the same two blocks share their contexts. Both strands of a duplex count upwards here: the query from its 5' end, the target from its 3' end. The passes walk outwards step by step, each step as whole-array
+operations over all hits that still go on. A hit that comes to the border of its context, where its sequence goes on, is marked as cut; with contexts that reach further it is taken again.
 
-A pair's hits, sequences and profiles are one row, so Spark deals pairs and nothing else has to meet. Inside, targets run from their 3' end (position v), so that both strands of a duplex count upwards.
+With gaps, the best duplex that ends with a pair i query and j target bases further out is the best over all pairs nearer by plus the loop between. Pairs with the same i + j make a diagonal; those of a diagonal only depend on the diagonals
+before, as far back as loops may be long. So the pass goes by diagonals, keeps what may end there as one list of cells over all hits, and finds the cells nearer by in a ring of the last diagonals. Hits stop on their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import cached_property
-from math import log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-
-from ..functions.bases import base_codes
-from ..functions.energy import BULGE, DANGLE3, DANGLE5, INTERIOR, LXC, MAXLOOP, MISMATCH_INTERIOR, PAIR, REVERSE, STACK, TERMINAL_AU, Model
-
-_PAIR, _REVERSE, _STACK, _MI, _D5, _D3 = (x.tolist() for x in (PAIR, REVERSE, STACK, MISMATCH_INTERIOR, DANGLE5, DANGLE3))
-_INTERIOR, _BULGE = INTERIOR.tolist(), BULGE.tolist()
-FAR = 1e6
-
-
-@dataclass
-class Hit:
-    """q and v: starts on query and reversed target; m and n: lengths there; energies in kcal/mol."""
-
-    q: int
-    v: int
-    m: int
-    n: int
-    acc: float
-    hyb: float
-    pairs: list[tuple[int, int]] = field(default_factory=list)
-
-    @property
-    def energy(self) -> float:
-        return self.acc + self.hyb
-
-
-class Pair:
-    """A query and a target as the passes see them. Hard-masked and unknown bases are barriers."""
-
-    def __init__(self, query: str, target: str, profiles: tuple, least: int, model: Model):
-        self.codes = base_codes(query), base_codes(target)[::-1]
-        self.profiles = tuple(np.asarray(p, float) for p in profiles)
-        self.least, self.model = least, model
-        self.int11, self.int21, self.int22 = model.loops.int11, model.loops.int21, model.loops.int22
-
-    q = cached_property(lambda self: self.codes[0].tolist())
-    t = cached_property(lambda self: self.codes[1].tolist())
-    qa = cached_property(lambda self: self.profiles[0].tolist())
-    qc = cached_property(lambda self: self.profiles[1].tolist())
-    ta = cached_property(lambda self: self.profiles[2].tolist())
-    tc = cached_property(lambda self: self.profiles[3].tolist())
-
-    def base(self, seq: list[int], k: int) -> int:
-        return seq[k] if 0 <= k < len(seq) else 0
-
-    def type(self, k: int, v: int) -> int:
-        return _PAIR[self.base(self.q, k)][self.base(self.t, v)]
-
-    def query_step(self, k: int, back: bool) -> float:
-        """Cost of opening one base more: base k in front of the open ones, or behind them."""
-        return self.qa[k] - self.qa[k + 1] + self.qc[k + self.least] if back else self.qc[k]
-
-    def target_step(self, v: int, back: bool) -> float:
-        f = len(self.t) - 1 - v  # going back on the reversed strand is going on in the target
-        return self.tc[f] if back else self.ta[f] - self.ta[f + 1] + self.tc[f + self.least]
-
-    def loop(self, t1: int, t2: int, i: int, j: int, p: int, q: int) -> float:
-        """kcal/mol between the outer pair (i, j) of type t1 and the inner pair (p, q) of type t2, read from inside."""
-        u1, u2 = p - i - 1, q - j - 1
-        if not u1 and not u2:
-            return _STACK[t1][t2] / 100
-        if not u1 or not u2:
-            u = u1 + u2
-            if u == 1:
-                return (_BULGE[1] + _STACK[t1][t2]) / 100
-            return ((_BULGE[u] if u <= MAXLOOP else _BULGE[MAXLOOP] + LXC * log(u / MAXLOOP)) + TERMINAL_AU * ((t1 > 2) + (t2 > 2))) / 100
-        a, b, c, d = self.q[i + 1], self.q[p - 1], self.t[q - 1], self.t[j + 1]
-        if u1 + u2 == 2:
-            e = self.int11[t1, t2, a, d]
-        elif u1 == 1 and u2 == 2:
-            e = self.int21[t1, t2, a, c, d]
-        elif u1 == 2 and u2 == 1:
-            e = self.int21[t2, t1, c, a, b]
-        elif u1 == 2 and u2 == 2:
-            e = self.int22[t1, t2, a, b, c, d]
-        else:
-            e = _INTERIOR[min(u1 + u2, MAXLOOP)] + _MI[t1][a][d] + _MI[t2][c][b]
-        return float(e) / 100
-
-
-def _flat(parts: list[np.ndarray], dtype: type = float) -> np.ndarray:
-    """Arrays one behind the other, each between zeros."""
-    edge = np.zeros(1, dtype)
-    return np.concatenate([x for p in parts for x in (edge, p)] + [edge]).astype(dtype)
-
-
-def _going_back(first: np.ndarray, cond: np.ndarray, least: int) -> np.ndarray:
-    """By base: what it costs to open it in front of a window of `least` open ones; 0 where the profile ends before."""
-    out = np.zeros(len(cond))
-    m = max(0, len(cond) - least)
-    out[:m] = first[:m] - first[1 : m + 1] + cond[least : least + m]
-    return out
-
-
-class Strands:
-    """Many pairs as flat arrays with a barrier on both sides of each strand: codes, and what opening a base costs on the way back (0) and on (1)."""
-
-    def __init__(self, pairs: list[Pair]):
-        least = pairs[0].least
-        self.q, self.v = (_flat([p.codes[k] for p in pairs], int) for k in (0, 1))
-        self.q_at, self.v_at = (np.cumsum([0] + [len(p.codes[k]) + 1 for p in pairs])[:-1] + 1 for k in (0, 1))
-        qa, qc, ta, tc = zip(*(p.profiles for p in pairs), strict=True)
-        back = [[_going_back(a, c, least) for a, c in zip(x, y, strict=True)] for x, y in ((qa, qc), (ta, tc))]
-        self.q_steps = _flat(back[0]), _flat(qc)
-        self.v_steps = _flat([c[::-1] for c in tc]), _flat([x[::-1] for x in back[1]])  # going back on the reversed strand is going on in the target
-        self.first, self.cond = (_flat(qa), _flat([c[::-1] for c in ta])), (_flat(qc), _flat([c[::-1] for c in tc]))
-
-    def open_costs(self, k: np.ndarray, v: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
-        """What it costs to open `size` bases from flat places k and v on."""
-        total = np.zeros(len(k))
-        for own, first, cond, way in ((k, self.first[0], self.cond[0], 1), (v + size - 1, self.first[1], self.cond[1], -1)):
-            more = np.zeros(len(k))
-            for x in range(least, int(size.max(initial=0))):
-                on = size > x
-                more[on] += cond[own[on] + way * x]
-            total = total + first[own] + more
-        return total
-
-
-def ungapped(strands: Strands, model: Model, k: np.ndarray, v: np.ndarray, size: np.ndarray, acc: np.ndarray, hyb: np.ndarray, drop: int) -> tuple[np.ndarray, ...]:
-    """Extend hits at flat places on both sides without gaps, each as long as its energy has improved within the last `drop` bases: new k, v, size, acc and hyb."""
-    q, t = strands.q, strands.v
+from pyspark.sql import functions as F
+
+from ..functions.bases import BASE_CODES
+from ..functions.energy import DANGLE3, DANGLE5, PAIR, REVERSE, TERMINAL_AU, Model
+from ..sources.settled import settled
+from .blocks import REACH, SIZE, blocks
+
+#: Energy of a cell that nothing leads to.
+NOWHERE = 1e6
+#: Hits that are extended with gaps at once, and bases of the contexts that are taken at once.
+HITS, BASES = 1024, 1 << 20
+
+
+class Strand:
+    """One side of many contexts as flat arrays, with barriers between: codes (0: a barrier or an unknown base), whether a barrier is a border where the sequence goes on, and what it costs to open a base on the way back and on."""
+
+    def __init__(self, seqs: pa.Array, acc: pa.Array, cond: pa.Array, run: pa.Array, offset: np.ndarray, total: np.ndarray, least: int, reverse: bool, pad: int):
+        text = seqs.cast(pa.large_string())
+        _, starts, data = text.buffers()
+        starts = np.frombuffer(starts, np.int64)[text.offset : text.offset + len(text) + 1]
+        n = np.diff(starts)
+        self.n, self.reverse = n, reverse
+        self.at = np.cumsum(n + 2) - n - 2 + pad + 1  # of each context's first base here
+        row = np.repeat(np.arange(len(n)), n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        place = self.at[row] + (n[row] - 1 - within if reverse else within)
+        size = int((n + 2).sum()) + 2 * pad
+        self.code, self.border = np.zeros(size, np.int64), np.zeros(size, bool)
+        self.code[place] = BASE_CODES[np.frombuffer(data, np.uint8)[starts[0] : starts[-1]]] if len(place) else 0
+        before, behind = offset > 0, offset + n < total
+        first, last = (behind, before) if reverse else (before, behind)
+        self.border[(self.at - 1)[first]] = True
+        self.border[(self.at + n)[last]] = True
+        a, c = (x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in (acc, cond))
+        further = np.zeros(len(a))
+        inside = np.flatnonzero(within + least < n[row])
+        further[inside] = a[inside] - a[inside + 1] + c[inside + least]
+        self.back, self.on = np.zeros(size), np.zeros(size)
+        self.back[place], self.on[place] = (c, further) if reverse else (further, c)
+        # where sums and first windows stand, by context
+        self.first, self.a, self.run, self.run_at = np.cumsum(n) - n, a, run.flatten().to_numpy(zero_copy_only=False), np.cumsum(n + 1) - n - 1
+
+    def flat(self, row: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Where stretches that start at these places of their contexts, counted from the 5' end, begin here."""
+        return self.at[row] + (self.n[row] - start - size if self.reverse else start)
+
+    def opening(self, row: np.ndarray, start: np.ndarray, size: np.ndarray, least: int) -> np.ndarray:
+        at = self.run_at[row] + start
+        return self.a[self.first[row] + start] + (self.run[at + size] - self.run[at + least])
+
+    def room(self, at: np.ndarray, way: int) -> np.ndarray:
+        """Known bases beyond these places, up to the next barrier."""
+        stops = np.flatnonzero(self.code == 0)
+        if way > 0:
+            return stops[np.searchsorted(stops, at, "right")] - at - 1
+        return at - stops[np.searchsorted(stops, at, "left") - 1] - 1
+
+
+def _types(q: Strand, t: Strand, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return PAIR[q.code[k], t.code[v]]
+
+
+def _between(model: Model, q: Strand, t: Strand, outer: np.ndarray, inner: np.ndarray, i: np.ndarray, j: np.ndarray, p: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """kcal/mol of the loops between outer pairs (i, j) and inner ones (p, r) of these types, the inner as read from inside."""
+    return model.loop(outer, inner, p - i - 1, r - j - 1, q.code[i + 1], q.code[p - 1], t.code[r - 1], t.code[j + 1]) / 100
+
+
+def ungapped(q: Strand, t: Strand, model: Model, k: np.ndarray, v: np.ndarray, size: np.ndarray, acc: np.ndarray, hyb: np.ndarray, drop: int) -> tuple[np.ndarray, ...]:
+    """Extend hits at flat places on both sides without gaps, each as long as its energy has improved within the last `drop` bases: new k, v, size, acc, hyb, and whether cut."""
+    acc, hyb, cut = acc.copy(), hyb.copy(), np.zeros(len(k), bool)
     ends = []
     for back in (True, False):
         way = -1 if back else 1
@@ -145,19 +92,22 @@ def ungapped(strands: Strands, model: Model, k: np.ndarray, v: np.ndarray, size:
         shift, best_k = at_v - at_k, at_k.copy()
         a, h = acc.copy(), hyb.copy()
         live, here = np.arange(len(k)), at_k.copy()
+        q_steps, v_steps = (q.back, t.back) if back else (q.on, t.on)
         while len(live):
             here = here + way
             there = here + shift[live]
-            on = (q[here] > 0) & (t[there] > 0)
+            cut[live] |= q.border[here] | t.border[there]
+            on = (q.code[here] > 0) & (t.code[there] > 0)
             live, here, there = live[on], here[on], there[on]
-            a[live] += strands.q_steps[not back][here] + strands.v_steps[not back][there]
-            kind = PAIR[q[here], t[there]]
+            a[live] += q_steps[here] + v_steps[there]
+            kind = _types(q, t, here, there)
             met = kind > 0
             hit, x, y = live[met], here[met], there[met]
-            near = PAIR[q[at_k[hit]], t[at_v[hit]]]
-            i, j, p, r = (x, y, at_k[hit], at_v[hit]) if back else (at_k[hit], at_v[hit], x, y)
-            outer, inner = (kind[met], near) if back else (near, kind[met])
-            h[hit] += model.loop(outer, REVERSE[inner], p - i - 1, p - i - 1, q[i + 1], q[p - 1], t[r - 1], t[j + 1]) / 100
+            near = _types(q, t, at_k[hit], at_v[hit])
+            if back:
+                h[hit] += _between(model, q, t, kind[met], REVERSE[near], x, y, at_k[hit], at_v[hit])
+            else:
+                h[hit] += _between(model, q, t, near, REVERSE[kind[met]], at_k[hit], at_v[hit], x, y)
             at_k[hit], at_v[hit] = x, y
             better = a[hit] + h[hit] < acc[hit] + hyb[hit]
             hit = hit[better]
@@ -165,191 +115,323 @@ def ungapped(strands: Strands, model: Model, k: np.ndarray, v: np.ndarray, size:
             on = np.abs(here - best_k[live]) < drop
             live, here = live[on], here[on]
         ends.append(best_k)
-    return ends[0], v + ends[0] - k, ends[1] - ends[0] + 1, acc, hyb
-
-
-def pairs_of(pair: Pair, hit: Hit) -> list[tuple[int, int]]:
-    """The base pairs of an ungapped hit."""
-    return [(hit.q + k, hit.v + k) for k in range(hit.m) if pair.type(hit.q + k, hit.v + k)]
-
-
-def _extend(pair: Pair, hit: Hit, back: bool, drop: int, helix: int) -> None:
-    """Sparse dynamic programming over stems beyond one end of a hit, by the number of bases i and j further out; the hit takes the best state."""
-    way = -1 if back else 1
-    q0, v0 = (hit.q, hit.v) if back else (hit.q + hit.m - 1, hit.v + hit.n - 1)
-
-    def kind(i: int, j: int) -> int:
-        t = pair.type(q0 + way * i, v0 + way * j)
-        return t if back else _REVERSE[t]
-
-    def starts(i: int, j: int) -> int:
-        """The pair's type if a stem may have it; a new helix must go on for `helix` pairs, of which the first two aren't both wobbles."""
-        t = kind(i, j)
-        if t:
-            inner = cells[i - 1, j - 1][2] if (i - 1, j - 1) in cells else 0
-            if not inner or (t in (3, 4) and inner in (3, 4)):
-                for x in range(1, helix):
-                    further = kind(i + x, j + x)
-                    if not further or (x == 1 and t in (3, 4) and further in (3, 4)):
-                        return 0
-        return t
-
-    own = pair.type(q0, v0)
-    own = _REVERSE[own] if back else own
-    cells: dict[tuple[int, int], tuple] = {(0, 0): (None, hit.energy, own)}  # from, energy, the type of the stem it came from
-    stems = [(0, 0, own)]
-    open_q, open_v = [0.0], [0.0]
-    stop_q = stop_v = None
-    best, best_acc, best_length, best_at = hit.energy, hit.acc, 0, None
-    length = 0
+    return ends[0], v + ends[0] - k, ends[1] - ends[0] + 1, acc, hyb, cut
+
+
+class _Cells:
+    """Cells of all hits by number: energy, the type that the next loop out sees, that of the cell it came from, which one that is (-1: none), and places."""
+
+    def __init__(self):
+        self.n, self.capacity = 0, 1 << 12
+        self.energy = np.zeros(self.capacity)
+        self.ints = np.zeros((6, self.capacity), np.int64)  # type, type before, before, hit, i, j
+
+    def add(self, energy: np.ndarray, *ints: np.ndarray) -> np.ndarray:
+        end = self.n + len(energy)
+        while end > self.capacity:
+            self.energy, self.ints = np.concatenate((self.energy, self.energy)), np.concatenate((self.ints, self.ints), 1)
+            self.capacity *= 2
+        self.energy[self.n : end], self.ints[:, self.n : end] = energy, ints
+        number = np.arange(self.n, end)
+        self.n = end
+        return number
+
+
+def _nearer(drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unpaired bases on both sides of all loops of up to `drop`, those to cells that were made first in front."""
+    u = np.array([(a, b) for a in range(drop + 1) for b in range(drop + 1 - a)])
+    u = u[np.lexsort((-u[:, 0], -u.sum(1)))]
+    return u[:, 0], u[:, 1]
+
+
+def outwards(q: Strand, t: Strand, model: Model, k: np.ndarray, v: np.ndarray, energy: np.ndarray, back: bool, drop: int, helix: int) -> tuple[np.ndarray, ...]:
+    """The best duplex beyond pairs at flat places: bases added on the query and the target, the energy in all, the opening costs among it, whether cut, and the new pairs as (hit, k, v). What doesn't improve on the energy given adds nothing."""
+    way, n = (-1 if back else 1), len(k)
+    turned = np.arange(7) if back else REVERSE  # a pair further out, as the loop to it is read
+    room_q, room_t = q.room(k, way), t.room(v, way)
+    last = np.maximum(room_q, room_t) + 1
+    q_steps, t_steps = (q.back, t.back) if back else (q.on, t.on)
+    u1, u2 = _nearer(drop)
+    depth, width = drop + 3, 32
+    ring = np.full((depth, n, width), -1, np.int64)
+    leading = np.full((depth, n), -1, np.int64)  # type of a diagonal's first cell
+    own = _types(q, t, k, v)
+    own = REVERSE[own] if back else own
+    cells = _Cells()
+    zero = np.zeros(n, np.int64)
+    ring[0, :, 0] = cells.add(energy, own, own, zero - 1, np.arange(n), zero, zero)
+    leading[0] = own
+    open_q, open_t = np.zeros((n, 1)), np.zeros((n, 1))
+    best, best_open, best_at, best_length = energy.copy(), np.zeros(n), zero - 1, zero.copy()
+    ended = zero.copy()
+    length = 1
     while True:
-        length += 1
-        if stop_q is None and not pair.base(pair.q, q0 + way * length):
-            stop_q = length - 1
-        if stop_v is None and not pair.base(pair.t, v0 + way * length):
-            stop_v = length - 1
-        if stop_q is None:
-            open_q.append(open_q[-1] + pair.query_step(q0 + way * length, back))
-        if stop_v is None:
-            open_v.append(open_v[-1] + pair.target_step(v0 + way * length, back))
-        if length - 2 > drop:
-            stems = [s for s in stems if length - s[0] - s[1] - 2 <= drop]
-        for i in range(1, length):
-            j = length - i
-            if (stop_q is not None and i > stop_q) or (stop_v is not None and j > stop_v):
-                continue
-            t = starts(i, j)
-            if not t:
-                continue
-            least, source = FAR, stems[0] if stems else (0, 0, 0)
-            for s in stems:
-                if s[0] < i and s[1] < j:
-                    e = pair.loop(t, s[2], q0 - i, v0 - j, q0 - s[0], v0 - s[1]) if back else pair.loop(s[2], t, q0 + s[0], v0 + s[1], q0 + i, v0 + j)
-                    e += cells[s[0], s[1]][1]
-                    if e < least:
-                        least, source = e, s
-            cells[i, j] = ((source[0], source[1]), least, source[2])
-            stems.append((i, j, _REVERSE[t]))
-            if open_q[i] + open_v[j] + least < best:
-                best, best_acc, best_length, best_at = open_q[i] + open_v[j] + least, hit.acc + open_q[i] + open_v[j], length, (i, j)
-        if length - best_length >= drop or (stop_q is not None and stop_v is not None):
+        live = np.flatnonzero((length - 1 - best_length < drop) & (length <= last))
+        if not len(live):
             break
-    if best_at:
-        i, j = best_at
-        at = best_at
-        while at and at[0] and at[1]:
-            hit.pairs.append((q0 + way * at[0], v0 + way * at[1]))
-            at = cells[at][0]
-        hit.m, hit.n = hit.m + i, hit.n + j
-        if back:
-            hit.q, hit.v = q0 - i, v0 - j
-        hit.acc, hit.hyb = best_acc, best - best_acc
-
-
-def _dangles(pair: Pair, hit: Hit) -> float:
-    """kcal/mol of the bases beside a duplex; the terminal penalty counts where the target ends."""
-    out = 0.0
-    t = pair.type(hit.q, hit.v)
-    if t:
-        out += _D5[t][pair.q[hit.q - 1]] if hit.q > 0 else 0
-        out += _D3[t][pair.t[hit.v - 1]] if hit.v > 0 else TERMINAL_AU * (t > 2)
-    k, v = hit.q + hit.m - 1, hit.v + hit.n - 1
-    t = _REVERSE[pair.type(k, v)]
-    if t:
-        out += _D5[t][pair.t[v + 1]] if v + 1 < len(pair.t) else TERMINAL_AU * (t > 2)
-        out += _D3[t][pair.q[k + 1]] if k + 1 < len(pair.q) else 0
-    return out / 100
-
-
-def gapped(pair: Pair, hit: Hit, drop: int, helix: int) -> Hit:
-    """Extend a hit on both sides with bulges and interior loops, then add what dangles."""
-    hit = Hit(hit.q, hit.v, hit.m, hit.n, hit.acc, hit.hyb, list(hit.pairs))
-    for back in (True, False):
-        _extend(pair, hit, back, drop, helix)
-    hit.hyb += _dangles(pair, hit)
-    hit.pairs.sort()
-    return hit
-
-
-def undominated(hits: list[Hit], threshold: float) -> list[Hit]:
-    """Hits with energy up to the threshold, without those dominated: going from the target's end, a hit that covers another on both strands drops it, unless its own energy is higher: then it goes itself, but still finishes its turn."""
-    hits = sorted(hits, key=lambda h: (h.v, h.q, -h.n, -h.m, h.energy, h.pairs))
-    gone = [False] * len(hits)
-    for i, a in enumerate(hits):
-        if a.energy > threshold:
-            gone[i] = True
-        if gone[i]:
-            continue
-        for j in range(i + 1, len(hits)):
-            b = hits[j]
-            if gone[j]:
-                continue
-            if a.v + a.n - 1 < b.v:
-                break
-            if a.q <= b.q and a.q + a.m >= b.q + b.m and a.v + a.n >= b.v + b.n:
-                gone[i if a.energy > b.energy else j] = True
-    return [h for h, g in zip(hits, gone, strict=True) if not g]
-
-
-def interactions(pairs: list[Pair], seeds: tuple[np.ndarray, ...], interaction: float, final: float, drop_ungapped: int, drop_gapped: int, helix: int) -> list[list[Hit]]:
-    """The final hits of each pair, from seeds (arrays of pair, query start, target start, length, hybridisation)."""
-    out: list[list[Hit]] = [[] for _ in pairs]
-    if not pairs:
-        return out
-    row, k, start, size, hyb = seeds
-    strands, least = Strands(pairs), pairs[0].least
-    k = strands.q_at[row] + k
-    v = strands.v_at[row] + np.array([len(p.codes[1]) for p in pairs])[row] - start - size
-    acc = strands.open_costs(k, v, size, least)
-    good = acc + hyb < 0
-    row = row[good]
-    found = ungapped(strands, pairs[0].model, k[good], v[good], size[good], acc[good], hyb[good], drop_ungapped)
-    near = found[3] + found[4] <= interaction
-    row, (k, v, size, acc, hyb) = row[near], (x[near] for x in found)
-    for r, *hit in zip(row.tolist(), (k - strands.q_at[row]).tolist(), (v - strands.v_at[row]).tolist(), size.tolist(), acc.tolist(), hyb.tolist(), strict=True):
-        out[r].append(Hit(hit[0], hit[1], hit[2], hit[2], hit[3], hit[4]))
-    for r in sorted(set(row.tolist())):
-        pair, kept = pairs[r], undominated(out[r], interaction)
-        for hit in kept:
-            hit.pairs = pairs_of(pair, hit)
-        out[r] = undominated([gapped(pair, h, drop_gapped, helix) for h in kept], final)
+        ended[live] = length
+        if length >= width:
+            ring = np.concatenate((ring, np.full_like(ring, -1)), 2)
+            width *= 2
+        # what opening so many bases costs; beyond a barrier nothing asks for it
+        open_q, open_t = (np.column_stack((sums, sums[:, -1] + steps[np.clip(place + way * length, 0, len(steps) - 1)])) for sums, steps, place in ((open_q, q_steps, k), (open_t, t_steps, v)))
+        ring[length % depth], leading[length % depth] = -1, -1
+        low, high = np.maximum(1, length - room_t[live]), np.minimum(room_q[live], length - 1)
+        count = np.maximum(0, high - low + 1)
+        hit = np.repeat(live, count)
+        i = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        j = length - i
+        kind = turned[_types(q, t, k[hit] + way * i, v[hit] + way * j)]
+        met = kind > 0
+        hit, i, j, kind = hit[met], i[met], j[met], kind[met]
+        # a helix that begins has `helix` pairs, of which the first two aren't both wobbles; one goes on from the cell next to it, unless both that came from and this are wobbles
+        inner = ring[(length - 2) % depth, hit, i - 1] if length > 1 else hit
+        before = np.where(inner >= 0, cells.ints[1][inner], 0)
+        wobble = (kind == 3) | (kind == 4)
+        begins = (before == 0) | (wobble & ((before == 3) | (before == 4)))
+        good = np.ones(len(hit), bool)
+        at_k, at_v = k[hit] + way * i, v[hit] + way * j
+        for x in range(1, helix):
+            further = turned[_types(q, t, np.clip(at_k + way * x, 0, len(q.code) - 1), np.clip(at_v + way * x, 0, len(t.code) - 1))]
+            good &= further > 0
+            if x == 1:
+                good &= ~(wobble & ((further == 3) | (further == 4)))
+        may = good | ~begins
+        hit, i, j, kind, at_k, at_v = hit[may], i[may], j[may], kind[may], at_k[may], at_v[may]
+        if len(hit):
+            a, b = i[:, None] - 1 - u1, j[:, None] - 1 - u2
+            number = np.where((a >= 0) & (b >= 0), ring[(length - 2 - u1 - u2) % depth, hit[:, None], np.maximum(a, 0)], -1)
+            number = np.where((length - 2 - u1 - u2 >= 0)[None, :], number, -1)
+            cell, offset = np.nonzero(number >= 0)
+            number = number[cell, offset]
+            near_k, near_v = (x[cell] - way * (y[cell] - cells.ints[z][number]) for x, y, z in ((at_k, i, 4), (at_v, j, 5)))
+            seen = cells.ints[0][number]
+            if back:
+                more = _between(model, q, t, kind[cell], seen, at_k[cell], at_v[cell], near_k, near_v)
+            else:
+                more = _between(model, q, t, seen, kind[cell], near_k, near_v, at_k[cell], at_v[cell])
+            more = more + cells.energy[number]
+            least, source = np.full(len(hit), NOWHERE), np.full(len(hit), -1, np.int64)
+            if len(cell):
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                lowest = np.minimum.reduceat(more, first)
+                of = cell[first]
+                where = np.flatnonzero(more == lowest[np.searchsorted(of, cell)])
+                where = where[np.flatnonzero(np.diff(cell[where], prepend=-1))]  # the first made of equal ones
+                reached = lowest < NOWHERE
+                least[of[reached]], source[of[reached]] = lowest[reached], number[where[reached]]
+            came = cells.ints[0][source]
+            lost = np.flatnonzero(source < 0)
+            if len(lost):  # nothing leads there; such a cell sees the first one that is near enough to be looked at
+                came[lost] = 0
+                head = np.flatnonzero(np.diff(hit, prepend=-1))
+                head = head[np.searchsorted(head, lost, "right") - 1]
+                came[lost] = np.where(head < lost, REVERSE[kind[head]], 0)
+                for diagonal in range(length - 1, max(0, length - 2 - drop) - 1, -1):
+                    there = leading[diagonal % depth, hit[lost]]
+                    came[lost] = np.where(there >= 0, there, came[lost])
+            ring[length % depth, hit, i] = cells.add(least, REVERSE[kind], came, source, hit, i, j)
+            head = np.flatnonzero(np.diff(hit, prepend=-1))
+            leading[length % depth, hit[head]] = REVERSE[kind[head]]
+            opened = open_q[hit, i] + open_t[hit, j]
+            total = opened + least
+            lowest = np.minimum.reduceat(total, head)
+            where = np.flatnonzero(total == np.repeat(lowest, np.diff(np.append(head, len(hit)))))
+            where = where[np.flatnonzero(np.diff(hit[where], prepend=-1))]
+            where = where[total[where] < best[hit[where]]]
+            to = hit[where]
+            best[to], best_open[to], best_at[to], best_length[to] = total[where], opened[where], ring[length % depth, to, i[where]], length
+        length += 1
+    cut = np.zeros(n, bool)
+    for strand, place, room in ((q, k, room_q), (t, v, room_t)):
+        cut |= (ended > room) & strand.border[place + way * (room + 1)]
+    grown = best_at >= 0
+    add_q, add_t = (np.where(grown, cells.ints[x][best_at], 0) for x in (4, 5))
+    number, pairs = best_at[grown], []
+    while len(number):
+        number = number[cells.ints[4][number] > 0]
+        of, i, j = cells.ints[3:, number]
+        pairs.append(np.stack((of, k[of] + way * i, v[of] + way * j)))
+        number = cells.ints[2][number]
+        number = number[number >= 0]
+    pairs = np.concatenate(pairs, 1) if pairs else np.zeros((3, 0), np.int64)
+    return add_q, add_t, best, best_open, cut, pairs
+
+
+def dangling(q: Strand, t: Strand, k: np.ndarray, v: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """kcal/mol of the bases beside duplexes; the terminal penalty counts where the target ends."""
+    out = np.zeros(len(k))
+    for kind, a, b, five, three in ((_types(q, t, k, v), k - 1, v - 1, "q", "t"), (REVERSE[_types(q, t, k + m - 1, v + n - 1)], k + m, v + n, "t", "q")):
+        q_there, t_there = _is_base(q, a), _is_base(t, b)
+        table = {"q": DANGLE5 if five == "q" else DANGLE3, "t": DANGLE5 if five == "t" else DANGLE3}
+        beside = np.where(q_there, table["q"][kind, q.code[a]], 0) + np.where(t_there, table["t"][kind, t.code[b]], TERMINAL_AU * (kind > 2))
+        out += np.where(kind > 0, beside, 0) / 100
     return out
 
 
-#: Bases of the pairs that are extended at once.
-AT_ONCE = 1_000_000
-HITS = "query_id long, target_id long, q_start int, t_start int, q_len int, t_len int, acc_energy double, hyb_energy double, energy double, base_pairs array<struct<q:int,t:int>>"
-_ARROW = pa.schema(
-    [("query_id", pa.int64()), ("target_id", pa.int64()), ("q_start", pa.int32()), ("t_start", pa.int32()), ("q_len", pa.int32()), ("t_len", pa.int32()), ("acc_energy", pa.float64()), ("hyb_energy", pa.float64()), ("energy", pa.float64()), ("base_pairs", pa.list_(pa.struct([("q", pa.int32()), ("t", pa.int32())])))]
-)
-
-
-def extended(pairs: DataFrame, least: int, interaction: float, final: float, drop_ungapped: int, drop_gapped: int, helix: int, model: Model | None = None) -> DataFrame:
-    """Hits of rows (query_id, target_id, q_seq, q_acc, q_cond, t_seq, t_acc, t_cond, seeds: array of q_start, t_start, length, hyb). Sequences are masked already."""
-    model = model or Model()
-
-    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = {name: batch.column(name) for name in batch.schema.names}
-        profiles = zip(*([x.values.to_numpy(zero_copy_only=False) for x in column[name]] for name in ("q_acc", "q_cond", "t_acc", "t_cond")), strict=True)
-        rows = [Pair(q, t, p, least, model) for q, t, p in zip(column["q_seq"].to_pylist(), column["t_seq"].to_pylist(), profiles, strict=True)]
-        seeds = column["seeds"].flatten()
-        of = np.repeat(np.arange(batch.num_rows), np.diff(column["seeds"].offsets.to_numpy()))
-        places = (seeds.field(name).to_numpy(zero_copy_only=False) for name in ("q_start", "t_start", "length", "hyb"))
-        hits = interactions(rows, (of, *(x.astype(t) for x, t in zip(places, (int, int, int, float), strict=True))), interaction, final, drop_ungapped, drop_gapped, helix)
-        out = []
-        for query, target, pair, found in zip(column["query_id"].to_pylist(), column["target_id"].to_pylist(), rows, hits, strict=True):
-            end = len(pair.codes[1]) - 1
-            for h in found:
-                out.append({"query_id": query, "target_id": target, "q_start": h.q, "t_start": end - (h.v + h.n - 1), "q_len": h.m, "t_len": h.n, "acc_energy": h.acc, "hyb_energy": h.hyb, "energy": h.energy, "base_pairs": [{"q": a, "t": end - b} for a, b in h.pairs]})
-        return pa.RecordBatch.from_pylist(out, schema=_ARROW)
+def _is_base(strand: Strand, at: np.ndarray) -> np.ndarray:
+    """Whether places are within a sequence, known bases or not."""
+    row = np.searchsorted(strand.at, at, "right") - 1
+    return (row >= 0) & (at < strand.at[row] + strand.n[row])
+
+
+def gapped(q: Strand, t: Strand, model: Model, k: np.ndarray, v: np.ndarray, m: np.ndarray, n: np.ndarray, acc: np.ndarray, hyb: np.ndarray, drop: int, helix: int) -> tuple[np.ndarray, ...]:
+    """Extend hits at flat places on both sides with bulges and interior loops, then add what dangles: new k, v, m, n, acc, hyb, whether cut, and the new pairs as (hit, k, v)."""
+    cut, pairs = np.zeros(len(k), bool), []
+    for back in (True, False):
+        end_k, end_v = (k, v) if back else (k + m - 1, v + n - 1)
+        add_q, add_t, best, opened, short, new = outwards(q, t, model, end_k, end_v, acc + hyb, back, drop, helix)
+        grown = add_q > 0
+        more = acc + opened
+        acc, hyb = np.where(grown, more, acc), np.where(grown, best - more, hyb)
+        k, v, m, n = (k - add_q, v - add_t, m + add_q, n + add_t) if back else (k, v, m + add_q, n + add_t)
+        cut |= short
+        pairs.append(new)
+    return k, v, m, n, acc, hyb + dangling(q, t, k, v, m, n), cut, np.concatenate(pairs, 1)
+
+
+# As Spark stages: hits by the two blocks that they start in.
+
+_PAIR_LIST = pa.list_(pa.struct([("q", pa.int32()), ("t", pa.int32())]))
+_HIT = [("query_id", pa.int64()), ("target_id", pa.int64()), ("q_start", pa.int32()), ("t_start", pa.int32()), ("q_len", pa.int32()), ("t_len", pa.int32()), ("acc_energy", pa.float64()), ("hyb_energy", pa.float64()), ("energy", pa.float64()), ("base_pairs", _PAIR_LIST)]
+HITS_SCHEMA = "query_id long, target_id long, q_start int, t_start int, q_len int, t_len int, acc_energy double, hyb_energy double, energy double, base_pairs array<struct<q:int,t:int>>"
+_CONTEXT = ("seq", "acc", "cond", "run", "offset", "total")
+
+
+def _side(batch: pa.RecordBatch, name: str, least: int, reverse: bool, pad: int) -> Strand:
+    x = {c: batch.column(f"{name}_{c}") for c in _CONTEXT}
+    return Strand(x["seq"], x["acc"], x["cond"], x["run"], x["offset"].to_numpy(), x["total"].to_numpy(), least, reverse, pad)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose contexts have about BASES bases together."""
+    for batch in batches:
+        sizes = sum(pc.utf8_length(batch.column(c)).to_numpy() for c in ("q_seq", "t_seq"))
+        upto, low = np.cumsum(sizes), 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + BASES, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
+def _given(batch: pa.RecordBatch) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of which row each hit is, and the hits' columns."""
+    hits = batch.column("hits")
+    row = np.repeat(np.arange(batch.num_rows), np.diff(hits.offsets.to_numpy()))
+    flat = hits.flatten()
+    return row, {f.name: flat.field(f.name) if pa.types.is_list(f.type) else flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
+
+
+def _ungapped_part(batch: pa.RecordBatch, least: int, drop: int, model: Model) -> pa.RecordBatch:
+    row, x = _given(batch)
+    q, t = _side(batch, "q", least, False, 4), _side(batch, "t", least, True, 4)
+    q_off, t_off = (batch.column(f"{s}_offset").to_numpy()[row] for s in "qt")
+    q_at, t_at, size = x["q_start"] - q_off, x["t_start"] - t_off, x["length"].astype(np.int64)
+    acc = q.opening(row, q_at, size, least) + t.opening(row, t_at, size, least)
+    good = np.flatnonzero(acc + x["hyb"] < 0)
+    row, size = row[good], size[good]
+    k, v = q.flat(row, q_at[good], size), t.flat(row, t_at[good], size)
+    new_k, new_v, new, acc, hyb, cut = ungapped(q, t, model, k, v, size, acc[good], x["hyb"][good].astype(float), drop)
+    columns = [batch.column("query_id").take(pa.array(row)), batch.column("target_id").take(pa.array(row)), *(pa.array(c.astype(np.int32)) for c in _forward(q, t, row, new_k, new_v, new, q_off[good], t_off[good])), *(pa.array(new.astype(np.int32)),) * 2]
+    columns += [pa.array(acc), pa.array(hyb), pa.array(acc + hyb), pa.array(x["q_start"][good]), pa.array(x["t_start"][good]), pa.array(x["length"][good]), pa.array(x["hyb"][good]), pa.array(cut)]
+    return pa.RecordBatch.from_arrays(columns, names=_UNGAPPED)
+
+
+_UNGAPPED = ["query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", "q_seed", "t_seed", "length", "hyb", "cut"]
+
+
+def _forward(q: Strand, t: Strand, row: np.ndarray, k: np.ndarray, v: np.ndarray, n: np.ndarray, q_off: np.ndarray, t_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts on query and target, both from the 5' end, of hits at flat places."""
+    return k - q.at[row] + q_off, t.n[row] - (v - t.at[row]) - n + t_off
+
+
+def _gapped_part(batch: pa.RecordBatch, least: int, drop: int, helix: int, model: Model) -> Iterator[pa.RecordBatch]:
+    every, x = _given(batch)
+    q, t = _side(batch, "q", least, False, helix + 2), _side(batch, "t", least, True, helix + 2)
+    offsets = {s: batch.column(f"{s}_offset").to_numpy() for s in "qt"}
+    for low in range(0, len(every), HITS):
+        own = slice(low, low + HITS)
+        row = every[own]
+        q_off, t_off = offsets["q"][row], offsets["t"][row]
+        size = x["q_len"][own].astype(np.int64)  # no gaps so far
+        k, v = q.flat(row, x["q_start"][own] - q_off, size), t.flat(row, x["t_start"][own] - t_off, size)
+        new_k, new_v, m, n, acc, hyb, cut, more = gapped(q, t, model, k, v, size, size, x["acc_energy"][own], x["hyb_energy"][own], drop, helix)
+        # pairs of the hit itself, then of what was added, in order
+        of = np.repeat(np.arange(len(row)), size)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        paired = _types(q, t, k[of] + step, v[of] + step) > 0
+        pairs = np.concatenate((np.stack((of, k[of] + step, v[of] + step))[:, paired], more), 1)
+        pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+        q_pair, t_pair = pairs[1] - q.at[row][pairs[0]] + q_off[pairs[0]], t.n[row][pairs[0]] - 1 - (pairs[2] - t.at[row][pairs[0]]) + t_off[pairs[0]]
+        ends = np.searchsorted(pairs[0], np.arange(len(row) + 1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(q_pair.astype(np.int32)), pa.array(t_pair.astype(np.int32))], ["q", "t"]))
+        q_new, t_new = _forward(q, t, row, new_k, new_v, n, q_off, t_off)
+        columns = [batch.column("query_id").take(pa.array(row)), batch.column("target_id").take(pa.array(row)), *(pa.array(c.astype(np.int32)) for c in (q_new, t_new, m, n)), pa.array(acc), pa.array(hyb), pa.array(acc + hyb), lists]
+        columns += [pa.array(x[c][own]) for c in ("q_start", "t_start", "q_len", "acc_energy", "hyb_energy")] + [pa.array(cut)]
+        yield pa.RecordBatch.from_arrays(columns, names=_GAPPED)
+
+
+_GAPPED = [n for n, _ in _HIT] + ["q_before", "t_before", "before", "acc_before", "hyb_before", "cut"]
+
+
+def _in_contexts(hits: DataFrame, columns: list[str], queries: DataFrame, targets: DataFrame, size: int) -> DataFrame:
+    """A row for each two blocks that hits start in, with the hits and both contexts. Starts in two blocks are a bounded number."""
+    spark = hits.sparkSession
+    keys = ["query_id", "q_block", "target_id", "t_block"]
+    block = lambda c: F.floor(F.col(c) / size).cast("int")
+    met = hits.withColumns({"q_block": block("q_start"), "t_block": block("t_start")}).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("hits"))
+    side = lambda table, s, name: table.select(F.col("seq_id").alias(name), F.col("block").alias(f"{s}_block"), *(F.col(c).alias(f"{s}_{c}") for c in _CONTEXT))
+    met = met.join(side(queries, "q", "query_id"), ["query_id", "q_block"]).join(side(targets, "t", "target_id"), ["target_id", "t_block"])
+    # few bytes, much work: as many tasks as shuffles have partitions, whatever the bytes
+    return met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+class Blocks:
+    """Sequences and profiles of both sides, as tables of blocks that reach as far as asked."""
+
+    def __init__(self, queries: tuple[DataFrame, DataFrame], targets: tuple[DataFrame, DataFrame], size: int = SIZE, reach: int = REACH):
+        self.sides, self.size, self.reach, self.made = (queries, targets), size, reach, {}
+
+    def reaching(self, level: int) -> tuple[DataFrame, DataFrame]:
+        if level not in self.made:
+            tables = [settled(blocks(*side, self.size, self.reach * 8**level)) for side in (self.sides[:1] if self.sides[0] is self.sides[1] else self.sides)]
+            self.made[level] = tables[0], tables[-1]
+        return self.made[level]
+
+
+def _until_whole(hits: DataFrame, columns: list[str], table: Blocks, run, schema: str, again: dict[str, str]) -> DataFrame:
+    """What run gives for hits in contexts, of which those that are cut are taken again in contexts that reach eight times as far, until none is."""
+    out, level = None, 0
+    while True:
+        got = settled(_in_contexts(hits, columns, *table.reaching(level), table.size).mapInArrow(run, schema + ", cut boolean"))
+        whole = got.where("not cut")
+        out = whole if out is None else out.union(whole)
+        hits = got.where("cut")
+        if hits.isEmpty():
+            return out.drop("cut")
+        hits = hits.select("query_id", "target_id", *(F.col(old).alias(new) for new, old in again.items()))
+        level += 1
+
+
+def ungapped_hits(seeds: DataFrame, table: Blocks, least: int, drop: int, model: Model) -> DataFrame:
+    """Hits (query_id, target_id, q_start, t_start, q_len, t_len, acc_energy, hyb_energy, energy) from seeds (query_id, target_id, q_start, t_start, length, hyb): those whose energy in all is below 0, extended without gaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first = bases = 0
-            for r, size in enumerate((pc.binary_length(batch.column("q_seq")).to_numpy() + pc.binary_length(batch.column("t_seq")).to_numpy()).tolist()):
-                bases += size
-                if bases >= AT_ONCE or r == batch.num_rows - 1:
-                    yield part(batch.slice(first, r + 1 - first))
-                    first, bases = r + 1, 0
-
-    return pairs.mapInArrow(run, HITS)
+        for batch in _parts(batches):
+            yield _ungapped_part(batch, least, drop, model)
+
+    schema = HITS_SCHEMA.split(", base_pairs")[0] + ", q_seed int, t_seed int, length int, hyb double"
+    again = {"q_start": "q_seed", "t_start": "t_seed", "length": "length", "hyb": "hyb"}
+    return _until_whole(seeds, list(again), table, run, schema, again).drop("q_seed", "t_seed", "length", "hyb")
+
+
+def gapped_hits(hits: DataFrame, table: Blocks, least: int, drop: int, helix: int, model: Model) -> DataFrame:
+    """Hits without gaps, extended with gaps, with what dangles and their base pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            yield from _gapped_part(batch, least, drop, helix, model)
+
+    again = {"q_start": "q_before", "t_start": "t_before", "q_len": "before", "acc_energy": "acc_before", "hyb_energy": "hyb_before"}
+    schema = HITS_SCHEMA + ", q_before int, t_before int, before int, acc_before double, hyb_before double"
+    return _until_whole(hits, list(again), table, run, schema, again).drop(*again.values())

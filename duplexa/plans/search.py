@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bases
 from ..functions.energy import Model
 from ..operators.accessibility import accessibility
-from ..operators.extend import extended
+from ..operators.dominance import undominated
+from ..operators.extend import Blocks, gapped_hits, ungapped_hits
 from ..operators.seeds import seed_search
+from ..sources.settled import settled
 from ..sources.store import Store
 
 
@@ -34,37 +35,18 @@ class SearchParameters:
             raise ValueError("loops longer than the energy tables: drop-out lengths are at most 16 and 30")
 
 
-def opening(profiles: DataFrame, least: int, most: int) -> DataFrame:
-    """seq_id, pos and costs from stored profiles (seq_id, acc, cond): what it costs to keep the `least` to `most` bases from pos on open, in order of their number; null where the profile ends before. The first window, and each further
-    base given those before it."""
-    places = profiles.select("seq_id", "cond", F.posexplode("acc").alias("pos", "first"))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(most - least)), lambda n: F.when(F.col("pos") + least + n <= F.size("cond"), F.aggregate(F.slice("cond", F.col("pos") + least + 1, n), F.lit(0.0), lambda total, x: total + x)))
-    return places.select("seq_id", F.col("pos").cast("int").alias("pos"), F.transform(sums, lambda x: F.col("first").cast("double") + x).alias("costs"))
-
-
-def favourable(seeds: DataFrame, query_profiles: DataFrame, target_profiles: DataFrame, least: int, most: int) -> DataFrame:
-    """Seeds whose energy in all is below 0, from seeds (with their stacking energy hyb): each by the costs at its two places, row by row, so that no profile moves and nothing is grouped before most seeds are gone."""
-    cost = lambda profiles, name: opening(profiles, least, most).select(F.col("seq_id").alias(f"{name}_id"), F.col("pos").alias(f"{name[0]}_start"), F.col("costs").alias(f"{name[0]}_costs"))
-    met = seeds.join(cost(query_profiles, "query"), ["query_id", "q_start"]).join(cost(target_profiles, "target"), ["target_id", "t_start"])
-    at = F.col("length") - least + 1
-    return met.where(F.col("hyb") + F.element_at("q_costs", at) + F.element_at("t_costs", at) < 0).drop("q_costs", "t_costs")
-
-
 def search(queries: DataFrame, targets: DataFrame, profiles: DataFrame, repeat: int = 0, span: int = 70, least: int = 5, parameters: SearchParameters = SearchParameters(), model: Model | None = None, own: DataFrame | None = None) -> DataFrame:
-    """Hits of queries (seq_id, seq) on targets (seq_id, seq) with stored profiles (seq_id, acc, cond). Whole profiles only go to pairs of sequences that have a favourable seed.
-    own: the queries' profiles, where the caller has them; else they are made here, and kept on disk as long as the session, as folding is the dearest step and they are read twice."""
+    """Hits of queries (seq_id, seq) on targets (seq_id, seq) with stored profiles (seq_id, acc, cond): seeds, extended without gaps, dominated ones removed, extended with gaps, dominated ones removed. Rows are hits throughout; they take blocks
+    of the sequences they lie on, never whole ones. own: the queries' profiles, where the caller has them; else they are made here, and settled, as folding is the dearest step."""
     masked = lambda df: df.select("seq_id", bases.masked(F.col("seq"), repeat).alias("seq"))
-    p = parameters
-    own = accessibility(queries, span, least, model).persist(StorageLevel.DISK_ONLY) if own is None else own
-    seeds = seed_search(masked(queries), masked(targets), least, p.most, round(p.seed * 100)).withColumn("hyb", F.col("energy") / 100.0)
-    by_pair = favourable(seeds, own, profiles, least, p.most).groupBy("query_id", "target_id").agg(F.array_sort(F.collect_list(F.struct("q_start", "t_start", "length", "hyb"))).alias("seeds"))
     upper = lambda df: df.select("seq_id", F.upper(bases.masked(F.col("seq"), repeat)).alias("seq"))  # noqa: E731  soft-masked bases can't seed but can be extended over
-    query_side = own.select(F.col("seq_id").alias("query_id"), F.col("acc").alias("q_acc"), F.col("cond").alias("q_cond")).join(upper(queries).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
-    target_side = profiles.select(F.col("seq_id").alias("target_id"), F.col("acc").alias("t_acc"), F.col("cond").alias("t_cond")).join(upper(targets).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t_seq")), "target_id")
-    # few bytes, much work: as many tasks as shuffles have partitions, whatever the bytes
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = by_pair.join(query_side, "query_id").join(target_side, "target_id")
-    return extended(pairs.repartition(tasks, "query_id", "target_id"), least, p.interaction, p.final, p.drop_ungapped, p.drop_gapped, p.helix, model)
+    p, model = parameters, model or Model()
+    own = settled(accessibility(queries, span, least, model).select("seq_id", "acc", "cond")) if own is None else own
+    seeds = seed_search(masked(queries), masked(targets), least, p.most, round(p.seed * 100)).withColumn("hyb", F.col("energy") / 100.0)
+    target_side = upper(targets), profiles
+    table = Blocks(target_side if queries is targets and own is profiles else (upper(queries), own), target_side)
+    plain = undominated(ungapped_hits(seeds, table, least, p.drop_ungapped, model), p.interaction)
+    return undominated(gapped_hits(plain, table, least, p.drop_gapped, p.helix, model), p.final)
 
 
 def search_store(queries: DataFrame, store: Store, parameters: SearchParameters = SearchParameters(), model: Model | None = None, own: DataFrame | None = None) -> DataFrame:

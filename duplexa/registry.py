@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from .operators.schedule import balanced, blocks, longest_first, packed
 from .operators.seeds import _TYPE, paired_runs, seed_search
 from .plans.search import pair_text, search, shortest
 from .sources.fasta import split_by_name, wrapped
+from .sources.settled import settled
 
 _LETTERS, _AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGUUGCAACGUGCUAUCAGGAUCCU"
 
@@ -157,7 +157,8 @@ def accessibility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interaction_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _benchmark(spark, sf_dir)
-    return search(targets, targets, accessibility(targets).persist(StorageLevel.DISK_ONLY)).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
+    profiles = settled(accessibility(targets).select("seq_id", "acc", "cond"))
+    return search(targets, targets, profiles, own=profiles).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

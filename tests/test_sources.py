@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,19 +83,3 @@ def test_database_search_and_stream(spark, tmp_path):
     stream = stream_search(spark, f"{at}/incoming", f"{at}/db", f"{at}/streamed", f"{at}/state", p)
     stream.awaitTermination(120)
     assert spark.read.parquet(f"{at}/streamed").count() == len(want)
-
-
-def test_opening_equals_the_kernels(spark):
-    from duplexa.operators.accessibility import profiles
-    from duplexa.operators.extend import Pair, Strands
-    from duplexa.functions.energy import Model
-    from duplexa.plans.search import opening
-
-    (acc, cond), (a2, c2) = profiles(["ACGGGAAACCCAUAUGCGC", "GGGAAACCCUU"], 30, 5)
-    strands = Strands([Pair("ACGGGAAACCCAUAUGCGC", "GGGAAACCCUU", (acc, cond, a2, c2), 5, Model())])
-    df = spark.createDataFrame([(0, acc.tolist(), cond.tolist()), (1, a2.tolist(), c2.tolist())], "seq_id long, acc array<float>, cond array<float>")
-    costs = {(r.seq_id, r.pos): r.costs for r in opening(df, 5, 20).collect()}
-    assert len(costs) == len(acc) + len(a2) and all(len(c) == 16 for c in costs.values())
-    for q, t, n in ((0, 0, 5), (3, 2, 8), (7, 4, 6)):
-        assert costs[0, q][n - 5] + costs[1, t][n - 5] == pytest.approx(float(strands.open_costs(strands.q_at[:1] + q, strands.v_at[:1] + 11 - t - n, np.array([n]), 5)[0]), abs=1e-5)
-    assert costs[1, 4][2] is not None and costs[1, 4][3] is None
