@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bases
+from .functions.energy import Model, rule_loops
 from .operators.accessibility import accessibility
+from .operators.dominance import undominated
+from .operators.extend import Blocks, ungapped_hits
 from .operators.index import kmer_counts, kmer_index, locate, prefix_ranges, start_positions
 from .operators.schedule import balanced, blocks, longest_first, packed
 from .operators.seeds import _TYPE, paired_runs, seed_search
@@ -106,6 +109,22 @@ def dominance_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.join(inner, ["query_id", "target_id"]).where(within & (F.col("m") < F.col("length"))).select("query_id", "target_id", "q_start", "t_start", "length", "q_in", "t_in", F.col("m").alias("inner_length"))
 
 
+def dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds of up to -7 kcal/mol that no other dominates."""
+    seeds = seeds_query(spark, sf_dir).select("query_id", "target_id", "q_start", "t_start", F.col("length").alias("q_len"), F.col("length").alias("t_len"), "energy")
+    return undominated(seeds, -700).select("query_id", "target_id", "q_start", "t_start", F.col("q_len").alias("length"), "energy")
+
+
+def ungapped_extension_hyb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds extended without gaps where nothing costs to be opened, in 1/100 kcal/mol."""
+    targets = _benchmark(spark, sf_dir)
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), F.length("seq"))
+    side = targets, targets.select("seq_id", nothing.alias("acc"), nothing.alias("cond"))
+    seeds = seeds_query(spark, sf_dir).withColumn("hyb", F.col("energy") / 100.0)
+    hits = ungapped_hits(seeds, Blocks(side, side), 5, 5, Model(rule_loops()))
+    return hits.select("query_id", "target_id", "q_start", "t_start", F.col("q_len").alias("length"), F.round(F.col("hyb_energy") * 100).cast("int").alias("energy")).distinct()
+
+
 def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ln of the sum of exp(value) by type, from the largest value, so that nothing overflows."""
     events = _table(spark, sf_dir, "events")
@@ -165,7 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "encode_hard": _encode(0), "encode_soft": _encode(1), "encode_nomask": _encode(2), "base_composition": base_composition, "seq_stats": seq_stats,
         "kmer_index": kmer_index_query, "kmer_ranges": kmer_ranges, "prefix_hash": prefix_hash, "start_positions": start_positions_query, "pos_to_seq": pos_to_seq,
-        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates,
+        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates, "dominance": dominance, "ungapped_extension_hyb": ungapped_extension_hyb,
         "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "partition_packed": partition_packed, "split_by_name": split_by_name_query,
         "fasta_wrap": fasta_wrap, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
     }
@@ -207,6 +226,44 @@ hit as (select x.query_id, x.target_id, x.i q_start, x.diag, min(y.i - x.i + 1):
 seeds as (select h.query_id, h.target_id, h.q_start, (h.diag - h.q_start - h.length + 1)::int t_start, h.length, (y.total - x.total)::int energy from hit h join run x on x.query_id = h.query_id and x.target_id = h.target_id and x.diag = h.diag and x.i = h.q_start join run y on y.query_id = h.query_id and y.target_id = h.target_id and y.diag = h.diag and y.i = h.q_start + h.length - 1)"""
 
 
+#: Pair by pair and hit by hit in order: hits that are there (with their place in the order), and places of those that went after their turn.
+_DOMINANCE = """, h as (select query_id, target_id, q_start qs, q_start + length qe, t_start ts, t_start + length te, energy e, row_number() over (partition by query_id, target_id order by t_start + length desc, q_start, length desc, energy) r from seeds where energy <= -700),
+step(query_id, target_id, r, there, gone) as (
+ select query_id, target_id, 0::bigint, []::struct(qs int, qe int, ts int, te int, e int, r bigint)[], []::bigint[] from (select distinct query_id, target_id from h)
+ union all
+ select query_id, target_id, r, case when k is null then list_append(there, {'qs': qs, 'qe': qe, 'ts': ts, 'te': te, 'e': e, 'r': r}) else there end, list_concat(gone, list_transform(list_filter(over_, lambda x: x.e > h.e and (k is null or x.r < k)), lambda x: x.r))
+ from (select s.there, s.gone, h.*, list_filter(s.there, lambda x: x.qs <= h.qs and x.qe >= h.qe and x.ts <= h.ts and x.te >= h.te) over_, list_min(list_transform(list_filter(s.there, lambda x: x.qs <= h.qs and x.qe >= h.qe and x.ts <= h.ts and x.te >= h.te and x.e <= h.e), lambda x: x.r)) k
+       from step s join h on h.query_id = s.query_id and h.target_id = s.target_id and h.r = s.r + 1) h),
+final as (select query_id, target_id, arg_max(there, r) there, arg_max(gone, r) gone from step group by 1, 2)
+select query_id, target_id, x.qs q_start, x.ts t_start, (x.qe - x.qs)::int length, x.e energy from (select query_id, target_id, unnest(list_filter(there, lambda y: not list_contains(gone, y.r))) x from final)"""
+
+
+def _ungapped(drop: int = 5) -> str:
+    """Each seed to both sides, a pair of bases a step: the last pair, its energy, and the best of the way so far; loops of the rule's tables have as many unpaired bases on both sides."""
+    from .functions.energy import INTERIOR
+
+    sizes = ", ".join(f"({n}, {int(INTERIOR[n])})" for n in range(5, 31))
+    bonus = "(case when ({0} = 'A' and {1} = 'G') or ({0} = 'G' and {1} = 'A') then -50 when {0} = 'U' and {1} = 'U' then -45 else 0 end)"
+    weak = "((y.o > 2)::int + (y.n > 2)::int)"
+    # a, b: first and last unpaired base of the outer pair's 3' way on the query; c, d: on the target, beside the inner and the outer pair
+    loop = f"""case when y.u = 0 then e1.e when y.u = 1 then 60 + 48 * {weak} - case when y.a = 'G' and y.d = 'G' then 55 else 0 end
+ when y.u = 2 then 110 + 55 * {weak} + {bonus.format('y.a', 'y.d')} + {bonus.format('y.c', 'y.b')} else i.e + 63 * {weak} + {bonus.format('y.a', 'y.d')} + {bonus.format('y.c', 'y.b')} end"""
+    return f""", sz(n, e) as (values {sizes}), ways(w) as (values (-1), (1)),
+x0 as (select distinct query_id, target_id, q_start, t_start, length, energy from seeds),
+walk(query_id, target_id, q_start, t_start, length, w, k, v, lk, lv, lt, now, best, bk, goes) as (
+ select s.query_id, s.target_id, q_start, t_start, length, w, case w when 1 then q_start + length - 1 else q_start end, case w when 1 then t_start else t_start + length - 1 end, case w when 1 then q_start + length - 1 else q_start end, case w when 1 then t_start else t_start + length - 1 end, ty, 0, 0, case w when 1 then q_start + length - 1 else q_start end, true
+ from x0 s, ways join q a on a.id = query_id join q b on b.id = target_id join pt on qb = substr(a.seq, (case w when 1 then q_start + length - 1 else q_start end) + 1, 1) and tb = substr(b.seq, (case w when 1 then t_start else t_start + length - 1 end) + 1, 1)
+ union all
+ select query_id, target_id, q_start, t_start, length, w, k, v, case when ty is null then lk else k end, case when ty is null then lv else v end, coalesce(ty, lt), coalesce(now + le, now), case when now + le < best then now + le else best end, case when now + le < best then k else bk end, abs(k - case when now + le < best then k else bk end) < {drop}
+ from (select y.*, {loop} le from (select z.*, ty, abs(z.k - lk) - 1 u, case w when 1 then lt else ty end o, case w when 1 then ty else lt end n,
+   substr(qs, case w when 1 then lk + 2 else z.k + 2 end, 1) a, substr(qs, case w when 1 then z.k else lk end, 1) b, substr(ts, case w when 1 then z.v + 2 else lv + 2 end, 1) c, substr(ts, case w when 1 then lv else z.v end, 1) d
+   from (select s.* exclude (k, v), s.k + w k, s.v - w v, a.seq qs, b.seq ts from walk s join q a on a.id = query_id join q b on b.id = target_id where goes and s.k + w between 0 and length(a.seq) - 1 and s.v - w between 0 and length(b.seq) - 1) z
+   left join pt on qb = substr(qs, z.k + 1, 1) and tb = substr(ts, z.v + 1, 1)) y left join st e1 on e1.a = y.o and e1.b = y.n left join sz i on i.n = 2 * y.u)),
+ends as (select query_id, target_id, q_start, t_start, length, w, arg_max(bk, w * k) bk, min(best) best from walk group by all)
+select distinct s.query_id, s.target_id, l.bk q_start, (s.t_start + s.length - 1 - (r.bk - s.q_start))::int t_start, (r.bk - l.bk + 1)::int length, (s.energy + l.best + r.best)::int energy
+from x0 s join ends l on l.w = -1 and (l.query_id, l.target_id, l.q_start, l.t_start) = (s.query_id, s.target_id, s.q_start, s.t_start) join ends r on r.w = 1 and (r.query_id, r.target_id, r.q_start, r.t_start) = (s.query_id, s.target_id, s.q_start, s.t_start)"""
+
+
 def oracle_sql() -> dict[str, str]:
     def encode(mask: str, digits: str, source: str = "NACGUacgu") -> str:
         return f"with {_CASED}, m as (select seq_id, {mask} seq from d) select seq_id, reverse(translate(seq, '{source}', '{digits}')) || '0' codes, length(regexp_replace(seq, '[^ACGU]', '', 'g'))::bigint known from m"
@@ -232,6 +289,8 @@ select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, co
         "seed_energy_hist": f"with recursive {_seeds()} select length, floor(energy / 100.0)::bigint kcal, count(*)::bigint n, sum(energy)::bigint total from seeds group by 1, 2",
         "ungapped_pairs": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, (q_start + k)::int q, (t_start + length - 1 - k)::int t from seeds, unnest(range(0, length)) u(k)",
         "dominance_candidates": f"with recursive {_seeds()} select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_in, y.t_start t_in, y.length inner_length from seeds x join seeds y using (query_id, target_id) where y.q_start >= x.q_start and y.t_start >= x.t_start and y.q_start + y.length <= x.q_start + x.length and y.t_start + y.length <= x.t_start + x.length and y.length < x.length",
+        "dominance": f"with recursive {_seeds()}{_DOMINANCE}",
+        "ungapped_extension_hyb": f"with recursive {_seeds()}{_ungapped()}",
         "log_sum_exp": "with m as (select event_type, max(value) top from events group by 1) select event_type, round(any_value(top) + ln(sum(exp(value - top))), 6) lse from events join m using (event_type) group by event_type",
         "partition_block": "select doc_id seq_id, floor(doc_id / ((select count(*) from documents) // 16 + 1))::int bin from documents",
         "schedule_sorted": f"with {_DOCS} select seq_id, length(seq)::bigint length from d",
