@@ -387,16 +387,18 @@ def _in_contexts(hits: DataFrame, columns: list[str], queries: DataFrame, target
 
 
 class Blocks:
-    """Sequences and profiles of both sides, as tables of blocks that reach as far as asked."""
+    """Sequences and profiles of both sides, as tables of blocks that reach as far as asked. stored: the targets' blocks of the usual reach, where the caller has them."""
 
-    def __init__(self, queries: tuple[DataFrame, DataFrame], targets: tuple[DataFrame, DataFrame], size: int = SIZE, reach: int = REACH):
+    def __init__(self, queries: tuple[DataFrame, DataFrame], targets: tuple[DataFrame, DataFrame], size: int = SIZE, reach: int = REACH, stored: DataFrame | None = None):
         self.sides, self.size, self.reach, self.made = (queries, targets), size, reach, {}
+        if stored is not None:
+            self.made[0, 1] = stored
 
     def reaching(self, level: int) -> tuple[DataFrame, DataFrame]:
-        if level not in self.made:
-            tables = [settled(blocks(*side, self.size, self.reach * 8**level)) for side in (self.sides[:1] if self.sides[0] is self.sides[1] else self.sides)]
-            self.made[level] = tables[0], tables[-1]
-        return self.made[level]
+        for k, side in enumerate(self.sides):
+            if (level, k) not in self.made:
+                self.made[level, k] = self.made[level, 0] if k and side is self.sides[0] else settled(blocks(*side, self.size, self.reach * 8**level))
+        return self.made[level, 0], self.made[level, 1]
 
 
 def _until_whole(hits: DataFrame, columns: list[str], table: Blocks, run, schema: str, again: dict[str, str]) -> DataFrame:

@@ -12,9 +12,10 @@ from ..functions.energy import Model
 from ..operators.accessibility import accessibility
 from ..operators.dominance import undominated
 from ..operators.extend import Blocks, gapped_hits, ungapped_hits
+from ..operators.growth import cogrown_seeds
 from ..operators.seeds import seed_search
 from ..sources.settled import settled
-from ..sources.store import Store
+from ..sources.store import BEYOND, Store
 
 
 @dataclass(frozen=True)
@@ -35,23 +36,42 @@ class SearchParameters:
             raise ValueError("loops longer than the energy tables: drop-out lengths are at most 16 and 30")
 
 
+_masked = lambda df, repeat: df.select("seq_id", bases.masked(F.col("seq"), repeat).alias("seq"))
+_upper = lambda df, repeat: df.select("seq_id", F.upper(bases.masked(F.col("seq"), repeat)).alias("seq"))  # noqa: E731  soft-masked bases can't seed but can be extended over
+
+
+def _extended(seeds: DataFrame, table: Blocks, least: int, p: SearchParameters, model: Model) -> DataFrame:
+    """Final hits from seeds: extended without gaps, dominated ones removed, extended with gaps, dominated ones removed."""
+    seeds = seeds.withColumn("hyb", F.col("energy") / 100.0)
+    plain = undominated(ungapped_hits(seeds, table, least, p.drop_ungapped, model), p.interaction)
+    return undominated(gapped_hits(plain, table, least, p.drop_gapped, p.helix, model), p.final)
+
+
 def search(queries: DataFrame, targets: DataFrame, profiles: DataFrame, repeat: int = 0, span: int = 70, least: int = 5, parameters: SearchParameters = SearchParameters(), model: Model | None = None, own: DataFrame | None = None) -> DataFrame:
-    """Hits of queries (seq_id, seq) on targets (seq_id, seq) with stored profiles (seq_id, acc, cond): seeds, extended without gaps, dominated ones removed, extended with gaps, dominated ones removed. Rows are hits throughout; they take blocks
-    of the sequences they lie on, never whole ones. own: the queries' profiles, where the caller has them; else they are made here, and settled, as folding is the dearest step."""
-    masked = lambda df: df.select("seq_id", bases.masked(F.col("seq"), repeat).alias("seq"))
-    upper = lambda df: df.select("seq_id", F.upper(bases.masked(F.col("seq"), repeat)).alias("seq"))  # noqa: E731  soft-masked bases can't seed but can be extended over
+    """Hits of queries (seq_id, seq) on targets (seq_id, seq) with profiles (seq_id, acc, cond). Rows are hits throughout; they take blocks of the sequences they lie on, never whole ones. own: the queries' profiles, where the caller has them;
+    else they are made here, and settled, as folding is the dearest step."""
     p, model = parameters, model or Model()
     own = settled(accessibility(queries, span, least, model).select("seq_id", "acc", "cond")) if own is None else own
-    seeds = seed_search(masked(queries), masked(targets), least, p.most, round(p.seed * 100)).withColumn("hyb", F.col("energy") / 100.0)
-    target_side = upper(targets), profiles
-    table = Blocks(target_side if queries is targets and own is profiles else (upper(queries), own), target_side)
-    plain = undominated(ungapped_hits(seeds, table, least, p.drop_ungapped, model), p.interaction)
-    return undominated(gapped_hits(plain, table, least, p.drop_gapped, p.helix, model), p.final)
+    seeds = seed_search(_masked(queries, repeat), _masked(targets, repeat), least, p.most, round(p.seed * 100))
+    target_side = _upper(targets, repeat), profiles
+    table = Blocks(target_side if queries is targets and own is profiles else (_upper(queries, repeat), own), target_side)
+    return _extended(seeds, table, least, p, model)
+
+
+def store_seeds(queries: DataFrame, store: Store, parameters: SearchParameters = SearchParameters()) -> DataFrame:
+    """Seeds of queries (seq_id, seq) on a database, by its window index; its sequences are only read if seeds may be longer than the index has bases."""
+    p, queries = parameters, _masked(queries.select("seq_id", "seq"), store.repeat)
+    if p.most > max(BEYOND, store.least):
+        return cogrown_seeds(queries, _masked(store.sequences, store.repeat), store.least, p.most, round(p.seed * 100))
+    return cogrown_seeds(queries, None, store.least, p.most, round(p.seed * 100), store.window_levels, store.window_index)
 
 
 def search_store(queries: DataFrame, store: Store, parameters: SearchParameters = SearchParameters(), model: Model | None = None, own: DataFrame | None = None) -> DataFrame:
-    """search of queries (seq_id, name, seq) on a database, with what was fixed when it was built, and names and lengths."""
-    hits = search(queries.select("seq_id", "seq"), store.sequences.select("seq_id", "seq"), store.accessibility, store.repeat, store.span, store.least, parameters, model, own)
+    """Hits of queries (seq_id, name, seq) on a database, with what was fixed when it was built, and names and lengths. Seeds come from its window index, contexts from its blocks."""
+    p, model = parameters, model or Model()
+    own = settled(accessibility(queries, store.span, store.least, model).select("seq_id", "acc", "cond")) if own is None else own
+    table = Blocks((_upper(queries, store.repeat), own), (_upper(store.sequences, store.repeat), store.accessibility), stored=store.blocks)
+    hits = _extended(store_seeds(queries, store, p), table, store.least, p, model)
     q = queries.select(F.col("seq_id").alias("query_id"), F.col("name").alias("query_name"), bases.residue_count(F.col("seq"), store.repeat).alias("query_length"))
     t = store.sequences.select(F.col("seq_id").alias("target_id"), F.col("name").alias("target_name"), F.col("known_length").alias("target_length"))
     return hits.join(q, "query_id").join(t, "target_id")

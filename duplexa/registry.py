@@ -15,6 +15,7 @@ from .functions.energy import Model, rule_loops
 from .operators.accessibility import accessibility
 from .operators.dominance import undominated
 from .operators.extend import Blocks, ungapped_hits
+from .operators.growth import cogrown_seeds
 from .operators.index import kmer_counts, kmer_index, locate, prefix_ranges, start_positions
 from .operators.schedule import balanced, blocks, longest_first, packed
 from .operators.seeds import _TYPE, paired_runs, seed_search
@@ -92,6 +93,10 @@ def seeds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seed_search(_benchmark(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def seed_search_kmer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cogrown_seeds(_benchmark(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def seed_energy_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds_query(spark, sf_dir).groupBy("length", F.floor(F.col("energy") / 100).alias("kcal")).agg(F.count("*").alias("n"), F.sum("energy").alias("total"))
 
@@ -184,7 +189,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "encode_hard": _encode(0), "encode_soft": _encode(1), "encode_nomask": _encode(2), "base_composition": base_composition, "seq_stats": seq_stats,
         "kmer_index": kmer_index_query, "kmer_ranges": kmer_ranges, "prefix_hash": prefix_hash, "start_positions": start_positions_query, "pos_to_seq": pos_to_seq,
-        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates, "dominance": dominance, "ungapped_extension_hyb": ungapped_extension_hyb,
+        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_search_kmer": seed_search_kmer, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates, "dominance": dominance, "ungapped_extension_hyb": ungapped_extension_hyb,
         "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "partition_packed": partition_packed, "split_by_name": split_by_name_query,
         "fasta_wrap": fasta_wrap, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
     }
@@ -286,6 +291,7 @@ c as (select r.id query_id, n.id target_id, (i + j - 2)::int diagonal, (i - 1)::
 g as (select *, p - row_number() over (partition by query_id, target_id, diagonal order by p) island from c)
 select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, count(*)::bigint pairs from g group by query_id, target_id, diagonal, island""",
         "seed_search": f"with recursive {_seeds()} select * from seeds",
+        "seed_search_kmer": f"with recursive {_seeds()} select * from seeds",
         "seed_energy_hist": f"with recursive {_seeds()} select length, floor(energy / 100.0)::bigint kcal, count(*)::bigint n, sum(energy)::bigint total from seeds group by 1, 2",
         "ungapped_pairs": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, (q_start + k)::int q, (t_start + length - 1 - k)::int t from seeds, unnest(range(0, length)) u(k)",
         "dominance_candidates": f"with recursive {_seeds()} select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_in, y.t_start t_in, y.length inner_length from seeds x join seeds y using (query_id, target_id) where y.q_start >= x.q_start and y.t_start >= x.t_start and y.q_start + y.length <= x.q_start + x.length and y.t_start + y.length <= x.t_start + x.length and y.length < x.length",

@@ -1,4 +1,8 @@
-"""The target database: Parquet tables of sequences, accessibility profiles and windows, and the parameters that a search takes over."""
+"""The target database: Parquet tables of sequences, accessibility profiles, their blocks, the window index, and the parameters that a search takes over.
+
+The window index has two tables: all places from which a window of known bases starts, with the bases from there on, sorted by these; and by length the distinct windows with their counts, up to the size the index is built for. A search grows
+its windows over the second and only looks up places of those that are seeds, so it reads no sequence of the database; it has to meet the blocks of those alone that have seeds.
+"""
 
 from __future__ import annotations
 
@@ -10,14 +14,17 @@ from pyspark.sql import functions as F
 from ..functions import bases
 from ..functions.energy import Model
 from ..operators.accessibility import accessibility
-from ..operators.index import kmer_index
+from ..operators.blocks import blocks
+from ..operators.growth import levels, occurrences
 
+#: Bases that the index has from each place on.
+BEYOND = 20
 SCHEDULES = ("block", "heap", "dynamic")
 
 
 @dataclass(frozen=True)
 class BuildParameters:
-    """repeat: 0 hard mask, 1 soft mask, 2 none; index: window size of the stored index; span: most bases that a pair encloses; least: accessible length; page: sequences to a page, None for one page."""
+    """repeat: 0 hard mask, 1 soft mask, 2 none; index: longest windows that the stored index has counts of; span: most bases that a pair encloses; least: accessible length; page: sequences to a page, None for one page."""
 
     repeat: int = bases.HARD
     index: int = 8
@@ -44,7 +51,11 @@ def build(sequences: DataFrame, path: str, parameters: BuildParameters = BuildPa
     stored = spark.read.parquet(f"{path}/sequences.parquet")
     accessibility(stored, parameters.span, parameters.least, model).select("seq_id", "acc", "cond").write.mode("overwrite").parquet(f"{path}/accessibility.parquet")
     masked = stored.select("seq_id", bases.masked(F.col("seq"), parameters.repeat).alias("seq"))
-    kmer_index(masked, parameters.index).repartitionByRange("kmer", "seq_id").sortWithinPartitions("kmer").write.mode("overwrite").parquet(f"{path}/kmer_index.parquet")
+    upper = masked.select("seq_id", F.upper("seq").alias("seq"))  # what a hit may be extended over
+    blocks(upper, spark.read.parquet(f"{path}/accessibility.parquet")).write.mode("overwrite").parquet(f"{path}/blocks.parquet")
+    occurrences(masked, parameters.least, max(BEYOND, parameters.least), True).repartitionByRange("beyond", "seq_id").sortWithinPartitions("beyond").write.mode("overwrite").parquet(f"{path}/window_index.parquet")
+    most = max(parameters.least, min(parameters.index, BEYOND))
+    levels(spark.read.parquet(f"{path}/window_index.parquet"), parameters.least, most).repartitionByRange("k", "window").sortWithinPartitions("k", "window").write.mode("overwrite").parquet(f"{path}/window_levels.parquet")
     spark.createDataFrame([{k: v for k, v in asdict(parameters).items() if k in ("repeat", "index", "span", "least")}], "repeat int, index int, span int, least int").coalesce(1).write.mode("overwrite").parquet(f"{path}/parameters.parquet")
 
 
@@ -54,7 +65,9 @@ class Store:
 
     sequences: DataFrame
     accessibility: DataFrame
-    kmer_index: DataFrame
+    blocks: DataFrame
+    window_index: DataFrame
+    window_levels: DataFrame
     repeat: int
     index: int
     span: int
@@ -63,4 +76,4 @@ class Store:
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Store:
         row = spark.read.parquet(f"{path}/parameters.parquet").first()
-        return cls(*(spark.read.parquet(f"{path}/{t}.parquet") for t in ("sequences", "accessibility", "kmer_index")), *(row[k] for k in ("repeat", "index", "span", "least")))
+        return cls(*(spark.read.parquet(f"{path}/{t}.parquet") for t in ("sequences", "accessibility", "blocks", "window_index", "window_levels")), *(row[k] for k in ("repeat", "index", "span", "least")))
