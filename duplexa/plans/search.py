@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bases
@@ -92,8 +92,20 @@ def pair_text(pairs: Column, style: int) -> Column:
 
 
 def formatted(hits: DataFrame, style: int = 0) -> DataFrame:
-    """ord columns query_id, target_id, q_start, t_start and the text line of each hit, without its number."""
-    return hits.select("query_id", "target_id", "q_start", "t_start", F.concat_ws(",", "query_name", F.col("query_length").cast("string"), "target_name", F.col("target_length").cast("string"), shortest(F.col("acc_energy")), shortest(F.col("hyb_energy")), shortest(F.col("energy")), pair_text(F.col("base_pairs"), style)).alias("line"))
+    """The columns of ORDER and the text line of each hit, without its number."""
+    return hits.select(*ORDER, F.concat_ws(",", "query_name", F.col("query_length").cast("string"), "target_name", F.col("target_length").cast("string"), shortest(F.col("acc_energy")), shortest(F.col("hyb_energy")), shortest(F.col("energy")), pair_text(F.col("base_pairs"), style)).alias("line"))
+
+
+ORDER = ("query_id", "target_id", "q_start", "t_start", "q_len", "t_len")
+
+
+def numbered(hits: DataFrame, first: Column | int = 0) -> DataFrame:
+    """Hits with id: first, first + 1, ... in the order of query, target and place, whatever their partitions: how many hits the queries before have, and the place among a query's own."""
+    counts = hits.groupBy(F.col("query_id").alias("_query")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_query").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("query_id").orderBy(*ORDER[1:]))
+    first = F.lit(first) if isinstance(first, int) else first
+    return hits.withColumn("_own", own).join(counts.select("_query", before.alias("_before")), F.col("query_id") == F.col("_query")).withColumn("id", (first + F.col("_before") + F.col("_own") - 1).cast("long")).drop("_own", "_query", "_before")
 
 
 COLUMNS = "Id,Query name, Query Length, Target name, Target Length, Accessibility Energy, Hybridization Energy, Interaction Energy, BasePair"
@@ -101,11 +113,9 @@ COLUMNS = "Id,Query name, Query Length, Target name, Target Length, Accessibilit
 
 def write_text(hits: DataFrame, path: str, store: Store, parameters: SearchParameters = SearchParameters(), source: str = "", database: str = "") -> None:
     """Numbered lines in the order of query, target and place, under three header lines, as text part files: sorted by range, so the parts read one after another are the file."""
-    from ..sources.fasta import dense_order
-
     p = parameters
     settings = f"input:{source},database:{database},RepeatFlag:{store.repeat},MaximalSpan:{store.span},MinAccessibleLength:{store.least},MaxSeedLength:{p.most},InteractionEnergyThreshold:{p.interaction:g},HybridEnergyThreshold:{p.seed:g},FinalThreshold:{p.final:g},DropOutLengthWoGap:{p.drop_ungapped},DropOutLengthWGap:{p.drop_gapped}"
-    order = ["query_id", "target_id", "q_start", "t_start"]
-    lines = dense_order(formatted(hits, p.style).orderBy(*order, "line"), "id").select("id", F.concat_ws(",", F.col("id").cast("string"), "line").alias("value"))
+    hits = settled(numbered(hits))
+    lines = formatted(hits, p.style).join(hits.select(*ORDER, "id"), list(ORDER)).select("id", F.concat_ws(",", F.col("id").cast("string"), "line").alias("value"))
     head = hits.sparkSession.createDataFrame([(-3, "RNA-RNA interaction search"), (-2, settings), (-1, COLUMNS)], "id long, value string")
     head.union(lines).orderBy("id").select("value").write.mode("overwrite").text(path)

@@ -5,6 +5,7 @@ Sequences are derived from the tables' texts letter by letter, whole tables and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,8 +21,9 @@ from .operators.index import kmer_counts, kmer_index, locate, prefix_ranges, sta
 from .operators.schedule import balanced, blocks, longest_first, packed
 from .operators.seeds import _TYPE, paired_runs, seed_search
 from .plans.search import pair_text, search, shortest
+from .sources.datasource import register
 from .sources.fasta import split_by_name, wrapped
-from .sources.settled import settled
+from .sources.settled import settled, shared_dir
 
 _LETTERS, _AS_BASES = "abcdefghijklmnopqrstuvwxyz", "ACGUUGCAACGUGCUAUCAGGAUCCU"
 
@@ -163,6 +165,14 @@ def fasta_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("seq_id", wrapped(F.col("seq")).alias("lines"))
 
 
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' sequences, written as FASTA and read again."""
+    register(spark)
+    path = f"{shared_dir(spark)}/fasta-{uuid.uuid4().hex}"
+    _documents(spark, sf_dir).select(F.concat_ws(" ", F.col("seq_id").cast("string"), "name").alias("name"), "seq").write.format("fasta").mode("append").save(path)
+    return spark.read.format("fasta").load(path).select("name", "seq", F.col("length").cast("long").alias("length"))
+
+
 def _pairs(seeds: DataFrame) -> Column:
     return F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.struct((F.col("q_start") + k).alias("q"), (F.col("t_start") + F.col("length") - 1 - k).alias("t")))
 
@@ -191,7 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmer_index": kmer_index_query, "kmer_ranges": kmer_ranges, "prefix_hash": prefix_hash, "start_positions": start_positions_query, "pos_to_seq": pos_to_seq,
         "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_search_kmer": seed_search_kmer, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates, "dominance": dominance, "ungapped_extension_hyb": ungapped_extension_hyb,
         "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "partition_packed": partition_packed, "split_by_name": split_by_name_query,
-        "fasta_wrap": fasta_wrap, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
+        "fasta_wrap": fasta_wrap, "fasta_round_trip": fasta_round_trip, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
     }
 
 
@@ -302,6 +312,7 @@ select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, co
         "schedule_sorted": f"with {_DOCS} select seq_id, length(seq)::bigint length from d",
         "split_by_name": f"with {_DOCS}, l as (select * from d qualify row_number() over (partition by name order by ord desc) = 1) select 'part' file, ord, name, length(seq)::bigint length from l where contains(name, 'fr_') union all select 'all', ord, name, length(seq)::bigint from l",
         "fasta_wrap": f"with {_DOCS} select seq_id, regexp_replace(regexp_replace(seq, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as lines from d",
+        "fasta_round_trip": f"with {_DOCS} select concat_ws(' ', seq_id, name) as name, coalesce(seq, '') seq, coalesce(length(seq), 0)::bigint length from d",
         "format_style0": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, {line} '(' || q_start || '-' || (q_start + length - 1) || ':' || (t_start + length - 1) || '-' || t_start || ') ' as line from seeds",
         "format_style1": f"with recursive {_seeds()} select query_id, target_id, q_start, t_start, {line} {pairs} as line from seeds, unnest(range(0, length)) u(k) group by query_id, target_id, q_start, t_start, length, energy",
     }

@@ -1,10 +1,12 @@
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
 from duplexa.cli import main
 from duplexa.functions import bases
 from duplexa.operators.schedule import balanced, packed
-from duplexa.plans.search import SearchParameters, search_store, shortest
+from duplexa.plans.search import SearchParameters, numbered, search_store, shortest
 from duplexa.sources.fasta import by_order, first_record, paged, read_fasta, split_by_name, write_fasta
 from duplexa.sources.store import BuildParameters, Store, build
 from duplexa.streaming.search import stream_search
@@ -79,7 +81,23 @@ def test_database_search_and_stream(spark, tmp_path):
     build(read_fasta(spark, f"{at}/t.fa"), f"{at}/db2", BuildParameters(least=5))
     other = search_store(queries.repartition(3), Store.open(spark, f"{at}/db2"), p)
     assert sorted((r.query_id, r.target_id, r.q_start, r.t_start, round(r.energy, 6)) for r in other.collect()) == want
-    queries.coalesce(1).write.parquet(f"{at}/incoming")
-    stream = stream_search(spark, f"{at}/incoming", f"{at}/db", f"{at}/streamed", f"{at}/state", p)
-    stream.awaitTermination(120)
-    assert spark.read.parquet(f"{at}/streamed").count() == len(want)
+    # three files, one batch each: numbered as one search over all is
+    files = [(0, 1), (1, 2), (2, 3)]
+    more = queries.union(queries.where("seq_id = 0").select(F.lit(2).cast("long"), "name", "seq"))
+    whole = {(r.query_id, r.target_id, r.q_start, r.t_start): r.id for r in numbered(search_store(more, store, p)).collect()}
+    assert sorted(whole.values()) == list(range(len(whole))) and len(whole) > len(want)
+
+    def run():
+        stream_search(spark, f"{at}/incoming", f"{at}/db", f"{at}/streamed", f"{at}/state", p).awaitTermination(240)
+        return {(r.query_id, r.target_id, r.q_start, r.t_start): r.id for r in spark.read.parquet(f"{at}/streamed").collect()}
+
+    for low, high in files[:2]:
+        more.where((F.col("seq_id") >= low) & (F.col("seq_id") < high)).coalesce(1).write.mode("append").parquet(f"{at}/incoming")
+        run()
+    # a batch that ended without Spark knowing is done again
+    shutil.rmtree(tmp_path / "streamed" / "batch=1")
+    (tmp_path / "state" / "stream" / "commits" / "1").unlink()
+    for crc in (tmp_path / "state" / "stream" / "commits").glob(".1*"):
+        crc.unlink()
+    more.where("seq_id >= 2").coalesce(1).write.mode("append").parquet(f"{at}/incoming")
+    assert run() == whole
