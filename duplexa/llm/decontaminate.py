@@ -9,6 +9,8 @@ A window says something only by its plain words, PLAIN at least. Windows have WI
 without that, and items of fewer words than a window, are looked for word for word: their windows (of a short one, the whole) are of words as they stand, lower-cased. Items of fewer than SHORTEST words are in all speech, and so are found
 only where they are the whole document.
 
+Documents meet a template by its rarest windows first, as many as one of which must be there if the template is to count; only such pairs are looked at in full, so that openings which many items share cost no more than others.
+
 The templates' windows are settled, so Spark broadcasts them only if their true size is under its broadcast threshold, and shuffles both sides otherwise; windows of documents carry no text.
 """
 
@@ -127,6 +129,16 @@ def _occurrences(found: DataFrame) -> DataFrame:
     return runs.select("doc_id", "template", "shift", F.explode(levels).alias("x")).select("doc_id", "template", "shift", "x.*")
 
 
+def _rarest(keyed: DataFrame, totals: DataFrame, share: float, run: int) -> DataFrame:
+    """key and template: of a template that is found from `need` of its n windows on, the n - need + 1 windows that fewest templates share. A document without any of these has fewer than `need`, so only those with one need be looked at: windows
+    that very many items have in common bring nothing together unless they are a large part of the items."""
+    shared = keyed.groupBy("key").agg(F.count_distinct("template").alias("sharing"))
+    need = F.greatest(F.lit(1), F.least(F.ceil(F.col("item_windows") * share), run - F.col("length") + 1))
+    order = Window.partitionBy("template").orderBy("sharing", "key", "place")
+    ranked = keyed.select("key", "template", "place").join(shared, "key").join(totals, "template").withColumn("rank", F.row_number().over(order))
+    return settle(ranked.where(F.col("rank") <= F.col("item_windows") - need + 1).select("key", "template").distinct())
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int = RUN) -> DataFrame:
     """A row for each document and template found in it: doc_id, item_id (the template's least item), n_items, n_windows, item_windows, share, n_slots, n_conflicts, exact_item, reparameterised.
 
@@ -150,11 +162,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, run: int
     verbatim = F.transform(raw_words(F.col("text")), F.lower)
     all_keys = [_window_keys(words_of.get(mode, verbatim), mode, own) for mode, own in lengths.items()]
     keys = F.concat(*all_keys) if all_keys else F.array().cast("array<struct<at:int,key:bigint>>")
+    # windows of documents that any template has, a row each, however many templates share them
+    hits = settle(texts.where("text is not null").select("doc_id", F.explode(keys).alias("x")).select("doc_id", "x.*").join(keyed.select("key").distinct(), "key", "left_semi"))
+    candidates = settle(hits.select("doc_id", "key").join(_rarest(keyed, totals, share, run), "key").select("doc_id", "template").distinct())
     found = settle(
-        texts.where("text is not null")
-        .select("doc_id", F.explode(keys).alias("x"))
-        .select("doc_id", "x.*")
-        .join(keyed, "key")
+        candidates.join(keyed.select("template", "key", "place"), "template")
+        .join(hits, ["doc_id", "key"])
         .select("doc_id", "template", "place", (F.col("at") - F.col("place")).alias("shift"))
         .distinct()
     )

@@ -1,3 +1,4 @@
+import pytest
 import random
 import re
 
@@ -200,3 +201,51 @@ def test_clashing_columns_and_nulls(spark):
     kept = D.decontaminate(docs, items)
     assert kept.schema == docs.schema and sorted(str(r.doc_id) for r in kept.collect()) == ["11", "None"]
     assert D.leaks(docs, items.limit(0)).count() == D.members(items.limit(0)).count() == 0
+
+
+def test_windows_that_all_items_share_bring_nothing_together(spark):
+    """1,000 items with one opening and 1,000 documents that have just that: few rows, and an item is still found by its own windows."""
+    import duplexa.llm.decontaminate as D
+
+    opening = "please answer the following question with one of the options that are given below it"
+    told = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    own = lambda i: " ".join(f"{c}{told(i)}{c}" for c in "klmnopqrstuvwxyzkl")
+    items = spark.createDataFrame([(i, f"{opening} {own(i)}") for i in range(1000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{opening} and nothing else of {i} but chatter") for i in range(1000)] + [(5000, f"so {opening} {own(7)} end"), (5001, f"{own(8)}")], "doc_id long, text string")
+    settled = []
+    monkey = D.settle
+
+    def counting(df):
+        out = monkey(df)
+        settled.append(out.count())
+        return out
+
+    D.settle = counting
+    try:
+        got = sorted((r.doc_id, r.item_id) for r in D.leaks(docs, items).collect())
+    finally:
+        D.settle = monkey
+    assert got == [(5000, 7), (5001, 8)]
+    assert max(settled) < 60_000  # the table of windows itself, not documents times items
+
+
+@pytest.mark.parametrize("share, run", [(0.4, 30), (0.1, 12), (0.9, 9), (1.0, 1000)])
+def test_rarest_windows_lose_no_leak(spark, share, run, monkeypatch):
+    import random
+
+    import duplexa.llm.decontaminate as D
+
+    rng = random.Random(run)
+    vocabulary = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randrange(8, 40))) for _ in range(12)]
+    items += [" ".join([*items[0].split()[:8], *rng.choices(vocabulary, k=12)]) for _ in range(3)] + [("x1 y2 " * 12).strip()]
+    texts = []
+    for _ in range(60):
+        words = rng.choice(items).split()
+        a = rng.randrange(len(words))
+        part = words[a : a + rng.randrange(4, 40)]
+        texts.append(" ".join([*rng.choices(vocabulary, k=5), *part, *rng.choices(vocabulary, k=5)]))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted(map(str, D.leaks(docs, bench, share, run).collect()))
+    monkeypatch.setattr(D, "_rarest", lambda keyed, *_: keyed.select("key", "template").distinct())  # all windows instead
+    assert got == sorted(map(str, D.leaks(docs, bench, share, run).collect()))
