@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from .functions.energy import Model, load_loops
 from .plans.search import SearchParameters, search_store, write_text
 from .sources.fasta import read_fasta
 from .sources.store import SCHEDULES, BuildParameters, Store, build
@@ -31,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
         ris.add_argument(flag, dest=name, type=kind, default=default)
     ris.add_argument("-a", dest="schedule", default="area", choices=("block", "area", "dynamic"))
     for p in (db, ris):
+        p.add_argument("--loops", default=None, help="CSV or Parquet table of 1x1, 1x2 and 2x2 interior loops; without it a rule stands in")
         p.add_argument("-p", dest="scratch", default=None, help="accepted for compatibility; Spark's local folders are its configuration")
     return out
 
@@ -39,12 +41,13 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     a = parser().parse_args(arguments)
     spark = spark or SparkSession.builder.appName("duplexa").getOrCreate()
     sequences = read_fasta(spark, a.source)
+    model = Model(load_loops(spark, a.loops)) if a.loops else None
     if a.mode == "db":
-        build(sequences, a.database, BuildParameters(a.repeat, a.index, a.span, a.least, a.page, a.schedule))
+        build(sequences, a.database, BuildParameters(a.repeat, a.index, a.span, a.least, a.page, a.schedule), model)
         return
     parameters = SearchParameters(a.most, a.seed, a.interaction, a.final, a.drop_gapped, a.drop_ungapped, a.helix, a.style)
     store = Store.open(spark, a.database)
-    write_text(search_store(sequences.withColumnRenamed("ord", "seq_id"), store, parameters), a.output, store, parameters, a.source, a.database)
+    write_text(search_store(sequences.withColumnRenamed("ord", "seq_id"), store, parameters, model), a.output, store, parameters, a.source, a.database)
 
 
 if __name__ == "__main__":

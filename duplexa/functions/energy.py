@@ -5,6 +5,7 @@ Small tables are constants. The tables of 1x1, 1x2 and 2x2 interior loops are a
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -63,6 +64,7 @@ def _mismatch_interior() -> np.ndarray:
     return out
 
 
+# Fixed values, from their rule: terminal mismatches of interior loops.
 MISMATCH_INTERIOR = _mismatch_interior()
 
 
@@ -100,11 +102,16 @@ def load_loops(spark: SparkSession, path: str) -> Loops:
     return Loops(**out)
 
 
+def _stand_in() -> Loops:
+    warnings.warn("energies of 1x1, 1x2 and 2x2 loops come from a rule, not from published tables; give Model(load_loops(spark, path)), or Model(rule_loops()) if that is meant", stacklevel=4)
+    return rule_loops()
+
+
 @dataclass(frozen=True)
 class Model:
-    """All tables, as used by the kernels; loops default to the rule."""
+    """All tables, as used by the kernels. Without loops those of the rule stand in, and a warning says so; rule_loops() given outright is taken as meant."""
 
-    loops: Loops = field(default_factory=rule_loops)
+    loops: Loops = field(default_factory=_stand_in)
 
     def bulge(self, u: np.ndarray) -> np.ndarray:
         return np.where(u <= MAXLOOP, BULGE[np.minimum(u, MAXLOOP)], BULGE[MAXLOOP] + LXC * np.log(np.maximum(u, 1) / MAXLOOP))

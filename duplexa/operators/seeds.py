@@ -12,7 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.bases import BASE_CODES
@@ -133,12 +133,14 @@ def seed_search(queries: DataFrame, targets: DataFrame, least: int = 5, most: in
     return rows.mapInArrow(run, "query_id long, target_id long, q_start int, t_start int, length int, energy int")
 
 
-def paired_runs(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Maximal runs of paired bases on each diagonal: query_id, target_id, diagonal (query position + target position), q_start, q_end, pairs. For short sequences; the search itself goes by windows."""
-    from pyspark.sql import Window
-
-    bases = lambda df, name, b: df.select(F.col("seq_id").alias(name), F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias(f"{b}_pos", b))
-    cells = bases(queries, "query_id", "qb").join(F.broadcast(pair_types(queries.sparkSession)), "qb").join(bases(targets, "target_id", "tb"), "tb").withColumn("diagonal", F.col("qb_pos") + F.col("tb_pos"))
+def paired_runs(queries: DataFrame, targets: DataFrame, least: int = 5) -> DataFrame:
+    """Maximal runs of `least` paired bases or more on each diagonal: query_id, target_id, diagonal (query position + target position), q_start, q_end, pairs. Windows that pair meet by the table of all that can, and follow one another without a
+    gap within a run."""
+    side = lambda df, name, target: windows(df, least, least, target).select(F.col("seq_id").cast("long").alias(name), F.col("pos").alias(f"{name[0]}_pos"), F.col("window").alias(f"{name[0]}_window"))
+    table = window_pairs(queries.sparkSession, least).select("q_window", "t_window")
+    met = side(queries, "query_id", False).join(F.broadcast(table) if 6**least <= BROADCAST else table, "q_window").join(side(targets, "target_id", True), "t_window")
     lane = ["query_id", "target_id", "diagonal"]
-    island = F.col("qb_pos") - F.row_number().over(Window.partitionBy(*lane).orderBy("qb_pos"))
-    return cells.withColumn("island", island).groupBy(*lane, "island").agg(F.min("qb_pos").alias("q_start"), F.max("qb_pos").alias("q_end"), F.count("*").alias("pairs")).drop("island")
+    cells = met.select("query_id", "target_id", "q_pos", (F.col("q_pos") + F.col("t_pos")).alias("diagonal"))
+    island = F.col("q_pos") - F.row_number().over(Window.partitionBy(*lane).orderBy("q_pos"))
+    runs = cells.withColumn("island", island).groupBy(*lane, "island").agg(F.min("q_pos").alias("q_start"), (F.max("q_pos") + least - 1).alias("q_end"), (F.count("*") + least - 1).alias("pairs"))
+    return runs.drop("island")

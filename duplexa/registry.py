@@ -18,6 +18,7 @@ from .operators.dominance import undominated
 from .operators.extend import Blocks, ungapped_hits
 from .operators.growth import cogrown_seeds
 from .operators.index import kmer_counts, kmer_index, locate, prefix_ranges, start_positions
+from .operators.loops import stem_loops
 from .operators.schedule import balanced, blocks, longest_first, packed
 from .operators.seeds import _TYPE, paired_runs, seed_search
 from .plans.search import pair_text, search, shortest
@@ -47,10 +48,6 @@ def _cased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), F.translate(letters, _LETTERS.upper() + _LETTERS, _AS_BASES + _AS_BASES.lower()).alias("seq"))
 
 
-def _named(spark: SparkSession, sf_dir: str, table: str, key: str, name: str) -> DataFrame:
-    return _table(spark, sf_dir, table).select(F.col(key).cast("long").alias("seq_id"), bases.from_text(F.col(name)).alias("seq"))
-
-
 def _encode(mode: int) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _cased(spark, sf_dir).select("seq_id", bases.encoded_text(F.col("seq"), mode, target=True).alias("codes"), bases.residue_count(F.col("seq"), mode).alias("known"))
@@ -88,7 +85,7 @@ def pos_to_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diagonal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired_runs(_named(spark, sf_dir, "region", "r_regionkey", "r_name"), _named(spark, sf_dir, "nation", "n_nationkey", "n_name"))
+    return paired_runs(_benchmark(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
 def seeds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +129,12 @@ def ungapped_extension_hyb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query_id", "target_id", "q_start", "t_start", F.col("q_len").alias("length"), F.round(F.col("hyb_energy") * 100).cast("int").alias("energy")).distinct()
 
 
+def stem_loops_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeds with those that follow within eight unpaired bases, and the energy of the loop between."""
+    items = _benchmark(spark, sf_dir)
+    return stem_loops(seeds_query(spark, sf_dir).drop("energy"), items, items, Model(rule_loops()))
+
+
 def log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ln of the sum of exp(value) by type, from the largest value, so that nothing overflows."""
     events = _table(spark, sf_dir, "events")
@@ -186,20 +189,21 @@ def _format(style: int) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def accessibility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accessibility(_benchmark(spark, sf_dir)).select("seq_id", F.posexplode(F.arrays_zip("acc", "cond")).alias("pos", "x")).select("seq_id", "pos", "x.acc", "x.cond")
+    return accessibility(_benchmark(spark, sf_dir), model=Model(rule_loops())).select("seq_id", F.posexplode(F.arrays_zip("acc", "cond")).alias("pos", "x")).select("seq_id", "pos", "x.acc", "x.cond")
 
 
 def interaction_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = _benchmark(spark, sf_dir)
-    profiles = settled(accessibility(targets).select("seq_id", "acc", "cond"))
-    return search(targets, targets, profiles, own=profiles).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
+    model = Model(rule_loops())
+    profiles = settled(accessibility(targets, model=model).select("seq_id", "acc", "cond"))
+    return search(targets, targets, profiles, model=model, own=profiles).select("query_id", "target_id", "q_start", "t_start", "q_len", "t_len", "acc_energy", "hyb_energy", "energy", pair_text(F.col("base_pairs"), 1).alias("base_pairs"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "encode_hard": _encode(0), "encode_soft": _encode(1), "encode_nomask": _encode(2), "base_composition": base_composition, "seq_stats": seq_stats,
         "kmer_index": kmer_index_query, "kmer_ranges": kmer_ranges, "prefix_hash": prefix_hash, "start_positions": start_positions_query, "pos_to_seq": pos_to_seq,
-        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_search_kmer": seed_search_kmer, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates, "dominance": dominance, "ungapped_extension_hyb": ungapped_extension_hyb,
+        "diagonal_runs": diagonal_runs, "seed_search": seeds_query, "seed_search_kmer": seed_search_kmer, "seed_energy_hist": seed_energy_hist, "ungapped_pairs": ungapped_pairs, "dominance_candidates": dominance_candidates, "dominance": dominance, "ungapped_extension_hyb": ungapped_extension_hyb, "stem_loops": stem_loops_query,
         "log_sum_exp": log_sum_exp, "partition_block": partition_block, "schedule_sorted": schedule_sorted, "partition_balanced": partition_balanced, "partition_packed": partition_packed, "split_by_name": split_by_name_query,
         "fasta_wrap": fasta_wrap, "fasta_round_trip": fasta_round_trip, "format_style0": _format(0), "format_style1": _format(1), "accessibility": accessibility_query, "interaction_search": interaction_search,
     }
@@ -212,7 +216,7 @@ def _as_bases(text: str) -> str:
 _DOCS = f"d as (select doc_id seq_id, doc_id ord, concat_ws('_', lang, source) as name, {_as_bases('text')} seq from documents)"
 _CASED = f"d as (select doc_id seq_id, translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_LETTERS.upper() + _LETTERS}', '{_AS_BASES + _AS_BASES.lower()}') seq from documents)"
 _NUMBER = "list_aggregate(list_transform(range(1, k + 1), lambda i: cast(pow(4, k - i) as bigint) * (instr('ACGU', substr(s, i, 1)) - 1)), 'sum')::bigint"
-_KMERS = "w as (select k, substr(seq, p, k) s, count(*)::bigint n from d, unnest(range(1, 9)) a(k), unnest(range(1, length(seq) - k + 2)) b(p) group by all)"
+_KMERS = "x as (select substr(seq, p, 8) s, count(*) n from d, unnest(range(1, length(seq) + 1)) b(p) group by 1), w as (select k, left(x.s, k) s, sum(n)::bigint n from x, unnest(range(1, 9)) a(k) where k <= length(x.s) group by all)"
 _COUNTS = f"n as (select k::int k, {_NUMBER} kmer, n from w)"
 _STARTS = "s as (select seq_id, coalesce(sum(length(seq) + 1) over (order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as start, length(seq)::bigint length from d)"
 _TYPES = ", ".join(f"('{a}','{b}',{t})" for (a, b), t in _TYPE.items() if t)
@@ -279,6 +283,24 @@ select distinct s.query_id, s.target_id, l.bk q_start, (s.t_start + s.length - 1
 from x0 s join ends l on l.w = -1 and (l.query_id, l.target_id, l.q_start, l.t_start) = (s.query_id, s.target_id, s.q_start, s.t_start) join ends r on r.w = 1 and (r.query_id, r.target_id, r.q_start, r.t_start) = (s.query_id, s.target_id, s.q_start, s.t_start)"""
 
 
+def _stem_loops(reach: int = 8) -> str:
+    """Each kind of loop by its rule."""
+    from .functions.energy import BULGE, INTERIOR
+
+    tables = "sz(n, bulge, loop) as (values " + ", ".join(f"({n}, {int(BULGE[n])}, {int(INTERIOR[n])})" for n in range(1, reach + 1)) + ")"
+    bonus = "(case when ({0} = 'A' and {1} = 'G') or ({0} = 'G' and {1} = 'A') then -50 when {0} = 'U' and {1} = 'U' then -45 else 0 end)"
+    both = f"{bonus.format('y.a', 'y.d')} + {bonus.format('y.c', 'y.b')}"
+    weak = "((y.o > 2)::int + (y.i > 2)::int)"
+    return f""", {tables},
+m as (select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_next, y.t_start t_next, y.length next_length, (y.q_start - x.q_start - x.length)::int u1, (x.t_start - y.t_start - y.length)::int u2
+ from seeds x join seeds y using (query_id, target_id) where y.q_start - x.q_start - x.length >= 0 and x.t_start - y.t_start - y.length >= 0 and y.q_start - x.q_start - x.length + x.t_start - y.t_start - y.length between 1 and {reach}),
+y as (select m.*, po.ty o, pi.ty i, substr(f.seq, q_start + length + 1, 1) a, substr(f.seq, q_next, 1) b, substr(g.seq, t_next + next_length + 1, 1) c, substr(g.seq, t_start, 1) d
+ from m join q f on f.id = query_id join q g on g.id = target_id join pt po on po.qb = substr(f.seq, q_start + length, 1) and po.tb = substr(g.seq, t_start + 1, 1) join pt pi on pi.qb = substr(f.seq, q_next + 1, 1) and pi.tb = substr(g.seq, t_next + next_length, 1))
+select query_id, target_id, q_start, t_start, length, q_next, t_next, next_length, u1, u2, (case when least(u1, u2) = 0 and u1 + u2 = 1 then bulge + st.e when least(u1, u2) = 0 then bulge + 56 * {weak}
+ when u1 = 1 and u2 = 1 then 60 + 48 * {weak} - case when y.a = 'G' and y.d = 'G' then 55 else 0 end when u1 + u2 = 3 then 171 + 66 * {weak} when u1 = 2 and u2 = 2 then 110 + 55 * {weak} + {both} else loop + 63 * {weak} + {both} end)::int energy
+from y join sz on sz.n = u1 + u2 join st on st.a = y.o and st.b = y.i"""
+
+
 def oracle_sql() -> dict[str, str]:
     def encode(mask: str, digits: str, source: str = "NACGUacgu") -> str:
         return f"with {_CASED}, m as (select seq_id, {mask} seq from d) select seq_id, reverse(translate(seq, '{source}', '{digits}')) || '0' codes, length(regexp_replace(seq, '[^ACGU]', '', 'g'))::bigint known from m"
@@ -296,10 +318,7 @@ def oracle_sql() -> dict[str, str]:
         "prefix_hash": f'with {_DOCS}, {_KMERS}, {_COUNTS} select k, kmer, (sum(n) over w - n)::bigint as "first", (sum(n) over w - 1)::bigint as "last" from n window w as (partition by k order by kmer rows unbounded preceding)',
         "start_positions": f"with {_DOCS}, {_STARTS} select * from s",
         "pos_to_seq": f'with {_DOCS}, {_STARTS}, o as (select o_orderkey * 37 "position" from orders) select "position", seq_id, "position" - start as "offset" from o asof join s on "position" >= start where "position" < start + length',
-        "diagonal_runs": f"""with pt(qb, tb, ty) as (values {_TYPES}), r as (select r_regionkey::bigint id, {_as_bases('r_name')} seq from region), n as (select n_nationkey::bigint id, {_as_bases('n_name')} seq from nation),
-c as (select r.id query_id, n.id target_id, (i + j - 2)::int diagonal, (i - 1)::int p from r, unnest(range(1, length(r.seq) + 1)) a(i), n, unnest(range(1, length(n.seq) + 1)) b(j), pt where qb = substr(r.seq, i, 1) and tb = substr(n.seq, j, 1)),
-g as (select *, p - row_number() over (partition by query_id, target_id, diagonal order by p) island from c)
-select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, count(*)::bigint pairs from g group by query_id, target_id, diagonal, island""",
+        "diagonal_runs": f"with recursive {_seeds()}, g as (select *, i - row_number() over (partition by query_id, target_id, diag order by i) run from met) select query_id, target_id, diag diagonal, min(i)::int q_start, (max(i) + 4)::int q_end, (count(*) + 4)::bigint pairs from g group by query_id, target_id, diag, run",
         "seed_search": f"with recursive {_seeds()} select * from seeds",
         "seed_search_kmer": f"with recursive {_seeds()} select * from seeds",
         "seed_energy_hist": f"with recursive {_seeds()} select length, floor(energy / 100.0)::bigint kcal, count(*)::bigint n, sum(energy)::bigint total from seeds group by 1, 2",
@@ -307,6 +326,7 @@ select query_id, target_id, diagonal, min(p)::int q_start, max(p)::int q_end, co
         "dominance_candidates": f"with recursive {_seeds()} select x.query_id, x.target_id, x.q_start, x.t_start, x.length, y.q_start q_in, y.t_start t_in, y.length inner_length from seeds x join seeds y using (query_id, target_id) where y.q_start >= x.q_start and y.t_start >= x.t_start and y.q_start + y.length <= x.q_start + x.length and y.t_start + y.length <= x.t_start + x.length and y.length < x.length",
         "dominance": f"with recursive {_seeds()}{_DOMINANCE}",
         "ungapped_extension_hyb": f"with recursive {_seeds()}{_ungapped()}",
+        "stem_loops": f"with recursive {_seeds()}{_stem_loops()}",
         "log_sum_exp": "with m as (select event_type, max(value) top from events group by 1) select event_type, round(any_value(top) + ln(sum(exp(value - top))), 6) lse from events join m using (event_type) group by event_type",
         "partition_block": "select doc_id seq_id, floor(doc_id / ((select count(*) from documents) // 16 + 1))::int bin from documents",
         "schedule_sorted": f"with {_DOCS} select seq_id, length(seq)::bigint length from d",
