@@ -93,4 +93,4 @@ def test_the_tables_of_past_stages_go(spark, stages):
 
 
 def test_every_operator_has_its_query():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries()] == list(range(1, 14))
