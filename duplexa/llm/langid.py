@@ -42,9 +42,21 @@ UNKNOWN = "und"
 _FEATURE = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+def _lower(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with the capitals of Latin-1 (two bytes, C3 and 80 to 9E but for the times sign) as small letters."""
+    low = int(offsets[0])
+    data, offsets = data[low : int(offsets[-1])], offsets - low
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    if len(second):
+        data = data.copy()
+        data[second] += 0x20
+    return offsets, data
+
+
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Feature ids of whole texts, and where each text's begin. Digits and ASCII punctuation are no part of words; A-Z count as a-z."""
-    offsets, data = K.text_bytes(column)
+    """Feature ids of whole texts, and where each text's begin. Digits and ASCII punctuation are no part of words; A-Z count as a-z, and the capitals of Latin-1 as its small letters."""
+    offsets, data = _lower(*K.text_bytes(column))
     start, end, hashes, begins = K.words(offsets, data, LETTERS, K.FOLDED)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)

@@ -24,7 +24,7 @@ def test_features_are_the_grams_of_each_word():
             return int((K.mix(K.np.array([v + K.np.uint64(tag)])) * L._FEATURE >> K.np.uint64(48))[0]) % L.BUCKETS
 
     def of(word):
-        codes = [K.np.uint64(1), *(K.FOLDED[b] for b in word.encode()), K.np.uint64(1)]
+        codes = [K.np.uint64(1), *(K.FOLDED[b] for b in word.lower().encode()), K.np.uint64(1)]  # capitals of Latin-1 too
         return [gram(codes[i : i + k], k) for k in (3, 4) for i in range(len(codes) - k + 1)]
 
     want = of("abc") + of("Éa") + of("x")
@@ -202,3 +202,9 @@ def test_the_sample_is_bounded_in_features_and_knows_no_repeats(spark, monkeypat
     assert len([1 for _, piece, *_ in bounded if not piece]) == 3 and sum(len(ids) for _, _, ids, _ in bounded) <= L.TRAIN_FEATURES
     monkeypatch.setattr(L, "TRAIN_FEATURES", 10)
     assert L._sampled(docs, 1000) == []
+
+
+def test_capitals_count_as_small_letters():
+    texts = ["ÉTÉ À LA ÖÜ ÇA ÞÝ ×Ã", "été à la öü ça þý ×ã", "x", None]
+    ids, at = L.features(pa.array(["before É", *texts]).slice(1))
+    assert ids[at[0] : at[1]].tolist() == ids[at[1] : at[2]].tolist() and at[1] > 0
