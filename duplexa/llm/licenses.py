@@ -27,8 +27,10 @@ NEIGHBOURS = 6
 #: Share of a template's words that a span has to cover.
 COVERED = 0.6
 
-#: Phrases of the base rule, and their labels.
+#: Phrases of the base rule, and their labels, unless others are given.
 BASE_PHRASES = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+#: Phrases of the base rule of the query op1_license_scan; there a mere "mit license" is a further phrase.
+QUERY_PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Further phrases that name a license.
 PHRASES = (
     ("licensed under the mit", "mit"),

@@ -10,7 +10,9 @@ from .decontaminate import leaks
 from .langid import identify
 from .lexical import SQL as LEXICAL_SQL
 from .lexical import search
+from .licenses import BASE_PHRASES, PHRASES, QUERY_PHRASES
 from .licenses import scan as scan_licenses
+from .licenses import templates as license_templates
 from .mixing import mix
 from .near_dedup import SQL as NEAR_SQL
 from .near_dedup import near_duplicates
@@ -27,7 +29,8 @@ from .shared import documents
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(documents(spark, sf_dir))
+    further = (*(p for p in BASE_PHRASES if p not in QUERY_PHRASES), *PHRASES)
+    return scan_licenses(documents(spark, sf_dir), license_templates(spark, QUERY_PHRASES, further))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

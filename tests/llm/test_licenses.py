@@ -3,6 +3,7 @@ import re
 import pytest
 
 from duplexa.llm import licenses as L
+from duplexa.llm import queries
 
 MIT = dict(L.NOTICES)["mit"]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -13,9 +14,9 @@ TEXTS = [
 ]
 
 
-def plain(text):
+def plain(text, phrases=L.BASE_PHRASES):
     words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    at = [(i, label) for p, label in L.BASE_PHRASES for w in [p.split()] for i in range(len(words) - len(w) + 1) if words[i : i + len(w)] == w]
+    at = [(i, label) for p, label in phrases for w in [p.split()] for i in range(len(words) - len(w) + 1) if words[i : i + len(w)] == w]
     return len(words), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
@@ -45,3 +46,20 @@ def test_whole_tables_and_edges(spark):
     twice = spark.createDataFrame([(1, "mit license"), (1, "mit license"), (None, "mit license")], "doc_id long, text string")
     assert [r.n_base for r in L.scan(twice).collect()] == [1, 1, 1]
     assert L.scan(twice.limit(0)).count() == 0
+
+
+def test_query_counts_the_phrases_of_its_contract(spark, tmp_path):
+    phrases = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+    texts = [*TEXTS, "mit license", "the MIT License", "under the-MIT\nLicense under under the mit license", "under the mit  license mit license under the mit licenses", "underthe mit license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.queries()["op1_license_scan"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(len(texts)))
+    for i, t in enumerate(texts):
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain(t, phrases), i
+    bare = got[len(TEXTS)]
+    assert bare.n_base == 0 and bare.base_labels == "" and bare.labels == "mit"  # the method's label
+    for name in ("sf0.001", "sf0.01"):
+        at = f"/root/testdata/{name}"
+        own = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in queries.queries()["op1_license_scan"](spark, at).collect()}
+        assert own == {r.doc_id: plain(r.text, phrases) for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text").collect()}
