@@ -9,8 +9,8 @@ from .shared import forget, settle
 
 
 def _rank(seed: int, node: Column) -> Column:
-    """Nodes in an order that is another one each round; ties of the hash go by id."""
-    return F.struct(F.xxhash64(F.lit(seed), node).alias("h"), node.alias("node"))
+    """Nodes in an order that is another one each round, at first that of ids; ties of the hash go by id."""
+    return F.struct((F.xxhash64(F.lit(seed), node) if seed else F.lit(0).cast("long")).alias("h"), node.alias("node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     A round draws a random order (a hash of round and id), hangs each node on the first of its neighbours and itself, follows that pointer once more and joins what hangs together into one node. A node stays only if a node
     two pointers away leads to it; by the random order that is a fixed share of the nodes at most, in expectation, whatever the graph (about a quarter in a chain, of any order of ids), so rounds are logarithmic and all tables together a multiple of the first.
+    Only the first round goes by ids instead: it joins any star about its smallest id at once, which is what buckets give, where random orders would take a round for each halving of its leaves. Each round costs the driver some broadcasts and jobs.
     Rounds end when no link is left; the pointers are then followed from the last round to the first, and each component named by its smallest id.
     Links of null are left out, repeated ones count once. An empty table gives an empty one.
     """

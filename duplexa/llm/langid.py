@@ -25,7 +25,7 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 #: Labelled texts that are read for training and calibration; of each come at most BUCKETS distinct features to the driver.
 TRAIN_ROWS = 4000
-#: Features of all of them and of their pieces, at 8 bytes each, as bounded by the lengths of texts: the sample ends before it has more.
+#: Features of all of them and of their pieces, at 3 to 6 bytes each (see packed), as bounded by the lengths of texts: the sample ends before it has more.
 TRAIN_FEATURES = 32_000_000
 EPOCHS = 4
 RATE = 0.5
@@ -97,6 +97,18 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def packed(ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Feature ids in two bytes each, and how often each in as few as the most frequent one takes."""
+    assert BUCKETS <= 1 << 16
+    return ids.astype("<u2").tobytes(), counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def unpacked(ids: pa.BinaryScalar, counts: pa.BinaryScalar) -> tuple[np.ndarray, np.ndarray]:
+    """What was packed, as views of the table's memory."""
+    ids, counts = np.frombuffer(ids.as_buffer(), "<u2"), counts.as_buffer()
+    return ids, np.frombuffer(counts, f"<u{counts.size // max(len(ids), 1) or 1}")
+
+
 def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np.ndarray]]:
     """(label, whether a piece, distinct features, how often) of the training sample and of pieces of its texts, in an order that doesn't depend on partitions.
 
@@ -124,15 +136,15 @@ def _sampled(docs: DataFrame, rows: int) -> list[tuple[str, bool, np.ndarray, np
                     own = ids[at[i] : at[i + 1]]
                     cuts = [(key >> 8) % (len(own) - n + 1) for n in PIECES if n < len(own)]
                     for piece, part in enumerate((own, *(own[c : c + n] for c, n in zip(cuts, PIECES, strict=False)))):
-                        out.append((lang, key, rank, piece, *(x.astype(np.int32) for x in np.unique(part, return_counts=True))))
+                        out.append((lang, key, rank, piece, *packed(*np.unique(part, return_counts=True))))
                 for low in range(0, len(out), 256):
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out[low : low + 256]], schema=arrow)
 
     names = ("lang", "key", "rank", "piece", "ids", "counts")
-    arrow = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)))
+    arrow = pa.schema(list(zip(names, (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.binary(), pa.binary()), strict=True)))
     chosen = usable.join(F.broadcast(picked), (F.col("lang") == F.col("of")) & (F.col("key") == F.col("picked"))).select("lang", "text", "key", "rank")
-    found = chosen.mapInArrow(run, "lang string, key long, rank double, piece int, ids array<int>, counts array<int>").dropDuplicates(["lang", "key", "piece"]).orderBy("rank", "key", "lang", "piece").toArrow()
-    return [(lang, piece > 0, ids.values.to_numpy(), n.values.to_numpy()) for lang, piece, ids, n in zip(found.column("lang").to_pylist(), found.column("piece").to_pylist(), found.column("ids"), found.column("counts"), strict=True)]
+    found = chosen.mapInArrow(run, "lang string, key long, rank double, piece int, ids binary, counts binary").dropDuplicates(["lang", "key", "piece"]).orderBy("rank", "key", "lang", "piece").toArrow()
+    return [(lang, piece > 0, *unpacked(ids, n)) for lang, piece, ids, n in zip(found.column("lang").to_pylist(), found.column("piece").to_pylist(), found.column("ids"), found.column("counts"), strict=True)]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -170,7 +182,7 @@ class Model:
 def _flat(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features of all, where each text's begin, how often each, and the number of each text's."""
     at = np.cumsum([0, *(len(x[0]) for x in texts)])
-    return np.concatenate([x[0] for x in texts]), at, np.concatenate([x[1] for x in texts]), np.array([x[1].sum() for x in texts])
+    return np.concatenate([x[0] for x in texts], dtype=np.int32), at, np.concatenate([x[1] for x in texts], dtype=np.int32), np.array([x[1].sum(dtype=np.int64) for x in texts])
 
 
 def fit(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], seed: int = 1) -> Model | None:
@@ -204,8 +216,10 @@ def fit(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], seed: int = 1) -
             owner = np.repeat(np.arange(len(rows)), np.diff(at))
             for d in range(DIMENSIONS):  # each text's features move by its own step; repeated ones add up
                 table[d] -= np.bincount(ids, back[owner, d] * counts, BUCKETS).astype(np.float32)
-    ids, at, counts, n = _flat([texts[r] for r in train])
-    seen = np.bincount(ids, counts / np.repeat(n, np.diff(at)), BUCKETS)  # each text counts as one
+    seen = np.zeros(BUCKETS)
+    for r in train:  # one after another, as all at once take five times their memory
+        ids, counts = texts[r]
+        seen[ids] += counts / counts.sum(dtype=np.int64)  # each text counts as one
     model = Model(languages, table.T, weights, bias, np.log((seen + UNSEEN) / (len(train) + UNSEEN * BUCKETS)))
     if held.any():
         _calibrate(model, [texts[i] for i in np.flatnonzero(held)], y[held], np.array([x[1] for x in sample])[held])
@@ -214,8 +228,9 @@ def fit(sample: list[tuple[str, bool, np.ndarray, np.ndarray]], seed: int = 1) -
 
 def _calibrate(model: Model, texts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, piece: np.ndarray) -> None:
     """Set the temperature, the usual familiarity and the limit from texts, and pieces of texts, that weren't trained on."""
-    ids, at, counts, n = _flat(texts)
-    z, familiar = model.scores(ids, at, counts)
+    parts = [_flat(texts[low : low + 64]) for low in range(0, len(texts), 64)]
+    n = np.concatenate([x[3] for x in parts])
+    z, familiar = (np.concatenate(x) for x in zip(*(model.scores(*x[:3]) for x in parts), strict=True))
     whole = np.flatnonzero(~piece)
     # a target of 1 would have no best temperature where all are told right
     size = len(whole)

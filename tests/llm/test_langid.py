@@ -208,3 +208,30 @@ def test_capitals_count_as_small_letters():
     texts = ["ÉTÉ À LA ÖÜ ÇA ÞÝ ×Ã", "été à la öü ça þý ×ã", "x", None]
     ids, at = L.features(pa.array(["before É", *texts]).slice(1))
     assert ids[at[0] : at[1]].tolist() == ids[at[1] : at[2]].tolist() and at[1] > 0
+
+
+def test_the_sample_and_its_training_take_little_of_the_drivers_memory(spark):
+    import tracemalloc
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sample = L._sampled(docs, 4000)
+    n = sum(len(x[2]) for x in sample)
+    assert all(len(x[2]) == len(x[3]) and (np.diff(x[2].astype(int)) > 0).all() and x[3].min(initial=1) > 0 for x in sample)
+    assert n > 100_000 and sum(x[2].nbytes + x[3].nbytes for x in sample) < 3.5 * n
+
+    rng = np.random.default_rng(5)
+    many = [(("en", "de")[i % 2], False, np.sort(rng.choice(L.BUCKETS, 8000, replace=False)).astype("<u2"), np.ones(8000, np.uint8)) for i in range(600)]
+    tracemalloc.start()
+    L.fit(many)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20  # all texts at once took five times the sample's 8 bytes a feature
+
+
+def test_packed_features_come_back_as_they_were():
+    for most in (1, 255, 256, 65_535, 65_536):
+        ids, counts = np.array([0, 1, 32_768, L.BUCKETS - 1]), np.array([1, 2, 3, most])
+        a, b = L.unpacked(*(pa.scalar(x, pa.binary()) for x in L.packed(ids, counts)))
+        assert a.tolist() == ids.tolist() and b.tolist() == counts.tolist()
+    a, b = L.unpacked(*(pa.scalar(x, pa.binary()) for x in L.packed(np.zeros(0, int), np.zeros(0, int))))
+    assert len(a) == len(b) == 0

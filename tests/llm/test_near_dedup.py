@@ -227,3 +227,14 @@ def test_equals_sql(spark):
     want = con.sql(N.SQL).df().sort_values("doc_id").reset_index(drop=True)
     own = N.near_duplicates(spark.read.parquet(path)).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert own[want.columns].equals(want)
+
+
+def test_stars_about_their_smallest_ids_join_in_one_round(spark, monkeypatch):
+    from duplexa.llm import components as C
+
+    settled, plain = [], C.settle
+    monkeypatch.setattr(C, "settle", lambda df: (settled.append(df), plain(df))[1])
+    edges = [(hub + i, hub) for hub in (-7, 10_000, 20_000) for i in range(1, 3000)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {a: b for a, b in edges} | {b: b for _, b in edges}
+    assert len(settled) == 4  # three of the round and the result
